@@ -24,7 +24,8 @@ def _two_digits(number: Column) -> Column:
     return F.lpad(number.cast("string"), 2, "0")
 
 
-def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_sales(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys`` names columns of ``lineitem`` to keep beside the raw ones."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     r = F.col("l_orderkey") * 7 + F.col("l_linenumber")
 
@@ -34,13 +35,13 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     def turn(n: int, k: int) -> Column:
         return r % n == k
 
-    d = F.date_format("l_shipdate", "yyyy-MM-dd")
+    d = F.to_date("l_shipdate").cast("string")
     hms = F.concat_ws(":", _two_digits(r % 24), _two_digits(r % 60), _two_digits((r * 7) % 60))
     digest = F.md5(F.col("l_orderkey").cast("string").cast("binary"))
     person = F.concat_ws(
         "-", *(F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     )
-    price = F.format_string("%.2f", "l_extendedprice")
+    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     born = F.date_add(F.lit("1930-01-01").cast("date"), ((r * 37) % 24000).cast("int"))
     columns = {
         "FECHA": _choose(
@@ -72,7 +73,7 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "UNIDADES": _choose(F.col("l_quantity").cast("bigint").cast("string"), (every(67), "0")),
         "PORCENTAJE DESCUENTO": _choose(
-            F.format_string("%.2f", "l_discount"), (every(71), "1.5"), (every(73), "1d")
+            F.col("l_discount").cast("decimal(9,2)").cast("string"), (every(71), "1.5"), (every(73), "1d")
         ),
         "MONTO APLICADO": _choose(
             price,
@@ -89,7 +90,7 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         "NOMBRES": F.lit("N"),
         "APELLIDOS": F.lit("A"),
         "FECHA NACIMIENTO": _choose(
-            F.date_format(born, "yyyy-MM-dd"),
+            born.cast("string"),
             (every(109), "1990-1-5"),
             (every(113), "1990-02-30"),
             (every(127), "2030-01-01"),
@@ -106,7 +107,7 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             (turn(5, 3), "7"),
         ),
     }
-    return items.select(*(columns[name].alias(name) for name in RAW_COLUMNS))
+    return items.select(*keys, *(columns[name].alias(name) for name in RAW_COLUMNS))
 
 
 RAW_SQL = """
@@ -124,7 +125,7 @@ item AS (
            || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS u
   FROM item
 ), raw AS (
-  SELECT
+  SELECT l_orderkey, l_linenumber,
     CASE WHEN r % 101 = 0 THEN 'fecha-invalida' WHEN r % 11 = 0 THEN d
          WHEN r % 11 = 1 THEN d || 'T' || hms || 'Z'
          WHEN r % 11 = 2 THEN d || ' ' || hms || '+03:00'

@@ -84,3 +84,71 @@ def age_on(day: Column, birth: Column) -> Column:
     """
     years = F.floor((_as_number(day) - _as_number(birth)) / 10_000)
     return years.try_cast("smallint")
+
+
+_DAY = r"^\d{4}-\d{2}-\d{2}"
+_COMPACT_DAY = r"^\d{8}"
+_CLOCK = r"^\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?\z"
+_OFFSET = r"^[+-]\d{2}(?::\d{2}(?::\d{2})?|\d{2}(?:\d{2})?)?\z"
+_FIRST_MICROS = -62_135_596_800_000_000  # 0001-01-01T00:00:00Z
+_LAST_MICROS = 253_402_300_799_999_999  # 9999-12-31T23:59:59.999999Z
+
+
+def is_whole_day(text: Column) -> Column:
+    """``YYYY-MM-DD`` and nothing else."""
+    return text.rlike(_DAY + r"\z")
+
+
+def parse_boundary(text: Column, upper: Column) -> Column:
+    """Instant of a stripped ISO 8601 filter boundary; without an offset it is UTC-4.
+
+    Extended and compact calendar dates, any character before the time, any
+    number of fraction digits (six count). A whole day as upper bound gives the
+    following midnight. Week dates are not read.
+    """
+    source = F.regexp_replace(text, r"[zZ]\z", "+00:00")
+    extended = source.rlike(_DAY)
+    day = F.when(extended, F.left(source, F.lit(10))).when(
+        source.rlike(_COMPACT_DAY),
+        F.concat_ws(
+            "-", F.substring(source, 1, 4), F.substring(source, 5, 2), F.substring(source, 7, 2)
+        ),
+    )
+    rest = F.substring(source, F.when(extended, F.lit(11)).otherwise(F.lit(9)), F.length(source))
+    body = F.substring(rest, F.lit(2), F.length(rest))
+    clock = F.regexp_extract(body, r"^[^+-]*", 0)
+    offset = F.regexp_extract(body, r"[+-].*\z", 0)
+    digits = F.replace(clock, F.lit(":"), F.lit(""))
+    hms = F.rpad(F.substring(digits, 1, 6), 6, "0")
+    fraction = F.rpad(F.substring(digits, 8, 6), 6, "0")
+    wall = F.concat(
+        day,
+        F.lit(" "),
+        F.substring(hms, 1, 2),
+        F.lit(":"),
+        F.substring(hms, 3, 2),
+        F.lit(":"),
+        F.substring(hms, 5, 2),
+        F.lit("."),
+        fraction,
+        F.lit("Z"),
+    ).try_cast("timestamp")
+    sizes = F.rpad(F.replace(F.substring(offset, 2, 8), F.lit(":"), F.lit("")), 6, "0")
+    size = (
+        F.substring(sizes, 1, 2).try_cast("int") * 3600
+        + F.substring(sizes, 3, 2).try_cast("int") * 60
+        + F.substring(sizes, 5, 2).try_cast("int")
+    )
+    shift = F.when(offset == "", F.lit(BUSINESS_UTC_OFFSET_MINUTES * 60)).otherwise(
+        F.when(F.left(offset, F.lit(1)) == "-", -size).otherwise(size)
+    )
+    layout = (rest == "") | (
+        clock.rlike(_CLOCK) & ((offset == "") | (offset.rlike(_OFFSET) & (size < _SECONDS_PER_DAY)))
+    )
+    next_day = F.when(upper & is_whole_day(text), F.lit(_SECONDS_PER_DAY)).otherwise(F.lit(0))
+    # A day must exist by itself before the next one is taken.
+    micros = F.unix_micros(wall) + (next_day - shift).cast("bigint") * 1_000_000
+    starts = F.unix_micros(wall) >= _FIRST_MICROS
+    return F.when(
+        layout & starts & micros.between(_FIRST_MICROS, _LAST_MICROS), F.timestamp_micros(micros)
+    )
