@@ -30,7 +30,6 @@ from tallyspark.operators.requests import accepted_requests, validate_requests
 from tallyspark.operators.statistics import flagged_statistics, seven_statistics  # noqa: E402
 from tallyspark.plans import query  # noqa: E402
 from tallyspark.plans.ingest import ingest  # noqa: E402
-from tallyspark.session import tune  # noqa: E402
 from tallyspark.sources.generations import latest_manifest  # noqa: E402
 from tallyspark.sources.sales_csv import read_sales_csv  # noqa: E402
 
@@ -256,17 +255,13 @@ _QUERIES: dict[str, Query] = {
 }
 
 
-def _tuned(run: Query) -> Query:
-    return lambda spark, sf_dir: run(tune(spark), sf_dir)
-
-
 def entry(spark: SparkSession) -> DataFrame:
     """Quality report of the raw extract: every parse branch and every rule in one pass."""
     return queries()["quality_report"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
-    return {name: _tuned(run) for name, run in _QUERIES.items()}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,6 +69,7 @@ UUID_MARK = "[UUID_REDACTADO]"
 RUN_MARK = "[RUN_REDACTADO]"
 
 MAX_AGE = 120
+BUSINESS_UTC_OFFSET = "-04:00"
 BUSINESS_UTC_OFFSET_MINUTES = -240  # fixed UTC-4, no daylight saving
 SCHEMA_VERSION = 1
 TARGET_COLUMN = "monto_aplicado"

@@ -6,10 +6,10 @@ Everything goes through epoch micro- and milliseconds, so no result depends on
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.contract import BUSINESS_UTC_OFFSET_MINUTES
+from tallyspark.contract import BUSINESS_UTC_OFFSET, BUSINESS_UTC_OFFSET_MINUTES
 
 # Date, optional time to the minute, second or microsecond, optional offset.
 SALE_MOMENT = (
@@ -21,41 +21,57 @@ _MICROS_PER_MINUTE = 60_000_000
 _SECONDS_PER_DAY = 86_400
 
 
-def parse_sale_moment(text: Column) -> Column:
-    """Instant (TIMESTAMP) of a stripped ISO text; text without an offset is UTC-4.
+def add_sale_moment(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the instant (TIMESTAMP) of a stripped ISO text; without an offset it is UTC-4.
 
-    The guard fixes the layout, so the parts are cut by position instead of by
-    one regular expression per part.
+    The pattern fixes the layout, so the parts are cut by position instead of by
+    one regular expression per part. One projection per step: nested in a single
+    expression, the shared parts would be compiled and evaluated many times.
     """
-    tail = F.substring(text, 17, 32)  # after HH:MM -> [:SS[.f]][offset]
-    sign_at = F.greatest(F.locate("+", tail), F.locate("-", tail))
-    is_zulu = F.upper(F.right(tail, F.lit(1))) == "Z"
-    seconds = (
-        F.when(sign_at > 0, F.substring(tail, F.lit(1), sign_at - 1))
-        .when(is_zulu, F.rtrim(tail, F.lit("zZ")))
-        .otherwise(tail)
+    source, tail, sign_at = F.col(text), F.col("__tail"), F.col("__sign_at")
+    seconds, offset = F.col("__seconds"), F.col("__offset")
+    zulu = F.upper(F.right(tail, F.lit(1))) == "Z"
+    cut = (
+        # After HH:MM comes [:SS[.f]][offset].
+        rows.withColumn("__tail", F.substring(source, 17, 32))
+        .withColumn("__sign_at", F.greatest(F.locate("+", tail), F.locate("-", tail)))
+        .withColumns(
+            {
+                "__seconds": F.when(sign_at > 0, F.substring(tail, F.lit(1), sign_at - 1))
+                .when(zulu, F.rtrim(tail, F.lit("zZ")))
+                .otherwise(tail),
+                "__offset": F.when(sign_at > 0, F.substring(tail, sign_at, F.lit(6)))
+                .when(zulu, F.lit("+00:00"))
+                .otherwise(F.lit(BUSINESS_UTC_OFFSET)),
+            }
+        )
     )
-    clock = F.when(F.length(text) == 10, F.lit("00:00:00")).otherwise(
+    clock = F.when(F.length(source) == 10, F.lit("00:00:00")).otherwise(
         F.concat(
-            F.substring(text, 12, 5), F.when(seconds == "", F.lit(":00")).otherwise(seconds)
+            F.substring(source, 12, 5), F.when(seconds == "", F.lit(":00")).otherwise(seconds)
         )
     )
-    offset = F.substring(tail, sign_at, F.lit(6))
-    minutes = F.coalesce(
-        F.replace(F.substring(offset, 4, 3), F.lit(":"), F.lit("")).try_cast("int"), F.lit(0)
+    parsed = cut.withColumns(
+        {
+            # Read the wall clock as if it were UTC, then move by the offset.
+            "__wall": F.when(
+                source.rlike(SALE_MOMENT),
+                F.concat(F.left(source, F.lit(10)), F.lit(" "), clock, F.lit("Z")),
+            ).try_cast("timestamp"),
+            "__minutes": F.substring(offset, 2, 2).try_cast("bigint") * 60
+            + F.coalesce(
+                F.replace(F.substring(offset, 4, 3), F.lit(":"), F.lit("")).try_cast("bigint"),
+                F.lit(0),
+            ),
+        }
     )
-    size = F.substring(offset, 2, 2).try_cast("int") * 60 + minutes
-    offset_minutes = (
-        F.when(sign_at > 0, F.when(F.left(offset, F.lit(1)) == "-", -size).otherwise(size))
-        .when(is_zulu, F.lit(0))
-        .otherwise(F.lit(BUSINESS_UTC_OFFSET_MINUTES))
+    minutes = F.when(F.left(offset, F.lit(1)) == "-", -F.col("__minutes")).otherwise(
+        F.col("__minutes")
     )
-    # Read the wall clock as if it were UTC, then move by the offset.
-    wall = F.concat(F.left(text, F.lit(10)), F.lit(" "), clock, F.lit("Z")).try_cast("timestamp")
-    instant = F.timestamp_micros(
-        F.unix_micros(wall) - offset_minutes.cast("bigint") * _MICROS_PER_MINUTE
+    instant = F.timestamp_micros(F.unix_micros("__wall") - minutes * _MICROS_PER_MINUTE)
+    return parsed.withColumn(name, instant).drop(
+        "__tail", "__sign_at", "__seconds", "__offset", "__wall", "__minutes"
     )
-    return F.when(text.rlike(SALE_MOMENT), instant)
 
 
 def business_date(instant: Column) -> Column:
@@ -99,56 +115,79 @@ def is_whole_day(text: Column) -> Column:
     return text.rlike(_DAY + r"\z")
 
 
-def parse_boundary(text: Column, upper: Column) -> Column:
-    """Instant of a stripped ISO 8601 filter boundary; without an offset it is UTC-4.
+def add_boundary(rows: DataFrame, text: str, upper: Column, name: str) -> DataFrame:
+    """Add the instant of a stripped ISO 8601 filter boundary; without an offset it is UTC-4.
 
     Extended and compact calendar dates, any character before the time, any
-    number of fraction digits (six count). A whole day as upper bound gives the
-    following midnight. Week dates are not read.
+    number of fraction digits (six count). Where ``upper`` holds, a whole day
+    gives the following midnight. Week dates are not read.
     """
-    source = F.regexp_replace(text, r"[zZ]\z", "+00:00")
+    source, rest, body = F.col("__source"), F.col("__rest"), F.col("__body")
+    clock, offset, digits = F.col("__clock"), F.col("__offset"), F.col("__digits")
+    hms, sizes, size, wall = F.col("__hms"), F.col("__sizes"), F.col("__size"), F.col("__wall")
     extended = source.rlike(_DAY)
-    day = F.when(extended, F.left(source, F.lit(10))).when(
-        source.rlike(_COMPACT_DAY),
-        F.concat_ws(
-            "-", F.substring(source, 1, 4), F.substring(source, 5, 2), F.substring(source, 7, 2)
-        ),
-    )
-    rest = F.substring(source, F.when(extended, F.lit(11)).otherwise(F.lit(9)), F.length(source))
-    body = F.substring(rest, F.lit(2), F.length(rest))
-    clock = F.regexp_extract(body, r"^[^+-]*", 0)
-    offset = F.regexp_extract(body, r"[+-].*\z", 0)
-    digits = F.replace(clock, F.lit(":"), F.lit(""))
-    hms = F.rpad(F.substring(digits, 1, 6), 6, "0")
-    fraction = F.rpad(F.substring(digits, 8, 6), 6, "0")
-    wall = F.concat(
-        day,
-        F.lit(" "),
-        F.substring(hms, 1, 2),
-        F.lit(":"),
-        F.substring(hms, 3, 2),
-        F.lit(":"),
-        F.substring(hms, 5, 2),
-        F.lit("."),
-        fraction,
-        F.lit("Z"),
-    ).try_cast("timestamp")
-    sizes = F.rpad(F.replace(F.substring(offset, 2, 8), F.lit(":"), F.lit("")), 6, "0")
-    size = (
-        F.substring(sizes, 1, 2).try_cast("int") * 3600
-        + F.substring(sizes, 3, 2).try_cast("int") * 60
-        + F.substring(sizes, 5, 2).try_cast("int")
+    cut = (
+        rows.withColumn("__source", F.regexp_replace(text, r"[zZ]\z", "+00:00"))
+        .withColumns(
+            {
+                "__day": F.when(extended, F.left(source, F.lit(10))).when(
+                    source.rlike(_COMPACT_DAY),
+                    F.regexp_replace(F.left(source, F.lit(8)), r"^(....)(..)(..)", "$1-$2-$3"),
+                ),
+                "__rest": F.substring(
+                    source, F.when(extended, F.lit(11)).otherwise(F.lit(9)), F.length(source)
+                ),
+            }
+        )
+        .withColumn("__body", F.substring(rest, F.lit(2), F.length(rest)))
+        .withColumns(
+            {
+                "__clock": F.regexp_extract(body, r"^[^+-]*", 0),
+                "__offset": F.regexp_extract(body, r"[+-].*\z", 0),
+            }
+        )
+        .withColumn("__digits", F.replace(clock, F.lit(":"), F.lit("")))
+        .withColumns(
+            {
+                "__hms": F.rpad(F.substring(digits, 1, 6), 6, "0"),
+                "__fraction": F.rpad(F.substring(digits, 8, 6), 6, "0"),
+                "__sizes": F.rpad(
+                    F.replace(F.substring(offset, 2, 8), F.lit(":"), F.lit("")), 6, "0"
+                ),
+            }
+        )
+        .withColumns(
+            {
+                "__wall": F.unix_micros(
+                    F.concat(
+                        "__day",
+                        F.lit(" "),
+                        F.regexp_replace(hms, r"^(..)(..)(..)", "$1:$2:$3"),
+                        F.lit("."),
+                        "__fraction",
+                        F.lit("Z"),
+                    ).try_cast("timestamp")
+                ),
+                "__size": F.substring(sizes, 1, 2).try_cast("int") * 3600
+                + F.substring(sizes, 3, 2).try_cast("int") * 60
+                + F.substring(sizes, 5, 2).try_cast("int"),
+            }
+        )
     )
     shift = F.when(offset == "", F.lit(BUSINESS_UTC_OFFSET_MINUTES * 60)).otherwise(
         F.when(F.left(offset, F.lit(1)) == "-", -size).otherwise(size)
     )
+    next_day = F.when(upper & is_whole_day(F.col(text)), F.lit(_SECONDS_PER_DAY)).otherwise(
+        F.lit(0)
+    )
     layout = (rest == "") | (
         clock.rlike(_CLOCK) & ((offset == "") | (offset.rlike(_OFFSET) & (size < _SECONDS_PER_DAY)))
     )
-    next_day = F.when(upper & is_whole_day(text), F.lit(_SECONDS_PER_DAY)).otherwise(F.lit(0))
     # A day must exist by itself before the next one is taken.
-    micros = F.unix_micros(wall) + (next_day - shift).cast("bigint") * 1_000_000
-    starts = F.unix_micros(wall) >= _FIRST_MICROS
-    return F.when(
-        layout & starts & micros.between(_FIRST_MICROS, _LAST_MICROS), F.timestamp_micros(micros)
+    good = layout & (wall >= _FIRST_MICROS)
+    micros = F.col("__micros")
+    judged = cut.withColumn(
+        "__micros", F.when(good, wall + (next_day - shift).cast("bigint") * 1_000_000)
     )
+    instant = F.when(micros.between(_FIRST_MICROS, _LAST_MICROS), F.timestamp_micros(micros))
+    return judged.withColumn(name, instant).select(*rows.columns, name)

@@ -15,7 +15,7 @@ from tallyspark.contract import (
     GENDER_OTHER,
     GENDER_UNSPECIFIED,
 )
-from tallyspark.functions.moments import age_on, business_date, parse_sale_moment
+from tallyspark.functions.moments import add_sale_moment, age_on, business_date
 from tallyspark.functions.text import strip, to_date, to_double, to_long
 
 _CLEANED = {  # output name -> raw header; personal columns are never selected
@@ -40,15 +40,15 @@ def normalize(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Typed columns, age at the sale and gender text. Unreadable values become null.
 
     ``raw`` has the text columns of the contract; ``keep`` names more of its
-    columns to carry along. Three projections, each using only the columns of the
-    one before it, so no expression is evaluated twice.
+    columns to carry along. Every projection uses only columns of the one before
+    it, so no expression is evaluated twice.
     """
     stripped = raw.select(
         *keep, *(strip(F.col(f"`{header}`")).alias(name) for name, header in _CLEANED.items())
     )
-    typed = stripped.select(
+    typed = add_sale_moment(stripped, "fecha", "__instant").select(
         *keep,
-        parse_sale_moment(F.col("fecha")).alias("fecha"),
+        F.col("__instant").alias("fecha"),
         F.upper("canal").alias("canal"),
         "producto",
         *(to_long(F.col(name)).alias(name) for name in _INTEGERS),

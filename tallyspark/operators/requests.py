@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.contract import CHANNELS, FILTER_NAMES, GENDERS, REQUEST_SCHEMA
-from tallyspark.functions.moments import is_whole_day, parse_boundary
+from tallyspark.functions.moments import add_boundary, is_whole_day
 from tallyspark.functions.text import INTEGER, WHITE_SPACE
 from tallyspark.operators.batch import REQUEST_ID
 from tallyspark.operators.filters import INTEGER_RANGES, MAX_DIGITS
@@ -66,11 +66,10 @@ def validate_requests(pairs: DataFrame) -> DataFrame:
             "__gender": _one_of(GENDERS, F.lower(text), str.lower),
             "__channel": _one_of(CHANNELS, F.upper(text), str.upper),
             "__person": _uuid(text),
-            "instante": F.when(
-                is_date & is_text, parse_boundary(text, name == "FECHA_HASTA")
-            ),
+            "__date": F.when(is_date & is_text, text),
         }
     )
+    parsed = add_boundary(parsed, "__date", name == "FECHA_HASTA", "instante")
 
     whole = F.col("__whole")
     in_range = F.lit(False)

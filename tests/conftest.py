@@ -9,8 +9,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tallyspark.session import tune  # noqa: E402
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -24,7 +22,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield tune(session)
+    yield session
     session.stop()
 
 
