@@ -207,7 +207,9 @@ def test_batch_equals_one_request_at_a_time(spark, sales, broadcast_limit):
         )
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
-        assert ("SortMergeJoin" in plan) == (not broadcast_limit)
+        joins = [line for line in plan.splitlines() if "Join" in line and "__sale_shape" in line]
+        kind = "BroadcastHashJoin" if broadcast_limit else "SortMergeJoin"
+        assert joins and all(kind in line for line in joins)
         rows = {row["request_id"]: row for row in found.collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
