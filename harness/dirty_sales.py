@@ -27,7 +27,9 @@ def _two_digits(number: Column) -> Column:
 def dirty_sales(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys`` names columns of ``lineitem`` to keep beside the raw ones."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    r = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    r, d, hms, person, price = map(F.col, ("__r", "__d", "__hms", "__person", "__price"))
+    digest = F.md5(F.col("l_orderkey").cast("string").cast("binary"))
+    born = F.date_add(F.lit("1930-01-01").cast("date"), ((r * 37) % 24000).cast("int"))
 
     def every(n: int) -> Column:
         return r % n == 0
@@ -35,14 +37,27 @@ def dirty_sales(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) ->
     def turn(n: int, k: int) -> Column:
         return r % n == k
 
-    d = F.to_date("l_shipdate").cast("string")
-    hms = F.concat_ws(":", _two_digits(r % 24), _two_digits(r % 60), _two_digits((r * 7) % 60))
-    digest = F.md5(F.col("l_orderkey").cast("string").cast("binary"))
-    person = F.concat_ws(
-        "-", *(F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    # Shared parts first: nested in every case, they would be compiled many times.
+    parts = (
+        items.withColumn("__r", F.col("l_orderkey") * 7 + F.col("l_linenumber"))
+        .withColumn("__digest", digest)
+        .withColumns(
+            {
+                "__d": F.to_date("l_shipdate").cast("string"),
+                "__hms": F.concat_ws(
+                    ":", _two_digits(r % 24), _two_digits(r % 60), _two_digits((r * 7) % 60)
+                ),
+                "__person": F.concat_ws(
+                    "-",
+                    *(
+                        F.substring("__digest", start, size)
+                        for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+                    ),
+                ),
+                "__price": F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
+            }
+        )
     )
-    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
-    born = F.date_add(F.lit("1930-01-01").cast("date"), ((r * 37) % 24000).cast("int"))
     columns = {
         "FECHA": _choose(
             F.concat(d, F.lit("T"), hms),
@@ -107,7 +122,7 @@ def dirty_sales(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) ->
             (turn(5, 3), "7"),
         ),
     }
-    return items.select(*keys, *(columns[name].alias(name) for name in RAW_COLUMNS))
+    return parts.select(*keys, *(columns[name].alias(name) for name in RAW_COLUMNS))
 
 
 RAW_SQL = """

@@ -21,7 +21,8 @@ from tallyspark.functions.text import is_finite
 from tallyspark.operators.statistics import finite_values, statistics_per_key
 
 REQUEST_ID = "request_id"
-BROADCAST_REQUESTS = 100_000  # about 20 MB of requests; larger sets use a shuffle join
+BROADCAST_BYTES = 32 << 20  # of requests; a larger set uses a shuffle join
+_ROW_BYTES = 200  # a typed request without its id, generously
 
 EQUALITY = {  # request column -> sales column
     "genero": "genero_texto",
@@ -55,7 +56,7 @@ def batch_statistics(
     sales: DataFrame,
     requests: DataFrame,
     column: str = TARGET_COLUMN,
-    broadcast_limit: int = BROADCAST_REQUESTS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``request_id`` and the seven statistics of the sales each request selects.
 
@@ -71,6 +72,9 @@ def batch_statistics(
     facts = typed.agg(
         F.count("*").alias("n"),
         F.count_distinct(REQUEST_ID).alias("ids"),
+        F.coalesce(F.sum(F.octet_length(F.col(REQUEST_ID).cast("string"))), F.lit(0)).alias(
+            "id_bytes"
+        ),
         F.collect_set("__shape").alias("shapes"),  # at most 64 numbers
         F.count("fecha_desde").alias("bounded_below"),
         F.count("fecha_hasta").alias("bounded_above"),
@@ -113,7 +117,7 @@ def batch_statistics(
 
     def matches(bands: DataFrame | None) -> DataFrame:
         side = typed if bands is None else typed.join(bands, REQUEST_ID)
-        if facts["n"] <= broadcast_limit:
+        if facts["n"] * _ROW_BYTES + facts["id_bytes"] <= broadcast_bytes:
             side = F.broadcast(side)
         joined = facts_side.join(side, same)
         if uses_time:

@@ -26,7 +26,9 @@ from tallyspark.errors import StatisticsError
 from tallyspark.functions.buckets import band_bucket, few_values_left, magnitude_bucket
 from tallyspark.functions.text import is_finite
 
-PASSES = 4  # one logarithmic, then steps of 1/65,536 until single doubles are left
+# One logarithmic pass leaves a band with at most 2**49 doubles, three linear ones
+# cut it by 2**11 each, and the last ranks single values.
+PASSES = 5
 
 _VALUE = "__value"
 _BUCKET = "__bucket"
@@ -127,9 +129,12 @@ def next_pass(
     """
     value = F.col(_VALUE)
     inside = values.where((value >= band["__low"]) & (value <= band["__high"]))
-    constants = [F.min(band[name]).alias(name) for name in ("__below", *RANKS)]
     bucket = band_bucket(value, band["__low"], band["__high"], band["__exact"])
-    buckets = _per_bucket(inside, keys, bucket, *constants)
+    known = ("__below", *RANKS)
+    if keys:
+        buckets = _per_bucket(inside, keys, bucket, *(F.min(band[c]).alias(c) for c in known))
+    else:
+        buckets = _per_bucket(inside, keys, bucket).withColumns({c: band[c] for c in known})
     ordered = (
         Window.partitionBy(*keys)
         .orderBy(_BUCKET)

@@ -196,19 +196,19 @@ def test_filters_reach_the_parquet_scan(sales):
     assert "sku" not in pushed[pushed.index("ReadSchema") :]
 
 
-@pytest.mark.parametrize("broadcast_limit", [1000, 0])
-def test_batch_equals_one_request_at_a_time(spark, sales, broadcast_limit):
-    if not broadcast_limit:
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_batch_equals_one_request_at_a_time(spark, sales, broadcast_bytes):
+    if not broadcast_bytes:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         specs = {name: _spec(**given) for name, (given, _) in _CASES.items()}
         found = batch_statistics(
-            sales, requests_frame(spark, specs), broadcast_limit=broadcast_limit
+            sales, requests_frame(spark, specs), broadcast_bytes=broadcast_bytes
         )
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
         joins = [line for line in plan.splitlines() if "Join" in line and "__sale_shape" in line]
-        kind = "BroadcastHashJoin" if broadcast_limit else "SortMergeJoin"
+        kind = "BroadcastHashJoin" if broadcast_bytes else "SortMergeJoin"
         assert joins and all(kind in line for line in joins)
         rows = {row["request_id"]: row for row in found.collect()}
     finally:

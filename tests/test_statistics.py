@@ -124,7 +124,7 @@ def test_real_limits_settle_in_the_promised_passes(spark, kind):
     def matches(bands):
         return kept if bands is None else kept.join(bands, "k")
 
-    assert PASSES == 4
+    assert PASSES == 5
     found = statistics_per_key(["k"], matches).first()
     assert found["mediana"] == median(_hard_values(kind)[:50])
 
