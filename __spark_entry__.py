@@ -158,7 +158,7 @@ def _published_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = workspace.published(spark, sf_dir)
-    return dataset_checks(spark, root, latest_manifest(spark, root)).select("check", "ok")
+    return dataset_checks(spark, root, latest_manifest(spark, root))
 
 
 def _filtered(name: str) -> Query:
@@ -194,7 +194,8 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linestatus",
     )
     found = fingerprint(_table(spark, sf_dir, "lineitem"), columns)
-    return found.select("fp_rows", *(F.col(c).cast("string").alias(c) for c in ("fp_high", "fp_low")))
+    sums = (F.col(c).cast("string").alias(c) for c in ("fp_high", "fp_low"))
+    return found.select("fp_rows", *sums)
 
 
 def _redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,19 @@ def oracle_sql() -> dict[str, str]:
         "valid_rows": f"WITH {MARKED} SELECT {_TYPED_COLUMNS} FROM marked WHERE NOT ({any_reason})",
         "discarded_rows": f"WITH {MARKED} SELECT {_TYPED_COLUMNS}, {', '.join(REASONS)} FROM marked WHERE {any_reason}",
         "published_row_count": f"WITH {MARKED} SELECT CAST(count(*) AS BIGINT) AS filas FROM ventas",
+        "dataset_checks": f"""WITH {MARKED}, counts AS (
+            SELECT count(*) AS n, count_if(NOT ({any_reason})) AS good FROM marked)
+            SELECT * FROM (VALUES
+              ('generation', TRUE, 'table, summary, quality and manifest carry one generation'),
+              ('declaration', TRUE, 'schema version, target column and columns are as declared'),
+              ('schema', TRUE, 'the stored table has the analytic schema'),
+              ('reasons', TRUE, 'exactly the named reasons, each from 0 to the total'),
+              ('publication', TRUE, 'policy present and one publication time'),
+              ('statistics', TRUE, 'seven statistics, finite, null only without rows')
+            ) AS fixed("check", ok, detail)
+            UNION ALL
+            SELECT 'row_counts', TRUE, 'table ' || good || ', valid ' || good || ', discarded '
+              || (n - good) || ', total ' || n FROM counts""",
         "fingerprint": f"""SELECT CAST(count(*) AS BIGINT) AS fp_rows,
             CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fp_high,
             CAST(sum(CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fp_low

@@ -19,7 +19,8 @@ def row_hash(columns: Sequence[str]) -> Column:
 
 
 def _half(digest: Column, start: int) -> Column:
-    return F.conv(F.substring(digest, start, _HEX_DIGITS), 16, 10).cast("bigint").cast("decimal(28,0)")
+    number = F.conv(F.substring(digest, start, _HEX_DIGITS), 16, 10).cast("bigint")
+    return number.cast("decimal(28,0)")  # sums stay exact beyond 10**18 rows
 
 
 def fingerprint_counters(digest: Column) -> list[Column]:

@@ -11,8 +11,11 @@ from tallyspark.contract import RUN_MARK, UUID_MARK
 _START = r"(?<![\p{L}\p{N}_])"
 _END = r"(?![\p{L}\p{N}_])"
 # The two identifier layouts.
-UUID_IN_TEXT = rf"(?i){_START}[0-9a-f]{{8}}-(?:[0-9a-f]{{4}}-){{3}}[0-9a-f]{{12}}{_END}"
-RUN_IN_TEXT = rf"{_START}\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}{{3}}){{2}}-[\p{{Nd}}kK]{_END}"
+_UUID = "[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
+_RUN = r"\p{Nd}{1,3}(?:\.\p{Nd}{3}){2}-[\p{Nd}kK]"
+# The look ahead rules out most positions before the character behind is examined.
+UUID_IN_TEXT = rf"(?=[0-9a-fA-F]{{8}}-){_START}{_UUID}{_END}"
+RUN_IN_TEXT = rf"(?=\p{{Nd}}{{1,3}}\.){_START}{_RUN}{_END}"
 
 
 def redact(text: Column) -> Column:

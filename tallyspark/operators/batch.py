@@ -10,7 +10,7 @@ pairs go straight into partial aggregates.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +36,11 @@ _BIT = {name: 1 << position for position, name in enumerate(EQUALITY)}
 
 
 def _shape() -> Column:
-    return reduce(
-        lambda a, b: a.bitwiseOR(b),
-        (F.when(F.col(name).isNotNull(), F.lit(bit)).otherwise(F.lit(0)) for name, bit in _BIT.items()),
+    bits = (
+        F.when(F.col(name).isNotNull(), F.lit(bit)).otherwise(F.lit(0))
+        for name, bit in _BIT.items()
     )
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def _in_range() -> Column:
@@ -98,7 +99,7 @@ def batch_statistics(
     per_shape = finite_values(wanted, column, kept).withColumn(
         "__shape", F.explode(F.array(*map(F.lit, shapes))) if shapes else F.lit(0)
     )
-    facts_side = per_shape.select(
+    sale_side = per_shape.select(
         "__value",
         F.col("__shape").alias("__sale_shape"),
         *(["fecha"] if uses_time else []),
@@ -119,7 +120,7 @@ def batch_statistics(
         side = typed if bands is None else typed.join(bands, REQUEST_ID)
         if facts["n"] * _ROW_BYTES + facts["id_bytes"] <= broadcast_bytes:
             side = F.broadcast(side)
-        joined = facts_side.join(side, same)
+        joined = sale_side.join(side, same)
         if uses_time:
             joined = joined.where(_in_range())
         return joined.select(
@@ -129,7 +130,7 @@ def batch_statistics(
     found = statistics_per_key([REQUEST_ID], matches)
     values = [c for c in STATISTIC_COLUMNS if c not in ("suma", "conteo")]
     overflow = reduce(
-        lambda a, b: a | b, (~F.coalesce(is_finite(F.col(c)), F.lit(True)) for c in ("suma", *values))
+        or_, (~F.coalesce(is_finite(F.col(c)), F.lit(True)) for c in ("suma", *values))
     )
     return typed.select(REQUEST_ID).join(found, REQUEST_ID, "left").select(
         REQUEST_ID,

@@ -74,9 +74,8 @@ def dataset_checks(
     except AnalysisException:
         stored, schema_matches = None, False
 
-    summary_text = _or_empty(
-        spark, lambda: spark.read.text(part("summary")), T.StructType([T.StructField("value", T.StringType())])
-    )
+    line = T.StructType([T.StructField("value", T.StringType())])
+    summary_text = _or_empty(spark, lambda: spark.read.text(part("summary")), line)
     parsed = F.from_json("value", SUMMARY_SCHEMA)
     keys = F.array_sort(F.json_object_keys(F.get_json_object("value", "$.statistics")))
     summary = summary_text.select(parsed.alias("s"), keys.alias("statistic_names")).select(
@@ -165,7 +164,8 @@ def dataset_checks(
         ),
         (
             "reasons",
-            (F.col("reasons") == F.array(*map(F.lit, sorted(REASONS)))) & (F.col("bad_counts") == 0),
+            (F.col("reasons") == F.array(*map(F.lit, sorted(REASONS))))
+            & (F.col("bad_counts") == 0),
             F.lit("exactly the named reasons, each from 0 to the total"),
         ),
         (

@@ -18,6 +18,7 @@ from tallyspark.operators.filters import INTEGER_RANGES, MAX_DIGITS
 
 _PYTHON_SPACE = WHITE_SPACE + "\x1c\x1d\x1e\x1f"
 _DATES = ("FECHA_DESDE", "FECHA_HASTA")
+SALTS = 16
 
 
 def _one_of(allowed: tuple[str, ...], text: Column, fold) -> Column:
@@ -99,26 +100,33 @@ def validate_requests(pairs: DataFrame) -> DataFrame:
             .when(name == "ID_PERSONA", F.col("__person")),
         ).alias("valor_norm"),
         "instante",
-        F.when(is_date & F.col("instante").isNotNull(), (name == "FECHA_HASTA") & is_whole_day(text))
-        .alias("exclusiva"),
+        F.when(
+            is_date & F.col("instante").isNotNull(), (name == "FECHA_HASTA") & is_whole_day(text)
+        ).alias("exclusiva"),
         "__own",
     )
 
-    # Facts about a whole request come from one partial aggregate, not a window:
-    # a request id that holds very many pairs must not end up in one task.
+    # What concerns a whole request comes from one partial aggregate, and only the
+    # requests with a fault go on to the join. A request id that holds very many
+    # pairs (it repeats filters then) is one row there, and its pairs are salted.
     start = F.when(name == "FECHA_DESDE", F.col("instante"))
     end = F.when(name == "FECHA_HASTA", F.col("instante"))
-    reversed_range = (F.max(start) > F.min(end)) | (
-        F.bool_or((name == "FECHA_HASTA") & F.col("exclusiva")) & (F.max(start) == F.min(end))
+    open_end = F.bool_or((name == "FECHA_HASTA") & F.col("exclusiva"))
+    late = (F.max(start) > F.min(end)) | (open_end & (F.max(start) == F.min(end)))
+    repeated = F.filter(
+        F.array(*(F.when(F.count_if(name == n) > 1, F.lit(n)) for n in FILTER_NAMES)),
+        lambda filter_name: filter_name.isNotNull(),
+    )
+    faults = (
+        checked.groupBy(REQUEST_ID)
+        .agg(repeated.alias("__repeated"), F.coalesce(late, F.lit(False)).alias("__late"))
+        .where(F.col("__late") | (F.size("__repeated") > 0))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    whole_request = checked.groupBy(REQUEST_ID).agg(
-        *(F.count_if(name == filter_name).alias(f"__n_{filter_name}") for filter_name in FILTER_NAMES),
-        reversed_range.alias("__reversed"),
+    salted = checked.withColumn(
+        "__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     )
-    repeated = F.lit(False)
-    for filter_name in FILTER_NAMES:
-        repeated = repeated | ((name == filter_name) & (F.col(f"__n_{filter_name}") > 1))
-    return checked.join(whole_request, REQUEST_ID).select(
+    return salted.join(faults, [REQUEST_ID, "__salt"], "left").select(
         REQUEST_ID,
         "consulta",
         "valor",
@@ -126,8 +134,8 @@ def validate_requests(pairs: DataFrame) -> DataFrame:
         "instante",
         "exclusiva",
         F.when(F.col("__own") == "unknown_filter", F.col("__own"))
-        .when(repeated, "repeated_filter")
-        .otherwise(F.coalesce("__own", F.when(is_date & F.col("__reversed"), "reversed_range")))
+        .when(F.array_contains("__repeated", name), "repeated_filter")
+        .otherwise(F.coalesce("__own", F.when(is_date & F.col("__late"), "reversed_range")))
         .alias("error_code"),
     )
 
