@@ -125,6 +125,12 @@ def _csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clock(analytic_projection(quality.valid_rows(_extract(spark, sf_dir))))
 
 
+def _csv_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the rules discard, from the comma form of the extract."""
+    rows = normalize(read_sales_csv(spark, workspace.comma_extract(spark, sf_dir)))
+    return _clock(quality.discarded_rows(rows))
+
+
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.published_sales(spark, workspace.published(spark, sf_dir))
 
@@ -240,6 +246,7 @@ _QUERIES: dict[str, Query] = {
     "discarded_rows": _discarded,
     "analytic_projection": _analytic,
     "csv_ingest": _csv_ingest,
+    "csv_comma_discarded": _csv_comma,
     "publish_and_read": _publish_and_read,
     "reingest_unchanged": _reingest_unchanged,
     "published_row_count": _row_count,

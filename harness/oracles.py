@@ -229,6 +229,7 @@ def oracle_sql() -> dict[str, str]:
                   FROM (SELECT *, md5(CAST(conv_id AS VARCHAR)) AS h FROM conversations))""",
         "redact_documents": f"SELECT doc_id, {redacted('text')} AS text FROM documents",
     }
+    sql["csv_comma_discarded"] = sql["discarded_rows"]
     analytic = f"WITH {MARKED} SELECT * FROM ventas"
     for name in ("analytic_projection", "csv_ingest", "publish_and_read", "reingest_unchanged"):
         sql[name] = analytic

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from harness.dirty_sales import dirty_sales
 from tallyspark.contract import GENDER_HEADER, GENDER_HEADER_ALIAS
@@ -43,12 +44,10 @@ def new_dir(spark: SparkSession, sf_dir: str, what: str) -> str:
     return f"{work_dir(spark)}/{scale}/{what}"
 
 
-def write_extract(raw: DataFrame, path: str) -> None:
-    """The semicolon form of the extract, with the unaccented gender header."""
+def write_extract(raw: DataFrame, path: str, separator: str) -> None:
     (
-        raw.withColumnRenamed(GENDER_HEADER, GENDER_HEADER_ALIAS)
-        .write.option("header", True)
-        .option("sep", ";")
+        raw.write.option("header", True)
+        .option("sep", separator)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -56,14 +55,29 @@ def write_extract(raw: DataFrame, path: str) -> None:
 
 
 def extract(spark: SparkSession, sf_dir: str) -> str:
+    """The semicolon form, with the unaccented gender header."""
+
     def make() -> str:
         path = new_dir(spark, sf_dir, "extract")
-        write_extract(dirty_sales(spark, sf_dir), path)
+        raw = dirty_sales(spark, sf_dir).withColumnRenamed(GENDER_HEADER, GENDER_HEADER_ALIAS)
+        write_extract(raw, path, ";")
         return path
 
     return _once(spark, sf_dir, "extract", make)
 
 
+def comma_extract(spark: SparkSession, sf_dir: str) -> str:
+    """The comma form: columns in reverse order, one more column, quoted separators."""
+
+    def make() -> str:
+        path = new_dir(spark, sf_dir, "comma")
+        raw = dirty_sales(spark, sf_dir).withColumn("NOTA", F.lit('a, "b"; c'))
+        write_extract(raw.select(*(F.col(f"`{c}`") for c in reversed(raw.columns))), path, ",")
+        return path
+
+    return _once(spark, sf_dir, "comma", make)
+
+
 def published(spark: SparkSession, sf_dir: str) -> str:
     def make() -> str:
         root = new_dir(spark, sf_dir, "published")
