@@ -95,7 +95,10 @@ def dataset_checks(
                 F.col("rows").isNull() | (F.col("rows") < 0) | (F.col("rows") > F.col("total_rows"))
             ).alias("bad_counts"),
             *(
-                F.when(F.count_distinct(name) == 1, F.min(name)).alias(f"q_{name}")
+                # The one value all rows share, else null.
+                F.when(
+                    (F.min(name) == F.max(name)) & (F.count(name) == F.count("*")), F.min(name)
+                ).alias(f"q_{name}")
                 for name in (
                     "processed_at",
                     "policy",
