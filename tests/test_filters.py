@@ -4,6 +4,7 @@ from datetime import UTC, datetime
 from uuid import UUID
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.errors import FilterError
 from tallyspark.operators.batch import batch_statistics
@@ -229,9 +230,45 @@ def test_batch_needs_unique_requests(spark, sales):
 
 
 def test_batch_flags_overflow_per_request(spark, sales):
-    from pyspark.sql import functions as F
-
     huge = sales.withColumn("monto_aplicado", F.when(F.col("canal") == "POS", 1e308).otherwise(1.0))
     specs = {"bad": FilterSpec(canal="POS"), "good": FilterSpec(canal="WEB")}
     rows = batch_statistics(huge, requests_frame(spark, specs)).collect()
     assert {row["request_id"]: row["no_finita"] for row in rows} == {"bad": True, "good": False}
+
+
+def test_one_shop_with_a_third_of_all_rows_is_split(spark):
+    """Without a broadcast the hot key's rows go to several tasks, and none is lost."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    n = F.col("id")
+    sales = spark.range(0, 600_000, 1, 8).select(
+        F.timestamp_seconds(n).alias("fecha"),
+        F.lit("POS").alias("canal"),
+        n.alias("sku"),
+        (n * 7 % 100_003 / 100.0).alias("monto_aplicado"),
+        F.when(n % 3 == 0, F.lit(1)).otherwise(n % 5000 + 2).cast("long").alias("local"),
+        F.lit("x").alias("codigo_cliente"),
+        F.lit("Otro").alias("genero_texto"),
+        F.lit(30).cast("short").alias("edad_en_transaccion"),
+    )
+    requests = requests_frame(spark, {str(k): FilterSpec(local=k) for k in range(1, 200)})
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = batch_statistics(sales, requests, broadcast_bytes=0)
+        rows = {row["request_id"]: row for row in found.collect()}
+        final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert "skew=true" in final
+    expected = sales.where("local = 1").agg(F.count("*"), F.median("monto_aplicado")).first()
+    assert (rows["1"]["conteo"], rows["1"]["mediana"]) == tuple(expected) == (200_000, 499.995)
+    assert sum(row["conteo"] for row in rows.values()) == sales.where("local < 200").count()
