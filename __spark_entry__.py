@@ -33,6 +33,14 @@ from tallyspark.plans.ingest import ingest  # noqa: E402
 from tallyspark.sources.generations import latest_manifest  # noqa: E402
 from tallyspark.sources.sales_csv import read_sales_csv  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from tallyspark.llm import queries as llm_queries
+except ModuleNotFoundError as problem:  # the optional package has been removed
+    if problem.name not in ("corpus_pipeline", "tallyspark.llm", "tallyspark.llm.queries"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _DIGITS = {"suma": 2, "promedio": 4, "mediana": 4, "desviacion_estandar": 4}
@@ -269,8 +277,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    if llm_queries is None:
+        return dict(_QUERIES)
+    return {**_QUERIES, **llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    if llm_queries is None:
+        return oracles.oracle_sql()
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**oracles.oracle_sql(), **llm_queries.SQL, **whole}
