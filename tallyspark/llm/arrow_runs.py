@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import sys
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,19 @@ import pyarrow.compute as pc
 
 
 _PART_BYTES = 4 << 20
+_SHARED = "_tallyspark_worker"
+
+
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """What the tasks of one Python worker share: made by the first that asks for it.
+
+    Functions come to a worker by value, with globals of their own in every task; a module
+    entered in ``sys.modules`` stays as long as the worker does.
+    """
+    shared = sys.modules.setdefault(_SHARED, ModuleType(_SHARED)).__dict__
+    if key not in shared:
+        shared[key] = make()
+    return shared[key]
 
 
 def text_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

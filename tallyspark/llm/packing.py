@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.arrow_runs import numbers, text_parts
+from tallyspark.llm.arrow_runs import numbers, per_process, text_parts
 from tallyspark.llm.scratch import saved
 
 CAPACITY = 2048
 _END = b"\0\0\0\0"  # id 0 after every document
-_REMEMBERED = 1 << 19  # encoded words a task keeps
+_REMEMBERED = 1 << 19  # encoded words a Python worker keeps
 _LONGEST = 64  # characters of a word worth remembering
 _JOINED = 1000  # words encoded as one text
 _WORD_END = "</w>"
@@ -120,7 +120,7 @@ class Encoder:
 
 def _pieces(tokenizer_path: str, capacity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = per_process(("encoder", tokenizer_path), lambda: Encoder(tokenizer_path))
         for batch in batches:
             for part in text_parts(batch, 1):
                 owner, piece, start, length, crc = [], [], [], [], []
