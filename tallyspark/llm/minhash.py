@@ -292,11 +292,15 @@ def _links(texts: DataFrame, representatives: DataFrame, words: int, percent: in
     """``a, b``: verified links that connect what is connected."""
     kind = texts.schema["id"].dataType.simpleString()
     pairs = saved(_groups(representatives), "dedup-groups").frame
-    sizes = pairs.groupBy("pivot").agg(
-        F.greatest(
-            F.ceil(F.count("*") / _STAR_ROWS), F.ceil(F.sum("n") / _STAR_SHINGLES)
-        ).alias("salts")
-    )
+    # Written, so that the join with it has two plain sides and a hot pivot can be split.
+    sizes = saved(
+        pairs.groupBy("pivot").agg(
+            F.greatest(
+                F.ceil(F.count("*") / _STAR_ROWS), F.ceil(F.sum("n") / _STAR_SHINGLES)
+            ).alias("salts")
+        ),
+        "dedup-sizes",
+    ).frame
     # An id that stands for two sets (repeated ids with different texts) is compared by one.
     digests = representatives.groupBy(F.col("rep").alias("member")).agg(
         F.min(F.struct("h1", "h2")).alias("digest")
