@@ -38,9 +38,10 @@ def _draw(key: Column) -> Column:
 
 
 def _rank(key: Column, rest: Column) -> Column:
-    """Random odds over inclusion odds; smaller is taken first."""
+    """Random odds over inclusion odds; smaller is taken first. Null if none is to be taken."""
     draw = _draw(key)
-    return (draw / (1.0 - draw)) / (rest / (1.0 - rest))
+    odds = (draw / (1.0 - draw)) / (rest / (1.0 - rest))
+    return F.when((rest > 0) & (rest < 1), odds).when(rest >= 1, F.lit(0.0))
 
 
 def source_targets(

@@ -33,6 +33,7 @@ COSINE = 0.93
 NEAREST = 8
 LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
 _PER_ROOT = 4  # pivots for each square root of the number of vectors
+_NO_PAIR = (0, 0xFFFF)
 _APART = 0.8  # cosine that two pivots stay below
 _BLOCK = 512  # rows of one side of a block
 _SHORT = 48  # rows of a list that is compared together with others
@@ -62,7 +63,9 @@ def _described(pivots: dict[int, np.ndarray]):
                 for row, one in zip(rows.tolist(), unit, strict=True):
                     raw[row] = one.tobytes()
                 references = pivots.get(dimension)
-                if references is not None:
+                if references is None or len(references) < 2:
+                    near[rows, :2] = _NO_PAIR  # too few pivots to tell: all share a list
+                else:
                     likeness = unit @ references.T
                     order = np.argsort(-likeness, axis=1, kind="stable")[:, :NEAREST]
                     near[rows, : order.shape[1]] = order
