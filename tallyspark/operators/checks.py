@@ -36,10 +36,17 @@ CHECKS_SCHEMA = T.StructType(
 )
 
 
+def _is_absent(problem: AnalysisException) -> bool:
+    """No folder, or nothing in it."""
+    return problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def _or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:
     try:
         return read()
-    except AnalysisException:
+    except AnalysisException as problem:
+        if not _is_absent(problem):
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -71,7 +78,9 @@ def dataset_checks(
     try:
         stored = spark.read.parquet(part("sales"))
         schema_matches = _shape(stored.schema) == _shape(ANALYTIC_SCHEMA)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if not _is_absent(problem):
+            raise
         stored, schema_matches = None, False
 
     line = T.StructType([T.StructField("value", T.StringType())])

@@ -39,10 +39,12 @@ from tallyspark.sources.generations import (
     MANIFEST_SCHEMA,
     QUALITY_SCHEMA,
     SUMMARY_SCHEMA,
+    folder_listing,
     generation_path,
     latest_manifest,
     manifest_path,
     read_sales,
+    remove_generation,
     write_rows,
     write_sales,
 )
@@ -67,21 +69,40 @@ class IngestResult:
     source_fingerprint: str
 
 
-def _unchanged(spark: SparkSession, root: str, source: str, listing, manifest) -> str | None:
-    """Fingerprint of the source if it could be compared with the latest generation."""
+def _unchanged(
+    spark: SparkSession, root: str, source: str, listing, manifest, options: dict
+) -> str | None:
+    """Fingerprint of the source if it could be compared with the latest generation.
+
+    Other reader options may read other rows, so they count as a change.
+    """
     if any(manifest[name] != listing[name] for name in _LISTING) or manifest["source"] != source:
         return None
+    if any(manifest[name] != value for name, value in options.items()):
+        return None
     if dataset_checks(spark, root, manifest).where(~F.col("ok")).limit(1).count():
         return None
-    return fingerprint_text(fingerprint(read_sales_csv(spark, source), RAW_COLUMNS).first())
+    rows = read_sales_csv(spark, source, multi_line=options["multi_line"])
+    return fingerprint_text(fingerprint(rows, RAW_COLUMNS).first())
 
 
-def needs_ingest(spark: SparkSession, source: str, root: str) -> bool:
-    """False if the latest generation is coherent and came from this very source."""
+def needs_ingest(
+    spark: SparkSession,
+    source: str,
+    root: str,
+    *,
+    on_malformed: str = "fail",
+    multi_line: bool = False,
+) -> bool:
+    """False if the latest generation is coherent and came from this very source.
+
+    The reader options are those ``ingest`` would be called with.
+    """
+    options = {"on_malformed": on_malformed, "multi_line": multi_line}
     manifest = latest_manifest(spark, root)
     if manifest is None:
         return True
-    seen = _unchanged(spark, root, source, source_listing(spark, source), manifest)
+    seen = _unchanged(spark, root, source, source_listing(spark, source), manifest, options)
     return seen is None or seen != manifest["source_fingerprint"]
 
 
@@ -104,7 +125,8 @@ def ingest(
     started = time.perf_counter()
     listing = source_listing(spark, source)
     manifest = None if force else latest_manifest(spark, root)
-    seen = manifest and _unchanged(spark, root, source, listing, manifest)
+    options = {"on_malformed": on_malformed, "multi_line": multi_line}
+    seen = manifest and _unchanged(spark, root, source, listing, manifest, options)
     if seen and seen == manifest["source_fingerprint"]:
         return IngestResult(
             UNCHANGED,
@@ -115,8 +137,26 @@ def ingest(
         )
 
     generation = str(uuid4())
+    try:
+        return _publish(spark, source, root, generation, listing, seen, options, started)
+    except BaseException:
+        remove_generation(spark, root, generation)
+        raise
+
+
+def _publish(
+    spark: SparkSession,
+    source: str,
+    root: str,
+    generation: str,
+    listing,
+    seen: str | None,
+    options: dict,
+    started: float,
+) -> IngestResult:
+    """Write all parts of a generation, the manifest row last."""
     table = generation_path(root, generation, "sales")
-    raw = read_sales_csv(spark, source, multi_line=multi_line)
+    raw = read_sales_csv(spark, source, multi_line=options["multi_line"])
     tagged = raw.withColumn(_DIGEST, row_hash(RAW_COLUMNS))
     counts = Observation()
     marked = observed(
@@ -127,7 +167,7 @@ def ingest(
     )
     write_sales(analytic_projection(marked.where(~F.col(INVALID))), table)
     seen_now = counts.get
-    if on_malformed == "fail" and seen_now["malformed"]:
+    if options["on_malformed"] == "fail" and seen_now["malformed"]:
         raise IngestError(f"{seen_now['malformed']} lines have too few or too many fields")
     statistics = seven_statistics(read_sales(spark, table)).first()
 
@@ -165,6 +205,9 @@ def ingest(
         round(time.perf_counter() - started, 6),
         TARGET_HEADER,
         list(ANALYTIC_COLUMNS),
+        *folder_listing(spark, table),
+        options["on_malformed"],
+        options["multi_line"],
     )
     write_rows(spark, [row], MANIFEST_SCHEMA, manifest_path(root), mode="append")
     return IngestResult(DONE, generation, valid, discarded, source_fingerprint)

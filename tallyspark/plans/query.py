@@ -14,19 +14,39 @@ from tallyspark.operators.statistics import seven_statistics
 from tallyspark.sources.generations import (
     QUALITY_SCHEMA,
     SUMMARY_SCHEMA,
+    folder_listing,
     generation_path,
     latest_manifest,
     read_sales,
 )
 
 
-def ready_manifest(spark: SparkSession, root: str, *, count_table: bool = False) -> Row:
-    """Manifest row of the latest generation; ``NotReadyError`` if it cannot be served."""
+_verified: set[tuple] = set()  # generations found coherent, as they were then
+
+
+def ready_manifest(spark: SparkSession, root: str) -> Row:
+    """Manifest row of the latest generation; ``NotReadyError`` if it cannot be served.
+
+    Files and bytes of the table are compared with the manifest on every call. All other
+    checks, the row count included, run once per session for a generation whose folder
+    has not changed since.
+    """
     manifest = latest_manifest(spark, root)
-    checks = dataset_checks(spark, root, manifest, count_table=count_table)
+    state: tuple = ()
+    if manifest is not None and manifest["generation_id"]:
+        generation = manifest["generation_id"]
+        listed = folder_listing(spark, generation_path(root, generation, "sales"))
+        if listed != (manifest["table_files"], manifest["table_bytes"]):
+            raise NotReadyError("the dataset is not ready: files of the table are missing or changed")
+        whole = folder_listing(spark, f"{root}/gen={generation}")
+        state = (spark.sparkContext.applicationId, root, tuple(map(str, manifest)), whole)
+        if state in _verified:
+            return manifest
+    checks = dataset_checks(spark, root, manifest)
     failed = [row["check"] for row in checks.where(~F.col("ok")).collect()]
     if failed:
         raise NotReadyError(f"the dataset is not ready: {', '.join(failed)}")
+    _verified.add(state)
     return manifest
 
 

@@ -55,6 +55,10 @@ MANIFEST_SCHEMA = _fields(
     duration_seconds=T.DoubleType(),
     stat_target_column=T.StringType(),
     analytic_columns=T.ArrayType(T.StringType()),
+    table_files=T.LongType(),
+    table_bytes=T.LongType(),
+    on_malformed=T.StringType(),
+    multi_line=T.BooleanType(),
 )
 
 
@@ -66,6 +70,22 @@ def manifest_path(root: str) -> str:
     return f"{root}/manifest"
 
 
+def folder_listing(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Files below a folder and their bytes; (0, 0) if there is none. No file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return 0, 0
+    summary = system.getContentSummary(folder)
+    return summary.getFileCount(), summary.getLength()
+
+
+def remove_generation(spark: SparkSession, root: str, generation_id: str) -> None:
+    """Delete what a failed ingest has written; no manifest row names it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/gen={generation_id}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_sales(valid: DataFrame, path: str) -> None:
     """Parquet sink. Column statistics are always written.
 
