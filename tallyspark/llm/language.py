@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.llm.arrow_runs import text_parts
+
 UNKNOWN = "und"
 DICTIONARY_BYTES = 64 << 10  # per language
 SAMPLE_ROWS = 400  # labelled rows per language that a dictionary is made of, at most
@@ -120,16 +122,17 @@ def _classified(dictionaries: Mapping[str, bytes]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(dictionaries)
         for batch in batches:
-            found = [classifier.classify(text) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(place) for place in range(1, batch.num_columns)),
-                    pa.array([one[0] for one in found], pa.string()),
-                    pa.array([one[1] for one in found], pa.float64()),
-                    pa.array([one[2] for one in found], pa.float64()),
-                ],
-                names=[*batch.schema.names[1:], "__language", "__score", "__margin"],
-            )
+            for part in text_parts(batch, 0):
+                found = [classifier.classify(text) for text in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(place) for place in range(1, part.num_columns)),
+                        pa.array([one[0] for one in found], pa.string()),
+                        pa.array([one[1] for one in found], pa.float64()),
+                        pa.array([one[2] for one in found], pa.float64()),
+                    ],
+                    names=[*part.schema.names[1:], "__language", "__score", "__margin"],
+                )
 
     return run
 

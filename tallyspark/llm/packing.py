@@ -32,7 +32,7 @@ _REMEMBERED = 1 << 19  # encoded words a Python worker keeps
 _LONGEST = 64  # characters of a word worth remembering
 _JOINED = 1000  # words encoded as one text
 _WORD_END = "</w>"
-_PER_SALT, _SALTS = 512, 4096  # pieces of one length numbered together; groups of one length
+_PER_SALT, _SALTS = 128, 4096  # pieces of one length numbered together; groups of one length
 
 
 class Encoder:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_REMEMBERED = 1 << 19  # word hashes a task keeps
+_REMEMBERED = 1 << 18  # word hashes a task keeps
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
