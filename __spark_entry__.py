@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from harness import oracles, workspace  # noqa: E402
 from harness.dirty_sales import dirty_sales  # noqa: E402
-from harness.request_tables import raw_requests, typed_requests  # noqa: E402
+from harness.request_tables import raw_requests, time_requests, typed_requests  # noqa: E402
 
 from tallyspark.functions.fingerprint import fingerprint  # noqa: E402
 from tallyspark.functions.moments import utc_wall_clock  # noqa: E402
@@ -191,6 +191,12 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(query.statistics_of_requests(spark, root, typed_requests(spark, sf_dir)))
 
 
+def _batch_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that set a time range and nothing else, so every sale could meet every one."""
+    root = workspace.published(spark, sf_dir)
+    return _rounded(query.statistics_of_requests(spark, root, time_requests(spark, sf_dir)))
+
+
 def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clock(validate_requests(raw_requests(spark, sf_dir)))
 
@@ -264,6 +270,7 @@ _QUERIES: dict[str, Query] = {
     "dataset_checks": _checks,
     **{name: _filtered(name) for name in oracles.FILTERS},
     "batch_stats": _batch,
+    "batch_time_ranges": _batch_time,
     "request_validation": _validation,
     "accepted_requests": _accepted,
     "fingerprint": _fingerprint,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from harness.dirty_sales import RAW_SQL
-from harness.request_tables import TYPED_REQUESTS_SQL, VALIDATION_SQL
+from harness.request_tables import TIME_REQUESTS_SQL, TYPED_REQUESTS_SQL, VALIDATION_SQL
 from tallyspark.contract import CHANNELS, REASONS
 
 _INTEGER = r"'^[+-]?[0-9]+$'"
@@ -144,6 +144,16 @@ MARKED_TEXT = """CASE (conv_id + turn) % 4
   ELSE text || ' x' || u || ' 12345678-9 112.345.678-k' END"""
 
 
+_PER_REQUEST = """SELECT r.request_id, round(coalesce(sum(v.monto_aplicado), 0.0) + 1e-7, 2) AS suma,
+  CAST(count(v.monto_aplicado) AS BIGINT) AS conteo,
+  round(avg(v.monto_aplicado) + 1e-7, 4) AS promedio, min(v.monto_aplicado) AS minimo,
+  max(v.monto_aplicado) AS maximo, round(median(v.monto_aplicado) + 1e-7, 4) AS mediana,
+  round(stddev_pop(v.monto_aplicado) + 1e-7, 4) AS desviacion_estandar, FALSE AS no_finita"""
+_IN_RANGE = """(r.desde IS NULL OR v.fecha >= r.desde)
+    AND (r.hasta IS NULL OR (r.exclusiva AND v.fecha < r.hasta)
+         OR (NOT r.exclusiva AND v.fecha <= r.hasta))"""
+
+
 def oracle_sql() -> dict[str, str]:
     reasons = ", ".join(f"CAST(count_if({r}) AS BIGINT) AS {r}" for r in REASONS)
     any_reason = " OR ".join(REASONS)
@@ -194,20 +204,18 @@ def oracle_sql() -> dict[str, str]:
             CAST(sum(CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fp_low
             FROM (SELECT {_DIGEST} AS h FROM lineitem)""",
         "batch_stats": f"""WITH {MARKED}, {TYPED_REQUESTS_SQL}
-            SELECT r.request_id, round(coalesce(sum(v.monto_aplicado), 0.0) + 1e-7, 2) AS suma,
-              CAST(count(v.monto_aplicado) AS BIGINT) AS conteo,
-              round(avg(v.monto_aplicado) + 1e-7, 4) AS promedio, min(v.monto_aplicado) AS minimo,
-              max(v.monto_aplicado) AS maximo, round(median(v.monto_aplicado) + 1e-7, 4) AS mediana,
-              round(stddev_pop(v.monto_aplicado) + 1e-7, 4) AS desviacion_estandar, FALSE AS no_finita
+            {_PER_REQUEST}
             FROM requests r LEFT JOIN ventas v
               ON (r.genero IS NULL OR r.genero = v.genero_texto)
              AND (r.edad IS NULL OR r.edad = v.edad_en_transaccion)
              AND (r.canal IS NULL OR r.canal = v.canal)
              AND (r.id_persona IS NULL OR r.id_persona = v.codigo_cliente)
              AND (r.local IS NULL OR r.local = v.local)
-             AND (r.desde IS NULL OR v.fecha >= r.desde)
-             AND (r.hasta IS NULL OR (r.exclusiva AND v.fecha < r.hasta)
-                  OR (NOT r.exclusiva AND v.fecha <= r.hasta))
+             AND {_IN_RANGE}
+            GROUP BY r.request_id""",
+        "batch_time_ranges": f"""WITH {MARKED}, {TIME_REQUESTS_SQL}
+            {_PER_REQUEST}
+            FROM requests r LEFT JOIN ventas v ON {_IN_RANGE}
             GROUP BY r.request_id""",
         "request_validation": f"{VALIDATION_SQL} SELECT * FROM verdict",
         "accepted_requests": f"""{VALIDATION_SQL}

@@ -66,6 +66,32 @@ def typed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
+def time_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A time range per customer and nothing else: overlapping, open at either end, repeated."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = F.col("c_custkey")
+    start, days = key % 1900, key % 23 * 30 + 1
+    return _typed(
+        rows.withColumn("request_id", key),
+        fecha_desde=F.when(key % 7 != 0, _instant("1992-06-01", start)),
+        fecha_hasta=F.when(key % 5 != 0, _instant("1992-06-01", start + days)),
+        fecha_hasta_exclusiva=key % 2 == 0,
+    )
+
+
+TIME_REQUESTS_SQL = """
+requests AS (
+  SELECT c_custkey AS request_id,
+    CASE WHEN c_custkey % 7 <> 0 THEN CAST(DATE '1992-06-01'
+      + CAST(c_custkey % 1900 AS INTEGER) AS TIMESTAMP) + INTERVAL 4 HOUR END AS desde,
+    CASE WHEN c_custkey % 5 <> 0 THEN CAST(DATE '1992-06-01'
+      + CAST(c_custkey % 1900 + c_custkey % 23 * 30 + 1 AS INTEGER) AS TIMESTAMP)
+      + INTERVAL 4 HOUR END AS hasta,
+    c_custkey % 2 = 0 AS exclusiva
+  FROM customer
+)"""
+
+
 _CHANNEL_LIST = ", ".join(f"'{c}'" for c in CHANNELS)
 _GENDER_LIST = ", ".join(f"'{g}'" for g in GENDERS)
 TYPED_REQUESTS_SQL = f"""

@@ -6,7 +6,7 @@ holds a rank can be read from bucket counts alone. That is all exactness needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Few steps keep the partial counts of a pass small (tasks x steps rows move); the
@@ -40,3 +40,31 @@ def few_values_left(low: Column, high: Column, rows: Column) -> Column:
     smallest = F.least(F.abs(low), F.abs(high))
     gap = F.greatest(smallest * 2.0**-53, F.lit(5e-324))
     return (rows <= EXACT_LIMIT) | ((high - low) / gap <= EXACT_LIMIT)
+
+
+def path_columns(depth: int) -> list[str]:
+    return [f"__step_{level}" for level in range(1, depth + 1)]
+
+
+def add_path(rows: DataFrame, value: str, depth: int) -> DataFrame:
+    """Add ``path_columns(depth)``: nested buckets that do not depend on any band.
+
+    The first is the magnitude bucket; each further one is the step inside the bucket
+    before it. Values with equal paths share a bucket whoever asks, so many bands can be
+    looked into with one count.
+    """
+    size, sign = F.abs(F.col(value)), F.signum(F.col(value))
+    base, width = F.col("__base"), F.col("__width")
+    lowest = F.pow(F.lit(2.0), (F.abs("__step_1") - _SHIFT) / STEPS_PER_DOUBLING)
+    made = rows.withColumn("__step_1", magnitude_bucket(F.col(value)))
+    for level, name in enumerate(path_columns(depth)[1:]):
+        if level == 0:
+            made = made.withColumn("__base", F.least(lowest, F.lit(1.79e308)))
+            span = base * (2.0 ** (1 / STEPS_PER_DOUBLING) - 1)
+        else:
+            made = made.withColumn("__base", base + F.col("__inside") * width)
+            span = width
+        made = made.withColumn("__width", F.greatest(span / LINEAR_STEPS, F.lit(5e-324)))
+        made = made.withColumn("__inside", F.floor((size - base) / width).cast("double"))
+        made = made.withColumn(name, sign * F.col("__inside"))
+    return made.drop("__base", "__width", "__inside")

@@ -1,28 +1,47 @@
-"""Many filter requests answered from one pass over the sales table.
+"""Many filter requests answered together, without comparing sales with requests.
 
-Each request sets some of six equality filters and an optional time range. The
-set of equality filters a request uses is its *shape* (at most 64 exist). A sale
-is compared per shape by an ordinary hash join on the filter values, so there is
-no nested loop over requests; the time range is checked on the joined pair, and
-pairs go straight into partial aggregates.
+Each request sets some of six equality filters and an optional time range. Equal requests
+are one *predicate*. The equality values are its *key*; the time range is cut into *cells*,
+aligned pieces of fixed widths, so that every moment lies in one cell per width and a range
+of any length takes few of them. A sale finds the keys it has by a hash join (one row per
+set of filters in use) and then its cells (one row per width in use); both tables are
+distinct, so the rows joined do not grow with the number of requests. What is counted per
+cell is then added up per predicate.
+
+The exact median narrows as for a single request, but with buckets that are the same for
+all: predicates that share cells and buckets share the counts as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.contract import REQUEST_SCHEMA, STATISTIC_COLUMNS, TARGET_COLUMN
+from tallyspark.contract import (
+    BUSINESS_UTC_OFFSET_MINUTES,
+    REQUEST_SCHEMA,
+    STATISTIC_COLUMNS,
+    TARGET_COLUMN,
+)
 from tallyspark.errors import FilterError
+from tallyspark.functions.buckets import add_path, magnitude_bucket, path_columns
+from tallyspark.functions.lineage import cut
 from tallyspark.functions.text import is_finite
-from tallyspark.operators.statistics import finite_values, statistics_per_key
+from tallyspark.operators.statistics import (
+    BAND,
+    MEDIAN,
+    RANKS,
+    finite_values,
+    first_band,
+    next_band,
+)
 
 REQUEST_ID = "request_id"
-BROADCAST_BYTES = 32 << 20  # of requests; a larger set uses a shuffle join
-_ROW_BYTES = 200  # a typed request without its id, generously
+BROADCAST_BYTES = 32 << 20  # of keys and cells; larger ones use shuffle joins
 
 EQUALITY = {  # request column -> sales column
     "genero": "genero_texto",
@@ -34,6 +53,16 @@ EQUALITY = {  # request column -> sales column
 }
 _BIT = {name: 1 << position for position, name in enumerate(EQUALITY)}
 
+_DAY = 86_400_000_000
+# Each width divides the next; days begin at UTC-4, like the days of requests.
+WIDTHS = (1, 100, 10_000, 1_000_000, 60_000_000, 3_600_000_000, *(_DAY * 8**k for k in range(9)))
+_END_OF_TIME = 3 * WIDTHS[-1]  # 137,000 years
+_CELL_BYTES = 200  # a cell: a 32-character key, numbers, row overhead
+_KEY_BYTES = 500  # a key without its texts
+_CELL = ("__key", "__width_of", "__cell")
+_CELLS = "array<struct<width:bigint,at:bigint>>"
+_PREDICATE = "__predicate"
+
 
 def _shape() -> Column:
     bits = (
@@ -43,14 +72,213 @@ def _shape() -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def _in_range() -> Column:
-    after = F.col("fecha_desde").isNull() | (F.col("fecha") >= F.col("fecha_desde"))
-    until = (
-        F.when(F.col("fecha_hasta").isNull(), F.lit(True))
-        .when(F.col("fecha_hasta_exclusiva"), F.col("fecha") < F.col("fecha_hasta"))
-        .otherwise(F.col("fecha") <= F.col("fecha_hasta"))
+def _on_axis(micros: Column) -> Column:
+    moved = micros + BUSINESS_UTC_OFFSET_MINUTES * 60_000_000
+    inside = F.greatest(F.lit(-_END_OF_TIME), F.least(moved, F.lit(_END_OF_TIME - 1)))
+    return F.when(micros.isNotNull(), inside)
+
+
+def _digest(*names: str) -> Column:
+    return F.md5(F.to_json(F.struct(*names)).cast("binary"))
+
+
+def _cells(start: Column, end: Column) -> Column:
+    """The fewest aligned cells that make up ``[start, end)``, as (width, first microsecond)."""
+
+    def up(width: Column) -> Column:
+        return start + F.pmod(-start, width)
+
+    def down(width: Column) -> Column:
+        return end - F.pmod(end, width)
+
+    def run(first: Column, stop: Column, width: Column) -> Column:
+        starts = F.sequence(first, stop - width, width)
+        cells = F.transform(starts, lambda at: F.struct(width.alias("width"), at.alias("at")))
+        return F.when(first < stop, cells).otherwise(F.array().cast(_CELLS))
+
+    def of_width(pair: Column) -> Column:
+        width, wider = pair["width"], pair["wider"]
+        # Whatever wider cells can take is left to them.
+        inner = up(wider) < down(wider)
+        return F.concat(
+            run(up(width), F.when(inner, up(wider)).otherwise(down(width)), width),
+            run(F.when(inner, down(wider)).otherwise(down(width)), down(width), width),
+        )
+
+    pairs = ",".join(
+        f"struct({width}L AS width, {wider}L AS wider)"
+        for width, wider in zip(WIDTHS, (*WIDTHS[1:], 1 << 62), strict=True)
+    )
+    return F.flatten(F.transform(F.expr(f"array({pairs})"), of_width))
+
+
+def predicates_of(requests: DataFrame) -> DataFrame:
+    """Typed requests with predicate, key, shape and time range on the axis (null = always)."""
+    timed = F.col("fecha_desde").isNotNull() | F.col("fecha_hasta").isNotNull()
+    after_end = F.when(F.col("fecha_hasta_exclusiva"), F.lit(0)).otherwise(F.lit(1))
+    start = F.coalesce(_on_axis(F.unix_micros("fecha_desde")), F.lit(-_END_OF_TIME))
+    end = F.coalesce(_on_axis(F.unix_micros("fecha_hasta")) + after_end, F.lit(_END_OF_TIME))
+    return (
+        requests.select(
+            REQUEST_ID,
+            *(F.col(f.name).cast(f.dataType).alias(f.name) for f in REQUEST_SCHEMA.fields),
+        )
+        .select(
+            REQUEST_ID,
+            *EQUALITY,
+            _shape().alias("__shape"),
+            F.when(timed, start).alias("__start"),
+            F.when(timed, end).alias("__end"),
+            F.col("fecha_desde").isNotNull().alias("__has_start"),
+            F.col("fecha_hasta").isNotNull().alias("__has_end"),
+        )
+        .withColumn("__key", _digest(*EQUALITY))
+        .withColumn(_PREDICATE, _digest("__key", "__start", "__end"))
     )
-    return after & until
+
+
+def cells_of(predicates: DataFrame) -> DataFrame:
+    """A row per predicate and cell. Without a time range the one cell has width 0."""
+    always = F.expr("array(struct(0L AS width, 0L AS at))")
+    cells = F.when(F.col("__start").isNull(), always).otherwise(
+        _cells(F.col("__start"), F.col("__end"))
+    )
+    return (
+        predicates.withColumn("__c", F.explode(cells))
+        .withColumns({"__width_of": F.col("__c.width"), "__cell": F.col("__c.at")})
+        .drop("__c", "__start", "__end")
+    )
+
+
+def sales_in_cells(
+    values: DataFrame,
+    cells: DataFrame,
+    wanted: DataFrame,
+    shapes: Sequence[int],
+    *,
+    depth: int = 0,
+    small: bool = False,
+) -> DataFrame:
+    """``__value`` with the wanted cells it lies in.
+
+    ``cells`` has rows of ``cells_of``; ``wanted`` has distinct cells and, if ``depth`` is
+    given, the path of the value buckets that are asked for in each. A sale gives at most
+    one row per shape, width and kind of look (steps or exact), however many requests.
+    """
+
+    def hinted(frame: DataFrame) -> DataFrame:
+        return F.broadcast(frame) if small else frame
+
+    used = [name for name, bit in _BIT.items() if any(bit & shape for shape in shapes)]
+    keys = cells.groupBy("__key", "__shape", *used).agg(
+        F.collect_set("__width_of").alias("__widths")  # at most one more than WIDTHS
+    )
+    sale = values.withColumn(
+        "__sale_shape", F.explode(F.array(*map(F.lit, shapes))) if shapes else F.lit(0)
+    ).select(
+        "__value",
+        "__time",
+        "__sale_shape",
+        *(
+            F.when(F.col("__sale_shape").bitwiseAND(_BIT[name]) != 0, F.col(EQUALITY[name])).alias(
+                f"__sale_{name}"
+            )
+            for name in used
+        ),
+    )
+    same = reduce(
+        and_,
+        (F.col(f"__sale_{name}").eqNullSafe(F.col(name)) for name in used),
+        F.col("__sale_shape") == F.col("__shape"),
+    )
+    width = F.col("__width_of")
+    placed = (
+        sale.join(hinted(keys), same)
+        .select("__value", "__time", "__key", F.explode("__widths").alias("__width_of"))
+        .withColumn(
+            "__cell",
+            F.when(width == 0, F.lit(0)).otherwise(
+                F.col("__time") - F.pmod("__time", F.when(width > 0, width))
+            ),
+        )
+    )
+    placed = add_path(placed, "__value", depth) if depth else placed
+    return placed.join(hinted(wanted), [*_CELL, *path_columns(depth)])
+
+
+def _first(values: DataFrame, cells: DataFrame, shapes: Sequence[int], small: bool) -> DataFrame:
+    """Six statistics and the first band per predicate."""
+    found = sales_in_cells(values, cells, cells.select(*_CELL).distinct(), shapes, small=small)
+    counted = found.groupBy(*_CELL, magnitude_bucket(F.col("__value")).alias("__bucket")).agg(
+        F.count("*").alias("n"),
+        F.min("__value").alias("low"),
+        F.max("__value").alias("high"),
+        F.sum("__value").alias("sum"),
+        F.var_pop("__value").alias("var"),
+    )
+    # A predicate has few cells, so the list of one of its buckets is short.
+    merged = (
+        cells.select(_PREDICATE, *_CELL)
+        .join(counted, list(_CELL))
+        .groupBy(_PREDICATE, "__bucket")
+        .agg(
+            F.sum("n").alias("__n"),
+            F.min("low").alias("__min"),
+            F.max("high").alias("__max"),
+            F.sum("sum").alias("__sum"),
+            F.collect_list(F.struct("n", "sum", "var")).alias("__parts"),
+        )
+    )
+    mean = F.col("__sum") / F.col("__n")
+    squares = F.aggregate(
+        "__parts",
+        F.lit(0.0),
+        lambda total, part: total
+        + part["n"] * (part["var"] + F.pow(part["sum"] / part["n"] - mean, F.lit(2.0))),
+    )
+    return first_band(
+        merged.withColumn("__var", squares / F.col("__n")).drop("__parts"), [_PREDICATE]
+    )
+
+
+def _next(
+    values: DataFrame,
+    cells: DataFrame,
+    still_open: DataFrame,
+    depth: int,
+    shapes: Sequence[int],
+    small: bool,
+) -> DataFrame:
+    """Look into the open bands, which are buckets of the given depth."""
+    path = path_columns(depth)
+    asked = cells.join(add_path(still_open, "__low", depth), _PREDICATE)
+    look = [*_CELL, *path, "__exact"]
+    found = sales_in_cells(
+        values, asked, asked.select(*look).distinct(), shapes, depth=depth, small=small
+    )
+    finer = add_path(found.drop(*path), "__value", depth + 1)
+    bucket = F.when(F.col("__exact"), F.col("__value")).otherwise(
+        F.col(path_columns(depth + 1)[-1])
+    )
+    counted = (
+        finer.groupBy(*look, bucket.alias("__bucket"))
+        .agg(
+            F.count("*").alias("n"), F.min("__value").alias("low"), F.max("__value").alias("high")
+        )
+    )
+    known = ("__below", *RANKS)
+    merged = (
+        asked.select(_PREDICATE, *look, *known)
+        .join(counted, look)
+        .groupBy(_PREDICATE, "__bucket")
+        .agg(
+            F.sum("n").alias("__n"),
+            F.min("low").alias("__min"),
+            F.max("high").alias("__max"),
+            *(F.min(name).alias(name) for name in known),
+        )
+    )
+    return next_band(merged, [_PREDICATE])
 
 
 def batch_statistics(
@@ -63,76 +291,71 @@ def batch_statistics(
 
     ``requests`` has a unique ``request_id`` and the columns of ``REQUEST_SCHEMA``
     (null = filter not set). A request without matches gives the empty statistics.
-    ``no_finita`` marks a request whose statistics overflow.
+    ``no_finita`` marks a request whose statistics overflow. The passes run when this is
+    called, each only if a median is still open; their results are checkpointed.
     """
-    typed = requests.select(
-        REQUEST_ID,
-        *(F.col(f.name).cast(f.dataType).alias(f.name) for f in REQUEST_SCHEMA.fields),
-        _shape().alias("__shape"),
-    )
+    typed = cut(predicates_of(requests))
+    texts = [f.name for f in REQUEST_SCHEMA.fields if f.dataType.simpleString() == "string"]
     facts = typed.agg(
         F.count("*").alias("n"),
         F.count_distinct(REQUEST_ID).alias("ids"),
-        F.coalesce(F.sum(F.octet_length(F.col(REQUEST_ID).cast("string"))), F.lit(0)).alias(
-            "id_bytes"
-        ),
         F.collect_set("__shape").alias("shapes"),  # at most 64 numbers
-        F.count("fecha_desde").alias("bounded_below"),
-        F.count("fecha_hasta").alias("bounded_above"),
-        F.unix_micros(F.min("fecha_desde")).alias("earliest"),
-        F.unix_micros(F.max("fecha_hasta")).alias("latest"),
+        F.count("__start").alias("timed"),
+        F.count_if("__has_start").alias("bounded_below"),
+        F.count_if("__has_end").alias("bounded_above"),
+        F.min("__start").alias("earliest"),
+        F.max("__end").alias("latest"),
     ).first()
     if facts["n"] != facts["ids"]:
         raise FilterError("repeated_request", "request_id must be present and unique")
 
+    predicates = typed.drop(REQUEST_ID, "__has_start", "__has_end").dropDuplicates([_PREDICATE])
+    cells = cut(cells_of(predicates))
+    sizes = cells.agg(
+        F.count("*").alias("cells"),
+        F.coalesce(F.sum(F.octet_length(F.concat_ws("", *texts))), F.lit(0)).alias("text_bytes"),
+    ).first()
+    # A predicate has one cell at least, so this bounds keys and cells alike.
+    most = sizes["cells"] * (_CELL_BYTES + _KEY_BYTES) + sizes["text_bytes"]
+    small = most <= broadcast_bytes
+
+    shapes = sorted(facts["shapes"])
+    used = [name for name, bit in _BIT.items() if any(bit & shape for shape in shapes)]
     # What no request can match need not be read.
     wanted = sales
+    offset = BUSINESS_UTC_OFFSET_MINUTES * 60_000_000
     if facts["n"] and facts["bounded_below"] == facts["n"]:
-        wanted = wanted.where(F.col("fecha") >= F.timestamp_micros(F.lit(facts["earliest"])))
+        wanted = wanted.where(
+            F.col("fecha") >= F.timestamp_micros(F.lit(facts["earliest"] - offset))
+        )
     if facts["n"] and facts["bounded_above"] == facts["n"]:
-        wanted = wanted.where(F.col("fecha") <= F.timestamp_micros(F.lit(facts["latest"])))
+        wanted = wanted.where(F.col("fecha") < F.timestamp_micros(F.lit(facts["latest"] - offset)))
+    time = _on_axis(F.unix_micros("fecha")) if facts["timed"] else F.lit(None).cast("bigint")
+    kept = [*(EQUALITY[name] for name in used), *(["fecha"] if facts["timed"] else [])]
+    values = finite_values(wanted, column, kept).withColumn("__time", time)
 
-    shapes = sorted(facts["shapes"])
-    used = [name for name, bit in _BIT.items() if any(bit & shape for shape in shapes)]
-    uses_time = bool(facts["bounded_below"] or facts["bounded_above"])
-    kept = [*(EQUALITY[name] for name in used), *(["fecha"] if uses_time else [])]
-    per_shape = finite_values(wanted, column, kept).withColumn(
-        "__shape", F.explode(F.array(*map(F.lit, shapes))) if shapes else F.lit(0)
+    first = cut(_first(values, cells, shapes, small))
+    reached, medians, depth = first, [], 0
+    while not (still_open := reached.where(F.col(MEDIAN).isNull())).isEmpty():
+        depth += 1
+        bands = still_open.select(_PREDICATE, *BAND, *RANKS)
+        reached = cut(_next(values, cells, bands, depth, shapes, small))
+        medians.append(reached.where(F.col(MEDIAN).isNotNull()).select(_PREDICATE, MEDIAN))
+    if medians:
+        later = reduce(DataFrame.unionByName, medians).withColumnRenamed(MEDIAN, "__later")
+        median = F.coalesce(MEDIAN, "__later").alias(MEDIAN)
+        found = first.join(later, _PREDICATE, "left")
+    else:
+        median, found = F.col(MEDIAN), first
+    found = found.select(
+        _PREDICATE, *(median if name == MEDIAN else name for name in STATISTIC_COLUMNS)
     )
-    sale_side = per_shape.select(
-        "__value",
-        F.col("__shape").alias("__sale_shape"),
-        *(["fecha"] if uses_time else []),
-        *(
-            F.when(F.col("__shape").bitwiseAND(_BIT[name]) != 0, F.col(EQUALITY[name])).alias(
-                f"__sale_{name}"
-            )
-            for name in used
-        ),
-    )
-    same = reduce(
-        and_,
-        (F.col(f"__sale_{name}").eqNullSafe(F.col(name)) for name in used),
-        F.col("__sale_shape") == F.col("__shape"),
-    )
-
-    def matches(bands: DataFrame | None) -> DataFrame:
-        side = typed if bands is None else typed.join(bands, REQUEST_ID)
-        if facts["n"] * _ROW_BYTES + facts["id_bytes"] <= broadcast_bytes:
-            side = F.broadcast(side)
-        joined = sale_side.join(side, same)
-        if uses_time:
-            joined = joined.where(_in_range())
-        return joined.select(
-            REQUEST_ID, "__value", *([] if bands is None else bands.columns[1:])
-        )
 
-    found = statistics_per_key([REQUEST_ID], matches)
-    values = [c for c in STATISTIC_COLUMNS if c not in ("suma", "conteo")]
+    measured = [c for c in STATISTIC_COLUMNS if c not in ("suma", "conteo")]
     overflow = reduce(
-        or_, (~F.coalesce(is_finite(F.col(c)), F.lit(True)) for c in ("suma", *values))
+        or_, (~F.coalesce(is_finite(F.col(c)), F.lit(True)) for c in ("suma", *measured))
     )
-    return typed.select(REQUEST_ID).join(found, REQUEST_ID, "left").select(
+    return typed.select(REQUEST_ID, _PREDICATE).join(found, _PREDICATE, "left").select(
         REQUEST_ID,
         *(
             F.coalesce(name, F.lit(0)).cast(kind).alias(name)

@@ -93,6 +93,11 @@ def first_pass(values: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(_VALUE).alias("__sum"),
         F.var_pop(_VALUE).alias("__var"),
     )
+    return first_band(buckets, keys)
+
+
+def first_band(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Six statistics plus the first band from counts and moments per magnitude bucket."""
     everything = Window.partitionBy(*keys)
     ordered = everything.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = buckets.select(
@@ -135,6 +140,11 @@ def next_pass(
         buckets = _per_bucket(inside, keys, bucket, *(F.min(band[c]).alias(c) for c in known))
     else:
         buckets = _per_bucket(inside, keys, bucket).withColumns({c: band[c] for c in known})
+    return next_band(buckets, keys)
+
+
+def next_band(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The bucket of the middle ranks, from counts per bucket of the open bands."""
     ordered = (
         Window.partitionBy(*keys)
         .orderBy(_BUCKET)

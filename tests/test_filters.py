@@ -1,16 +1,27 @@
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
+from statistics import median, pstdev
 from uuid import UUID
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.errors import FilterError
-from tallyspark.operators.batch import batch_statistics
+from tallyspark.functions import buckets
+from tallyspark.operators import batch
+from tallyspark.operators.batch import (
+    EQUALITY,
+    WIDTHS,
+    _on_axis,
+    batch_statistics,
+    cells_of,
+    predicates_of,
+    sales_in_cells,
+)
 from tallyspark.operators.filters import FilterSpec, parse_boundary, requests_frame
 from tallyspark.operators.normalize import analytic_projection, normalize
-from tallyspark.operators.statistics import seven_statistics
+from tallyspark.operators.statistics import finite_values, seven_statistics
 
 from .sales_fixture import valid_rows
 
@@ -199,21 +210,9 @@ def test_filters_reach_the_parquet_scan(sales):
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_batch_equals_one_request_at_a_time(spark, sales, broadcast_bytes):
-    if not broadcast_bytes:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        specs = {name: _spec(**given) for name, (given, _) in _CASES.items()}
-        found = batch_statistics(
-            sales, requests_frame(spark, specs), broadcast_bytes=broadcast_bytes
-        )
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "NestedLoop" not in plan and "Cartesian" not in plan
-        joins = [line for line in plan.splitlines() if "Join" in line and "__sale_shape" in line]
-        kind = "BroadcastHashJoin" if broadcast_bytes else "SortMergeJoin"
-        assert joins and all(kind in line for line in joins)
-        rows = {row["request_id"]: row for row in found.collect()}
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    specs = {name: _spec(**given) for name, (given, _) in _CASES.items()}
+    found = batch_statistics(sales, requests_frame(spark, specs), broadcast_bytes=broadcast_bytes)
+    rows = {row["request_id"]: row for row in found.collect()}
     assert set(rows) == set(_CASES)
     for name, (_, amounts) in _CASES.items():
         row = rows[name]
@@ -223,6 +222,121 @@ def test_batch_equals_one_request_at_a_time(spark, sales, broadcast_bytes):
         assert row["mediana"] == expected
 
 
+def _placed(sales, requests, small=True):
+    """The rows that the first pass joins, and the cells of the requests."""
+    cells = cells_of(predicates_of(requests).drop("request_id").dropDuplicates(["__predicate"]))
+    shapes = [row[0] for row in cells.select("__shape").distinct().collect()]
+    values = finite_values(sales, "monto_aplicado", ["fecha", *EQUALITY.values()]).withColumn(
+        "__time", _on_axis(F.unix_micros("fecha"))
+    )
+    wanted = cells.select("__key", "__width_of", "__cell").distinct()
+    return sales_in_cells(values, cells, wanted, shapes, small=small)
+
+
+@pytest.fixture(scope="module")
+def many_sales(spark):
+    """3,000 sales, seven hours and one microsecond apart, one without time, in two channels."""
+    n = F.col("id")
+    moment = F.timestamp_micros(F.lit(1_700_000_000_000_000) + n * 25_200_000_001)
+    return spark.range(3000).select(
+        F.when(n != 1500, moment).alias("fecha"),
+        F.when(n % 2 == 0, "POS").otherwise("WEB").alias("canal"),
+        n.alias("sku"),
+        ((n * 7919) % 3001 / 8.0).alias("monto_aplicado"),
+        n.alias("local"),
+        F.lit("x").alias("codigo_cliente"),
+        F.lit("Otro").alias("genero_texto"),
+        F.lit(30).cast("short").alias("edad_en_transaccion"),
+    )
+
+
+def _ranges(count):
+    """Overlapping ranges, exclusive and inclusive, with ends at odd microseconds."""
+    first = datetime(2023, 11, 14, tzinfo=UTC)
+    for n in range(count):
+        start = first + timedelta(days=n % 97, microseconds=n % 7)
+        end = start + timedelta(days=n % 301 + 1, seconds=n)
+        yield str(n), FilterSpec(
+            fecha_desde=None if n % 11 == 0 else start,
+            fecha_hasta=None if n % 13 == 1 else end,
+            fecha_hasta_exclusiva=n % 2 == 0,
+        )
+
+
+def test_joined_rows_do_not_grow_with_the_requests(spark, many_sales):
+    few, many = (
+        _placed(many_sales, requests_frame(spark, dict(_ranges(n)))).count() for n in (100, 1600)
+    )
+    assert many < 2 * few and many <= many_sales.count() * (len(WIDTHS) + 1)
+    same = {str(n): FilterSpec(canal="POS") for n in range(1600)}
+    assert _placed(many_sales, requests_frame(spark, same)).count() == 1500
+
+
+def test_batch_of_time_ranges_equals_plain_filters(spark, many_sales):
+    specs = dict(_ranges(60)) | {
+        "empty": FilterSpec(
+            fecha_desde=datetime(2024, 1, 1, tzinfo=UTC),
+            fecha_hasta=datetime(2024, 1, 1, tzinfo=UTC),
+            fecha_hasta_exclusiva=True,
+        )
+    }
+    rows = {
+        row["request_id"]: row
+        for row in batch_statistics(many_sales, requests_frame(spark, specs)).collect()
+    }
+    sold = [
+        (row["fecha"].replace(tzinfo=UTC), row["monto_aplicado"])
+        for row in many_sales.where("fecha is not null").collect()
+    ]
+    for name, spec in specs.items():
+        amounts = [
+            amount
+            for at, amount in sold
+            if (spec.fecha_desde is None or at >= spec.fecha_desde)
+            and (
+                spec.fecha_hasta is None
+                or at < spec.fecha_hasta
+                or (at == spec.fecha_hasta and not spec.fecha_hasta_exclusiva)
+            )
+        ]
+        assert (rows[name]["conteo"], rows[name]["suma"]) == (len(amounts), sum(amounts)), name
+        if amounts:
+            assert rows[name]["mediana"] == median(amounts)
+            assert rows[name]["desviacion_estandar"] == pytest.approx(pstdev(amounts))
+
+
+def test_batch_median_is_exact_with_many_passes(spark, many_sales, monkeypatch):
+    """With tiny limits a few thousand values need all steps."""
+    monkeypatch.setattr(buckets, "EXACT_LIMIT", 4)
+    monkeypatch.setattr(buckets, "LINEAR_STEPS", 4)
+    signed = many_sales.withColumn("monto_aplicado", F.col("monto_aplicado") - 150.0)
+    specs = {"all": FilterSpec(), "pos": FilterSpec(canal="POS"), "one": FilterSpec(local=7)}
+    rows = {
+        row["request_id"]: row["mediana"]
+        for row in batch_statistics(signed, requests_frame(spark, specs)).collect()
+    }
+    for name, test in (("all", "true"), ("pos", "canal = 'POS'"), ("one", "local = 7")):
+        assert rows[name] == median(r[0] for r in signed.where(test).select("monto_aplicado").collect())
+
+
+def test_long_texts_are_measured_before_a_broadcast(spark, sales):
+    long_person = requests_frame(spark, {"a": FilterSpec(id_persona="x" * 5000), "b": FilterSpec()})
+    frames = []
+    original = batch.sales_in_cells
+
+    def seen(*given, **named):
+        frames.append(named["small"])
+        return original(*given, **named)
+
+    batch.sales_in_cells = seen
+    try:
+        rows = batch_statistics(sales, long_person, broadcast_bytes=5000).collect()
+    finally:
+        batch.sales_in_cells = original
+    assert {row["request_id"]: row["conteo"] for row in rows} == {"a": 0, "b": 12}
+    assert frames and not any(frames)
+
+
 def test_batch_needs_unique_requests(spark, sales):
     requests = requests_frame(spark, {"a": FilterSpec(canal="POS")})
     with pytest.raises(FilterError):
@@ -264,7 +378,9 @@ def test_one_shop_with_a_third_of_all_rows_is_split(spark):
             spark.conf.set(name, value)
         found = batch_statistics(sales, requests, broadcast_bytes=0)
         rows = {row["request_id"]: row for row in found.collect()}
-        final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        placed = _placed(sales, requests, small=False)
+        placed.collect()
+        final = placed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
