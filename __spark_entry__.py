@@ -206,15 +206,9 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = (
-        "l_orderkey",
-        "l_partkey",
-        "l_suppkey",
-        "l_linenumber",
-        "l_returnflag",
-        "l_linestatus",
-    )
-    found = fingerprint(_table(spark, sf_dir, "lineitem"), columns)
+    """All columns: keys, amounts, text, instants, and nulls in place of zero taxes."""
+    rows = _clock(_table(spark, sf_dir, "lineitem"))
+    found = fingerprint(rows.withColumn("l_tax", F.nullif("l_tax", F.lit(0.0))))
     sums = (F.col(c).cast("string").alias(c) for c in ("fp_high", "fp_low"))
     return found.select("fp_rows", *sums)
 
@@ -237,8 +231,17 @@ def _redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers behind every text: two to be replaced, two that letters run into."""
+    person = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    kind = F.col("doc_id") % 4
+    planted = (
+        F.when(kind == 0, f" ñ9.876.543-2, {person[:-1]}")
+        .when(kind == 1, " «9.876.543-2»")
+        .when(kind == 2, f" ({person})")
+        .otherwise(f" 中{person} 19.876.543-22")
+    )
     rows = _table(spark, sf_dir, "documents")
-    return rows.select("doc_id", redact(F.col("text")).alias("text"))
+    return rows.select("doc_id", redact(F.concat("text", planted)).alias("text"))
 
 
 _QUERIES: dict[str, Query] = {

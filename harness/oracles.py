@@ -119,12 +119,11 @@ def filtered(where: str) -> str:
     return f"WITH {MARKED} {statistics('monto_aplicado', 'ventas', where)}"
 
 
-_DIGEST = """md5(coalesce({0}, chr(1)))""".format(
-    ", chr(1)) || chr(31) || coalesce(".join(
-        f"CAST({c} AS VARCHAR)"
-        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    )
-)
+_LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "nullif(l_tax, 0)", "l_returnflag", "l_linestatus", "l_shipdate")
+_DIGEST = f"""md5({" || chr(31) || ".join(
+    f"coalesce(CAST({column} AS VARCHAR), chr(1))" for column in _LINEITEM
+)})"""
 
 _UUID_TEXT = r"'\b[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\b', '[UUID_REDACTADO]', 'gi'"
 _RUN_TEXT = r"'\b\d{1,3}(?:\.\d{3}){2}-[\dkK]\b', '[RUN_REDACTADO]', 'g'"
@@ -235,7 +234,12 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4)
                     || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS u
                   FROM (SELECT *, md5(CAST(conv_id AS VARCHAR)) AS h FROM conversations))""",
-        "redact_documents": f"SELECT doc_id, {redacted('text')} AS text FROM documents",
+        "redact_documents": f"""SELECT doc_id, {redacted('text')} || CASE doc_id % 4
+            WHEN 0 THEN ' ñ9.876.543-2, 0f8fad5b-d9cb-469f-a165-70867728950'
+            WHEN 1 THEN ' «[RUN_REDACTADO]»'
+            WHEN 2 THEN ' ([UUID_REDACTADO])'
+            ELSE ' 中0f8fad5b-d9cb-469f-a165-70867728950e 19.876.543-22' END AS text
+            FROM documents""",
     }
     sql["csv_comma_discarded"] = sql["discarded_rows"]
     analytic = f"WITH {MARKED} SELECT * FROM ventas"

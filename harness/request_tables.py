@@ -141,7 +141,7 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 7 == 3, F.concat(day, F.lit("T"), clock, F.lit("+03:00")))
         .when(n % 7 == 4, F.concat(F.lit(" "), F.replace(day, F.lit("-"), F.lit(""))))
         .when(n % 7 == 5, F.concat(day, F.lit("T"), clock, F.lit(".25-0430")))
-        .otherwise(F.lit("13/07/2026"))
+        .otherwise(F.lit("31.12.1999"))
     )
 
     def pick(*values) -> F.Column:
@@ -150,9 +150,9 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat(F.when(n % 5 == 0, F.lit(" +00")).otherwise(F.lit("")), (k % 125).cast("string"))
     value = (
         F.when(n % 97 == 0, F.lit(None).cast("string"))
-        .when(turn == 0, pick(" femenino ", "MASCULINO", "Otro", "no especificado", "desconocido"))
+        .when(turn == 0, pick(" femenino ", "MASCULINO", "Otro", "no especificado", "neutro"))
         .when(turn == 1, F.when(n % 13 == 0, F.lit("30.0")).otherwise(whole))
-        .when(turn == 2, pick("pos", " WEB ", "App", "cct", "APR", "wpr", "TIENDA"))
+        .when(turn == 2, pick("pos", " WEB ", "App", "cct", "APR", "wpr", "KIOSCO"))
         .when(turn == 3, F.when(n % 13 == 0, F.lit("99999999999999999999")).otherwise(whole))
         .when(
             turn == 4,
@@ -188,7 +188,7 @@ WITH e AS (
       || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS u,
     CASE n % 7 WHEN 0 THEN d WHEN 1 THEN d || 'T' || hms WHEN 2 THEN d || ' ' || hms || 'z'
       WHEN 3 THEN d || 'T' || hms || '+03:00' WHEN 4 THEN ' ' || replace(d, '-', '')
-      WHEN 5 THEN d || 'T' || hms || '.25-0430' ELSE '13/07/2026' END AS moment,
+      WHEN 5 THEN d || 'T' || hms || '.25-0430' ELSE '31.12.1999' END AS moment,
     CASE n % 7 WHEN 0 THEN CAST(d AS TIMESTAMP) + INTERVAL 4 HOUR
       WHEN 1 THEN CAST(d || ' ' || hms AS TIMESTAMP) + INTERVAL 4 HOUR
       WHEN 2 THEN CAST(d || ' ' || hms AS TIMESTAMP)
@@ -205,10 +205,10 @@ WITH e AS (
                 'FECHA_DESDE', 'FECHA_HASTA'][CAST(turn AS INTEGER) + 1], 'DESCONOCIDO')
       END AS consulta,
     CASE WHEN n % 97 = 0 THEN NULL
-      WHEN turn = 0 THEN [' femenino ', 'MASCULINO', 'Otro', 'no especificado', 'desconocido']
+      WHEN turn = 0 THEN [' femenino ', 'MASCULINO', 'Otro', 'no especificado', 'neutro']
         [CAST(k % 5 AS INTEGER) + 1]
       WHEN turn = 1 THEN CASE WHEN n % 13 = 0 THEN '30.0' ELSE whole END
-      WHEN turn = 2 THEN ['pos', ' WEB ', 'App', 'cct', 'APR', 'wpr', 'TIENDA']
+      WHEN turn = 2 THEN ['pos', ' WEB ', 'App', 'cct', 'APR', 'wpr', 'KIOSCO']
         [CAST(k % 7 AS INTEGER) + 1]
       WHEN turn = 3 THEN CASE WHEN n % 13 = 0 THEN '99999999999999999999' ELSE whole END
       WHEN turn = 4 THEN CASE n % 4 WHEN 0 THEN upper(u) WHEN 1 THEN '{' || u || '}'

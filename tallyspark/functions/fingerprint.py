@@ -12,10 +12,15 @@ _SEPARATOR = "\u001f"
 _HEX_DIGITS = 15  # 60 bits, always a positive BIGINT
 
 
-def row_hash(columns: Sequence[str]) -> Column:
-    """MD5 of the row's text; null differs from empty and fields cannot run together."""
+def row_text(columns: Sequence[str]) -> Column:
+    """The whole row as one text; null differs from empty and fields cannot run together."""
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(_NULL)) for c in columns]
-    return F.md5(F.concat_ws(_SEPARATOR, *parts).cast("binary"))
+    return F.concat_ws(_SEPARATOR, *parts)
+
+
+def row_hash(columns: Sequence[str]) -> Column:
+    """MD5 of the row's text."""
+    return F.md5(row_text(columns).cast("binary"))
 
 
 def _half(digest: Column, start: int) -> Column:

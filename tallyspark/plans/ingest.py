@@ -29,7 +29,7 @@ from tallyspark.functions.fingerprint import (
     fingerprint,
     fingerprint_counters,
     fingerprint_text,
-    row_hash,
+    row_text,
 )
 from tallyspark.operators.checks import dataset_checks
 from tallyspark.operators.normalize import analytic_projection, normalize
@@ -48,7 +48,13 @@ from tallyspark.sources.generations import (
     write_rows,
     write_sales,
 )
-from tallyspark.sources.sales_csv import MALFORMED, read_sales_csv, source_listing
+from tallyspark.sources.sales_csv import (
+    MALFORMED,
+    REPLACEMENT,
+    damaged_lines,
+    read_sales_csv,
+    source_listing,
+)
 
 DONE = "procesado"
 UNCHANGED = "sin_cambios"
@@ -57,7 +63,7 @@ POLICY = (
     "No personal value is kept."
 )
 _LISTING = ("source_files", "source_bytes", "source_changed_us", "source_listing")
-_DIGEST = "__digest"
+_DIGEST, _TEXT, _SUSPECT = "__digest", "__text", "__suspect"
 
 
 @dataclass(frozen=True)
@@ -118,7 +124,8 @@ def ingest(
     """Publish ``source`` as a new generation under ``root``, unless it is unchanged.
 
     ``on_malformed``: ``fail`` refuses a source with lines of too few or too many
-    fields; ``null`` pads or cuts them and leaves the verdict to the rules.
+    fields or with a contract column that is not UTF-8; ``null`` pads or cuts them, puts
+    U+FFFD for such bytes, and leaves the verdict to the rules.
     """
     if on_malformed not in ("fail", "null"):
         raise ValueError("on_malformed is 'fail' or 'null'")
@@ -157,18 +164,28 @@ def _publish(
     """Write all parts of a generation, the manifest row last."""
     table = generation_path(root, generation, "sales")
     raw = read_sales_csv(spark, source, multi_line=options["multi_line"])
-    tagged = raw.withColumn(_DIGEST, row_hash(RAW_COLUMNS))
+    tagged = raw.withColumn(_TEXT, row_text(RAW_COLUMNS)).withColumns(
+        {
+            _DIGEST: F.md5(F.col(_TEXT).cast("binary")),
+            _SUSPECT: F.contains(F.col(_TEXT), F.lit(REPLACEMENT)),
+        }
+    )
     counts = Observation()
     marked = observed(
-        normalize(tagged, keep=(_DIGEST, MALFORMED)),
+        normalize(tagged, keep=(_DIGEST, MALFORMED, _SUSPECT)),
         counts,
         *fingerprint_counters(F.col(_DIGEST)),
         F.count_if(F.col(MALFORMED)).alias("malformed"),
+        F.count_if(F.col(_SUSPECT)).alias("suspect"),
     )
     write_sales(analytic_projection(marked.where(~F.col(INVALID))), table)
     seen_now = counts.get
     if options["on_malformed"] == "fail" and seen_now["malformed"]:
         raise IngestError(f"{seen_now['malformed']} lines have too few or too many fields")
+    if options["on_malformed"] == "fail" and seen_now["suspect"]:
+        # Only the bytes tell a character that was written from one that was lost.
+        if damaged := damaged_lines(spark, source):
+            raise IngestError(f"{damaged} lines are not UTF-8")
     statistics = seven_statistics(read_sales(spark, table)).first()
 
     source_fingerprint = fingerprint_text(seen_now)

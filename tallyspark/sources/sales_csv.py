@@ -13,6 +13,7 @@ from tallyspark.errors import IngestError
 from tallyspark.functions.text import null_if_token
 
 MALFORMED = "__malformed"
+REPLACEMENT = "\ufffd"
 _BROKEN_LINE = "__broken_line"
 
 
@@ -25,10 +26,10 @@ def header_line(spark: SparkSession, path: str) -> str:
 
 def detect_separator(header: str) -> str:
     """The more frequent of ``;`` and ``,`` in the header; a tie means ``,``."""
-    semicolons, commas = header.count(";"), header.count(",")
-    if not semicolons and not commas:
+    separator = max(",;", key=header.count)
+    if separator not in header:
         raise IngestError("the header has no separator")
-    return ";" if semicolons > commas else ","
+    return separator
 
 
 def check_header(names: list[str]) -> None:
@@ -82,6 +83,12 @@ def read_sales_csv(spark: SparkSession, path: str, *, multi_line: bool = False)
     )
 
 
+def damaged_lines(spark: SparkSession, path: str) -> int:
+    """Lines whose bytes are not UTF-8. The CSV reader turns such bytes into ``REPLACEMENT``."""
+    lines = spark.read.text(path)
+    return lines.where(~F.call_function("is_valid_utf8", F.col("value"))).count()
+
+
 def source_listing(spark: SparkSession, path: str) -> Row:
     """Files, bytes, newest change and a hash over all of them; no content is read."""
     files = spark.read.format("binaryFile").load(path)
