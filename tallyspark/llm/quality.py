@@ -2,7 +2,8 @@
 
 The model is a logistic regression on hashed word n-grams and character n-grams of the
 whole text, as relative frequencies. It is trained on a bounded sample of labelled rows,
-calibrated on rows it was not trained on (Platt scaling), and scored in Arrow batches.
+calibrated on rows it was not trained on (Platt scaling), and scored in Arrow batches. The
+driver sees the sample as feature counts, at most ``_SIZE`` a row however long the text is.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ REPEATED_PERCENT = 30
 WINDOW = 8
 KEEP = 0.5  # probability of good quality that is kept
 SAMPLE_ROWS = 2400  # labelled rows the model is trained and calibrated on, about
-SAMPLE_CHARS = 20_000  # rows with longer texts are left out of the sample
 
 _BITS = 14  # of a hashed feature, in each of the groups
 _GROUPS = (("word", 1), ("word", 2), ("char", 3), ("char", 4))
 _SIZE = len(_GROUPS) << _BITS
+_BLOCK = 1 << 20  # entries of sample rows that a training step reads at a time
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -116,48 +117,85 @@ class Model:
 ALWAYS = Model(np.zeros(_SIZE), 0.0, 0.0, 30.0)  # without labels of both kinds
 
 
-class _Rows:
-    """Sparse rows of relative frequencies."""
+def packed_features(text: bytes, hasher: WordHasher) -> tuple[bytes, bytes]:
+    """The features of a whole text (2 bytes each) and how often they occur (4 bytes each)."""
+    columns, counts = [], []
+    for group in features(text, hasher):
+        if len(group):
+            low = int(group.min() >> _BITS) << _BITS
+            found = np.bincount(group - low)
+            own = np.nonzero(found)[0]
+            columns.append((own + low).astype("<u2"))
+            counts.append(found[own].astype("<u4"))
+    return (
+        np.concatenate([np.empty(0, "<u2"), *columns]).tobytes(),
+        np.concatenate([np.empty(0, "<u4"), *counts]).tobytes(),
+    )
 
-    def __init__(self, texts: list[bytes]) -> None:
-        hasher = WordHasher()
-        columns, values, lengths = [], [], []
-        for text in texts:
-            size = 0
-            for group in features(text, hasher):
-                if len(group):
-                    low = int(group.min() >> _BITS) << _BITS
-                    counts = np.bincount(group - low, minlength=1)
-                    own = np.nonzero(counts)[0]
-                    columns.append(own + low)
-                    values.append(counts[own] / len(group))
-                    size += len(own)
-            lengths.append(size)
-        self.column = np.concatenate([np.empty(0, np.int64), *columns])
-        self.value = np.concatenate([np.empty(0), *values])
-        self.row = np.repeat(np.arange(len(texts)), lengths)
-        self.count = len(texts)
+
+class _Rows:
+    """Sparse rows of relative frequencies, 6 bytes an entry, read a block of rows at a time."""
+
+    def __init__(self, packed: Iterable[tuple[bytes, bytes]]) -> None:
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        columns, values, lengths, size = [], [], [], 0
+
+        def close() -> None:
+            self.blocks.append(
+                (
+                    np.concatenate([np.empty(0, "<u2"), *columns]),
+                    np.concatenate([np.empty(0, np.float32), *values]),
+                    np.array(lengths, dtype=np.int64),
+                )
+            )
+
+        for own, counted in packed:
+            column, counts = np.frombuffer(own, "<u2"), np.frombuffer(counted, "<u4")
+            group = column >> _BITS
+            totals = np.bincount(group, weights=counts, minlength=len(_GROUPS))
+            columns.append(column)
+            values.append((counts / totals[group]).astype(np.float32))
+            lengths.append(len(column))
+            size += len(column)
+            if size >= _BLOCK:
+                close()
+                columns, values, lengths, size = [], [], [], 0
+        if lengths:
+            close()
+        self.count = sum(len(lengths) for *_, lengths in self.blocks)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        terms = self.value * weights[self.column]
-        return np.bincount(self.row, weights=terms, minlength=self.count)
+        made = [np.empty(0)]
+        for column, value, lengths in self.blocks:
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            made.append(np.bincount(row, weights=value * weights[column], minlength=len(lengths)))
+        return np.concatenate(made)
 
     def gradient(self, error: np.ndarray) -> np.ndarray:
-        return np.bincount(
-            self.column, weights=self.value * error[self.row], minlength=_SIZE
-        )
+        total, at = np.zeros(_SIZE), 0
+        for column, value, lengths in self.blocks:
+            terms = value * np.repeat(error[at : at + len(lengths)], lengths)
+            total += np.bincount(column, weights=terms, minlength=_SIZE)
+            at += len(lengths)
+        return total
 
 
 def train(texts: list[bytes], good: list[bool], steps: int = 60) -> Model:
+    """``fit`` on the features of the texts."""
+    hasher = WordHasher()
+    return fit([packed_features(text, hasher) for text in texts], good, steps)
+
+
+def fit(packed: list[tuple[bytes, bytes]], good: list[bool], steps: int = 60) -> Model:
     """Adaptive gradient steps on four fifths of the rows, Platt scaling on the rest.
 
     Labels of one kind only give a model that keeps everything.
     """
     label = np.array(good, dtype=float)
-    held = np.arange(len(texts)) % 5 == 4
+    held = np.arange(len(packed)) % 5 == 4
     if min(label[~held].sum(), (1 - label[~held]).sum()) < 1:
         return ALWAYS
-    rows = _Rows([text for text, own in zip(texts, held, strict=True) if not own])
+    rows = _Rows(row for row, own in zip(packed, held, strict=True) if not own)
     truth = label[~held]
     bias = float(np.log(truth.sum() / (1 - truth).sum()))
     weights, squares = np.zeros(_SIZE), np.full(_SIZE, 1e-8)
@@ -167,11 +205,9 @@ def train(texts: list[bytes], good: list[bool], steps: int = 60) -> Model:
         squares += slope**2
         weights -= 2.0 * slope / np.sqrt(squares)
         bias -= 0.5 * float((p - truth).mean())
-    model = Model(weights, bias, 1.0, 0.0)
-    hasher = WordHasher()
-    checked = np.nonzero(held)[0]
-    raw = np.array([model.raw(texts[place], hasher) for place in checked])
-    return Model(weights.astype(np.float32), bias, *_platt(raw, label[checked]))
+    checked = _Rows(row for row, own in zip(packed, held, strict=True) if own)
+    raw = bias + checked.times(weights)
+    return Model(weights.astype(np.float32), bias, *_platt(raw, label[held]))
 
 
 def _platt(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -193,25 +229,48 @@ def _platt(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(at[0], 0.0)), float(at[1])
 
 
-def learn(labelled: DataFrame) -> Model:
-    """A model from ``id, text, good``, of a sample of about ``SAMPLE_ROWS`` rows.
-
-    A hash of the id thins the rows, whatever the table holds; only the sample's texts
-    reach the driver.
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``place, good, columns, counts`` of ``text, place, good``."""
+    hasher = WordHasher()
+    for batch in batches:
+        for part in text_parts(batch, 0):
+            made = [packed_features(text, hasher) for text in binaries(part.column(0))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(1),
+                    part.column(2),
+                    pa.array([columns for columns, _ in made], pa.binary()),
+                    pa.array([counts for _, counts in made], pa.binary()),
+                ],
+                names=["place", "good", "columns", "counts"],
+            )
+
+
+def learn(rows: DataFrame, known: DataFrame) -> Model:
+    """A model from ``id, text`` and ``id, good``, of a sample of about ``SAMPLE_ROWS`` rows.
+
+    A hash of id and text thins the distinct rows, whatever the table holds and however
+    long the texts are; only the feature counts of the sample reach the driver. The hash is
+    made in front of the join, so no text but the sample's is shuffled.
     """
-    usable = labelled.where("text is not null and good is not null")
-    known = labelled.where("good is not null").select("id", "good").count()
-    if not known:
+    placed = (
+        rows.where("text is not null")
+        .withColumn("place", F.xxhash64("id", "text"))
+        .join(known.where("good is not null"), "id")
+    )
+    distinct = placed.select("place", "good").distinct().count()
+    if not distinct:
         return ALWAYS
-    share = min(1.0, SAMPLE_ROWS / known)
-    rows = (
-        usable.where(F.length("text") <= SAMPLE_CHARS)
-        .where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) * share)
-        .select(F.xxhash64("id").alias("place"), "text", "good")
+    share = min(1.0, SAMPLE_ROWS / distinct)
+    found = (
+        placed.where(F.pmod("place", F.lit(1 << 20)) < (1 << 20) * share)
+        .dropDuplicates(["place", "good"])
+        .select("text", "place", "good")
+        .mapInArrow(_packed, "place long, good boolean, columns binary, counts binary")
         .collect()
     )
-    rows.sort(key=lambda row: (row["place"], row["text"]))
-    return train([row["text"].encode() for row in rows], [row["good"] for row in rows])
+    found.sort(key=lambda row: (row["place"], row["good"]))
+    return fit([(row["columns"], row["counts"]) for row in found], [row["good"] for row in found])
 
 
 def _judged(model: Model, keep: float):
@@ -272,7 +331,7 @@ def judge(
     known = labels.select(
         F.col(id_column).alias("id"), (F.col("quality") == 1).alias("good")
     )
-    model = learn(rows.join(known, "id"))
+    model = learn(rows, known)
     kind = rows.schema["id"].dataType.simpleString()
     result = ", ".join(f"{name} {of}" for name, of in _RESULT.items())
     return rows.mapInArrow(_judged(model, keep), f"id {kind}, {result}").withColumnRenamed(

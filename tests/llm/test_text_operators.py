@@ -185,6 +185,29 @@ def test_quality_model_on_held_out_rows(spark):
     assert alone.where(F.col("kept") == F.col("base_failed")).count() == 0
 
 
+def test_quality_model_learns_from_long_texts(spark):
+    def long_text(n, words):
+        return " ".join(f"{words[k % 4]}{zlib.crc32(b'%d %d' % (n, k)) % 997}" for k in range(4000))
+
+    words = ("alder birch cedar maple".split(), "prize click bonus offer".split())
+    docs = spark.createDataFrame(
+        [(n, long_text(n, words[n % 2])) for n in range(120)], "doc_id long, text string"
+    )
+    assert docs.where(F.length("text") <= 20_000).count() == 0
+    labels = docs.where("doc_id < 80").selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) quality")
+    rows = quality.judge(docs, labels).where("doc_id >= 80").collect()
+    assert all(row["kept"] == (row["doc_id"] % 2 == 0) and not row["base_failed"] for row in rows)
+
+
+def test_quality_sample_is_bounded_for_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 50)
+    sampled = []
+    monkeypatch.setattr(quality, "fit", lambda packed, good: sampled.append(len(packed)))
+    rows = spark.range(2000).selectExpr("7L id", "'word ' || id % 1000 text")
+    quality.learn(rows, spark.sql("select 7L id, true good"))
+    assert 20 <= sampled[0] <= 90
+
+
 def test_held_out_rows_follow_crc32(spark):
     rows = spark.range(50).select("id", language.held_out(F.col("id")).alias("held")).collect()
     assert all(row["held"] == (zlib.crc32(str(row["id"]).encode()) % 4 == 2) for row in rows)
