@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 ARTICLE, MAIN, LOOSE, CHROME = "article", "main", "loose", "chrome"
@@ -33,6 +34,9 @@ _MARKS = frozenset(
     "navigation breadcrumb breadcrumbs footer masthead related recommended share sharing social "
     "widget toolbar pagination".split()
 )
+_BESIDE = frozenset(  # marks of what may hold articles that are not the page's own
+    "comment comments commentlist disqus respond replies related recommended".split()
+)
 _NEVER_MARKED = frozenset("html body article main".split())
 
 _MARKUP = re.compile(
@@ -70,12 +74,51 @@ def _marked(name: str, rest: str) -> bool:
     return False
 
 
+def _beside(name: str, rest: str) -> bool:
+    """Is the element a place of comments or of links to other pages?"""
+    return name not in _NEVER_MARKED | _SELF_CLOSING | _VOID and any(
+        key.lower() in ("class", "id")
+        and not _BESIDE.isdisjoint(_MARK_WORD.findall("".join(values).lower()))
+        for key, *values in _ATTRIBUTE.findall(rest)
+    )
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, is it an end tag, and attributes of each piece of markup.
+
+    A hidden element is one piece with all it holds. Comments and the like have no name.
+    """
+    at = 0
+    while found := _MARKUP.search(page, at):
+        at = found.end()
+        name = (found["name"] or found["name2"] or "").lower()
+        rest = (found["rest"] if found["name"] else found["rest2"]) or ""
+        ends = bool(found["end"] or found["end2"])
+        if name in _HIDDEN and not ends and not rest.endswith("/"):
+            closing = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+            at = closing.end() if closing else len(page)
+        yield found.start(), at, name, ends, rest
+
+
+def _closings(page: str) -> dict[int, int]:
+    """Where the elements that are closed begin, and where their end tags do."""
+    opened: dict[str, list[int]] = {}
+    closed = {}
+    for start, _, name, ends, rest in _markup(page):
+        if not ends and not rest.endswith("/"):
+            opened.setdefault(name, []).append(start)
+        elif ends and opened.get(name):
+            closed[opened[name].pop()] = start
+    return closed
+
+
 def blocks(page: str | None) -> list[Block]:
     """Non-empty blocks in page order, references decoded, white space collapsed.
 
     Furniture (navigation, adverts, forms, comments and the like) is ``chrome`` wherever it
     stands, scripts and other invisible elements are left out. Unclosed elements are
-    tolerated: furniture that is never closed ends at the next article.
+    tolerated: furniture that is never closed ends at the next article. Articles inside
+    comments or links to related pages are ``chrome`` as these are.
     """
     made: list[Block] = []
     text: list[str] = []
@@ -94,26 +137,19 @@ def blocks(page: str | None) -> list[Block]:
             made.append(Block(part(), whole))
 
     at, page = 0, page or ""
-    while True:
-        found = _MARKUP.search(page, at)
-        text.append(page[at : found.start()] if found else page[at:])
-        if not found:
-            break
-        at = found.end()
-        name = (found["name"] or found["name2"] or "").lower()
-        if not name:
-            continue
-        rest = found["rest"] if found["name"] else found["rest2"]
-        ends = bool(found["end"] or found["end2"])
-        if name in _HIDDEN:
-            if not ends and not rest.endswith("/"):
-                closing = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-                at = closing.end() if closing else len(page)
+    closings: dict[int, int] | None = None
+    beside, before = 0, (0, 0)  # end of the comments or links, articles and mains around them
+    for start, end, name, ends, rest in _markup(page):
+        text.append(page[at:start])
+        at = end
+        if not name or name in _HIDDEN:
             continue
         if name in _BLOCKS:
             flush()
         elif name in ("br", "img"):
             text.append(" ")
+        if beside and start >= beside:
+            beside, (articles, mains) = 0, before
         if ends:
             if furniture and name == furniture[0]:
                 furniture.pop()
@@ -122,7 +158,10 @@ def blocks(page: str | None) -> list[Block]:
             elif name == "main":
                 mains = max(0, mains - 1)
             continue
-        if furniture:
+        if not beside and (furniture or _marked(name, rest)) and _beside(name, rest):
+            closings = _closings(page) if closings is None else closings
+            beside, before = closings.get(start, 0), (articles, mains)
+        if furniture and not beside:
             if name in ("article", "main") and not (articles or mains):
                 furniture.clear()
             elif furniture[0] in _SELF_CLOSING and name in _BLOCKS:
@@ -141,11 +180,21 @@ def blocks(page: str | None) -> list[Block]:
             articles += 1
         elif name == "main":
             mains += 1
+    text.append(page[at:])
     flush()
     return made
 
 
 def main_part(made: list[Block]) -> str:
-    """The part that holds a page's main text: articles, else main, else what is loose."""
-    parts = {block.part for block in made}
-    return next((part for part in (ARTICLE, MAIN) if part in parts), LOOSE)
+    """The part that is a page's main text, ``LOOSE`` if its marks do not tell.
+
+    Articles, or what is in main on a page without any, are the text if they hold more than
+    half of the characters that are not furniture. Otherwise they may be teasers, and all
+    blocks but furniture are candidates.
+    """
+    sizes = dict.fromkeys((ARTICLE, MAIN, LOOSE, CHROME), 0)
+    for block in made:
+        sizes[block.part] += len(block.text)
+    part = ARTICLE if sizes[ARTICLE] else MAIN
+    whole = sizes[ARTICLE] + sizes[MAIN] + sizes[LOOSE]
+    return part if 2 * sizes[part] > whole else LOOSE

@@ -125,6 +125,23 @@ def test_repeated_passages_go_where_no_article_is_marked(spark):
     assert extraction.extract(frame.limit(0)).collect() == []
 
 
+def test_articles_beside_the_text_are_not_the_text(spark):
+    body = "".join(f"<p>paragraph {n} of the body of this page, which is long</p>" for n in range(9))
+    remark = "<article><p>" + "a reader says a lot here " * 60 + "</p></article>"
+    main = f"<main>{body}<article><h2>Teaser</h2><p>read on</p></article></main>"
+    plain = f"<div>{body}</div><article>Teaser: read on</article>"
+    talk = f"<article>{body}</article><section class='comments'>{remark}{remark}</section>"
+    inside = f"<article>{body}<div id='comments'>{remark}<article>never closed</div><p>last</p></article>"
+    loose = f"<div>{body}</div><aside><div class='related'>{remark}</div></aside>"
+    tail = f"<div class='comments'>never closed<article>{body}</article>"
+    pages = [(n, f"http://{n}.example/", one) for n, one in enumerate((main, plain, talk, inside, loose, tail))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {row["page_id"]: row["text"].split("\n") for row in extraction.extract(frame).collect()}
+    wanted = [f"paragraph {n} of the body of this page, which is long" for n in range(9)]
+    assert all(found[n][:9] == wanted for n in range(6))
+    assert [found[n][9:] for n in range(2, 6)] == [[], ["last"], [], []]
+
+
 def test_warc_links_digests_and_round_trip(spark):
     pages = spark.createDataFrame(
         [(1, "http://a/", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, record string"
