@@ -142,6 +142,21 @@ def test_articles_beside_the_text_are_not_the_text(spark):
     assert [found[n][9:] for n in range(2, 6)] == [[], ["last"], [], []]
 
 
+def test_covered_runs_go_and_near_copies_count_once(spark):
+    def words(*of):
+        return " ".join(f"w{zlib.crc32(repr((of, n)).encode())}" for n in range(30))
+
+    top, end = words("top"), words("end")
+    pages = [(n, f"http://a.example/{n}", f"<div>{top}<br>{words(n)} <span>{end}</span></div>") for n in range(4)]
+    shared = "".join(f"<p>{words('shared', n)}</p>" for n in range(6))
+    pages += [(10 + n, f"http://b.example/?page={n}", f"{shared}<p>{words(10 + n)}</p>") for n in range(3)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {row["page_id"]: row["text"] for row in extraction.extract(frame).collect()}
+    assert [found[n] for n in range(4)] == [words(n) for n in range(4)]
+    article = [words("shared", n) for n in range(6)]
+    assert [found[n].split("\n") for n in range(10, 13)] == [[*article, words(n)] for n in range(10, 13)]
+
+
 def test_warc_links_digests_and_round_trip(spark):
     pages = spark.createDataFrame(
         [(1, "http://a/", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, record string"
