@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,35 +33,49 @@ _PER_BYTE = 0.5  # evidence of one byte saved
 
 
 def learn(labelled: DataFrame) -> dict[str, bytes]:
-    """A dictionary per language from ``key, text, language``, a bounded sample of it.
+    """A dictionary per language from ``text, language``, a bounded sample of it.
 
-    The rows of a language are thinned by a hash of their key to about twice
-    ``SAMPLE_ROWS``, whatever the table holds, and only those texts are read to the driver.
+    A hash of the text thins a language to about twice ``SAMPLE_ROWS`` different texts,
+    whatever the table holds; copies of a text count once, whatever their keys. The first
+    ``SAMPLE_ROWS`` of them are read to the driver. Other columns are ignored.
     """
-    usable = labelled.where("language is not null and text is not null")
-    counts = {row["language"]: row["count"] for row in usable.groupBy("language").count().collect()}
+    usable = labelled.where("language is not null and text is not null").select(
+        "language", "text", F.xxhash64("text").alias("place")
+    )
+    known = (
+        usable.groupBy("language")
+        .agg(F.count("*").alias("rows"), F.approx_count_distinct("place", 0.02).alias("texts"))
+        .collect()
+    )
+    counts = {row["language"]: row["rows"] for row in known}
     if not counts:
         return {}
     share = F.create_map(
         *(
             F.lit(value)
-            for language, count in counts.items()
-            for value in (language, min(1.0, 2 * SAMPLE_ROWS / count))
+            for row in known
+            for value in (row["language"], min(1.0, 2 * SAMPLE_ROWS / max(1, row["texts"])))
         )
     )
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod("place", F.lit(1 << 20)) / float(1 << 20)
+    turn = F.row_number().over(Window.partitionBy("language").orderBy("draw", "place"))
     rows = (
         usable.where(draw < share[F.col("language")])
-        .select("language", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("draw"))
+        .withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+        .groupBy("language", "place")
+        .agg(F.min("text").alias("text"))
+        .withColumn("draw", draw)
+        .withColumn("turn", turn)
+        .where(F.col("turn") <= SAMPLE_ROWS)
+        .select("language", "turn", "text")
         .collect()
     )
-    rows.sort(key=lambda row: (row["language"], row["draw"], row["text"]))
+    rows.sort(key=lambda row: (row["language"], row["turn"]))
     # The most frequent language comes first and wins a draw.
     frequent = sorted(counts, key=lambda language: (-counts[language], language))
     texts: dict[str, list[str]] = {language: [] for language in frequent}
     for row in rows:
-        if len(texts[row["language"]]) < SAMPLE_ROWS:
-            texts[row["language"]].append(row["text"])
+        texts[row["language"]].append(row["text"])
     return {
         language: content
         for language, own in texts.items()

@@ -90,6 +90,20 @@ def test_language_held_out_accuracy(spark):
     assert right.first()[0] > 0.97
 
 
+@pytest.mark.parametrize("key", ["cast(null as bigint)", "7L", "id"])
+def test_language_sample_is_bounded_and_not_of_copies(spark, monkeypatch, key):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 40)
+    read = []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(
+        type(spark.range(1)), "collect", lambda frame: read.append(collect(frame)) or read[-1]
+    )
+    text = "case when id % 3 = 0 then 'a copied notice' else 'word ' || id end"
+    made = language.learn(spark.range(3000).selectExpr(f"{key} key", f"{text} text", "'en' language"))
+    lines = made["en"].decode().split("\n")
+    assert len(lines) == len(set(lines)) == 40 and max(map(len, read)) <= 40
+
+
 def test_language_of_odd_texts():
     classifier = language.Classifier({"en": b"the and of this that with " * 20, "de": b"der die und das nicht " * 20})
     assert [classifier.classify(text)[0] for text in ODD[:4]] == ["und"] * 4
