@@ -23,7 +23,7 @@ from tallyspark.llm.arrow_runs import text_parts
 UNKNOWN = "und"
 DICTIONARY_BYTES = 64 << 10  # per language
 SAMPLE_ROWS = 400  # labelled rows per language that a dictionary is made of, at most
-SAMPLE_CHARS = 164  # of each such row
+SAMPLE_CHARS = 164  # of each such row, from a place that a hash chooses
 SHARDS = 8  # of a dictionary, each used alone for a second opinion
 LEVEL = 6
 BLOCK = 16 << 10
@@ -58,10 +58,12 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
         )
     )
     draw = F.pmod("place", F.lit(1 << 20)) / float(1 << 20)
+    starts = F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))
+    start = (F.pmod(F.xxhash64("place"), starts) + 1).cast("int")
     turn = F.row_number().over(Window.partitionBy("language").orderBy("draw", "place"))
     rows = (
         usable.where(draw < share[F.col("language")])
-        .withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+        .withColumn("text", F.substr("text", start, F.lit(SAMPLE_CHARS)))
         .groupBy("language", "place")
         .agg(F.min("text").alias("text"))
         .withColumn("draw", draw)
@@ -76,11 +78,14 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     texts: dict[str, list[str]] = {language: [] for language in frequent}
     for row in rows:
         texts[row["language"]].append(row["text"])
-    return {
-        language: content
-        for language, own in texts.items()
-        if (content := "\n".join(own).lower().encode()[-DICTIONARY_BYTES:])
-    }
+    return {language: content for language, own in texts.items() if (content := _joined(own))}
+
+
+def _joined(texts: list[str]) -> bytes:
+    """Lines of lower-case text, each cut to its share of ``DICTIONARY_BYTES``."""
+    room = DICTIONARY_BYTES // max(1, len(texts)) - 1
+    lines = (text.lower().encode()[:room].decode(errors="ignore") for text in texts)
+    return "\n".join(lines).encode()
 
 
 def _compressor(content: bytes):

@@ -104,6 +104,15 @@ def test_language_sample_is_bounded_and_not_of_copies(spark, monkeypatch, key):
     assert len(lines) == len(set(lines)) == 40 and max(map(len, read)) <= 40
 
 
+def test_language_dictionaries_hold_all_rows_and_no_shared_header(spark):
+    rows = spark.range(400).selectExpr(
+        "id key", "repeat('header ', 30) || repeat('日本語の文' || id || ' ', 200) text", "'ja' language"
+    )
+    lines = language.learn(rows)["ja"].decode().split("\n")
+    assert len(lines) == 400 and sum("header" in line for line in lines) < 100
+    assert all(len(line) > 40 for line in lines)
+
+
 def test_language_of_odd_texts():
     classifier = language.Classifier({"en": b"the and of this that with " * 20, "de": b"der die und das nicht " * 20})
     assert [classifier.classify(text)[0] for text in ODD[:4]] == ["und"] * 4
