@@ -127,7 +127,7 @@ KINDS = (
     Kind(
         "secret",
         rf"(?:AKIA[0-9A-Z]{{16}}|(?i:(?:{_SECRET_NAMES})[\x20]?[=:][\x20]?)\"?"
-        r"[A-Za-z0-9+/_-]{8,200}\"?)",
+        r"[A-Za-z0-9+/_-]{8,}+\"?)",
         _holds("AKIA", "=", ":"),
         r"^AKIA[0-9A-Z]{16}$|[=:][\x20]?\"?(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}",
         rf"(?i)^(?:AKIA|(?:{_SECRET_NAMES})\b)",

@@ -66,6 +66,13 @@ def test_redaction_takes_effect_and_leaves_clean_text(spark):
     assert found == ["Ä mail [EMAIL] or [PHONE].", "clean", None]
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    secret = "a1B2" * 100
+    rows = spark.createDataFrame([(1, f"token={secret} stays")], "doc_id long, text string")
+    clean = rows.select(personal.redacted(F.col("text"), personal.learn(rows))).first()[0]
+    assert "a1B2" not in clean and clean.endswith("stays")
+
+
 def test_em_finds_the_reliable_labelers():
     rows = [((1, 1, 1, 1), 80), ((-1, -1, 0, -1), 60), ((1, -1, 0, -1), 30), ((1, 1, 0, 1), 20)]
     posterior, trust, _ = personal.expectation_maximisation(rows)
