@@ -6,7 +6,7 @@ target soon after; one marks whether a target is near, one whether a negation re
 word, one whether the clause reports somebody else's words. Their product is built once as
 a table, so a clause is read in one walk. Each match has a kind (threat, targeted, plain,
 negated, reported), a clause has the weight of its strongest match, and a document is
-described by how many clauses have which kind.
+described by how many clauses have which kind; each further clause of a kind adds less.
 
 Weights and lexicon come from labelled rows: words that are found in toxic rows almost only
 join the built-in insults, and the weight of each kind is fitted by logistic regression on
@@ -62,8 +62,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 KINDS = ("threat", "targeted", "plain", "negated", "reported")  # strongest first
 PRIOR = (3.0, 3.5, 3.0, 0.6, 0.9)  # log odds a clause of the kind adds
 PRIOR_BASE = -2.8
+_MOST = 3  # clauses of a kind in the short form of the counts
 _PRIOR_ROWS = 1.0  # precision of the prior
-_MOST = 3  # clauses of a kind that are told apart
 _NEAR, _REACH = 4, 3  # words a target and a negation reach
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -179,6 +179,10 @@ class Grammar:
 
     def counts(self, text: str | None) -> list[int]:
         """Clauses of each kind, ``_MOST`` standing for more."""
+        return [min(_MOST, count) for count in self.all_counts(text)]
+
+    def all_counts(self, text: str | None) -> list[int]:
+        """Clauses of each kind."""
         found = [0] * len(KINDS)
         if not text:
             return found
@@ -190,7 +194,7 @@ class Grammar:
             if not self._triggers.isdisjoint(words):
                 kind = self.clause(words)
                 if kind >= 0:
-                    found[kind] = min(_MOST, found[kind] + 1)
+                    found[kind] += 1
         return found
 
 
@@ -236,6 +240,11 @@ def learn_insults(labelled: DataFrame, rows: int) -> list[str]:
     return [row["word"] for row in words.select("word").collect()]
 
 
+def _evidence(clauses: int) -> float:
+    """One clause counts 1, more of a kind less and less, but never nothing."""
+    return float(np.log2(1 + clauses))
+
+
 def fit(patterns: Iterable[tuple[Sequence[int], int, int]]) -> list[float]:
     """Base log odds and the weight per kind, from rows of (counts, toxic, clean).
 
@@ -275,7 +284,7 @@ def _described(symbols: dict[str, int]):
         grammar = Grammar(symbols)
         for batch in batches:
             counts = np.array(
-                [grammar.counts(text) for text in batch.column(0).to_pylist()], dtype=np.int32
+                [grammar.all_counts(text) for text in batch.column(0).to_pylist()], dtype=np.int32
             ).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -320,20 +329,21 @@ def score_toxicity(
         ),
         "toxicity-clauses",
     ).frame
+    bits = [F.when(F.col(name) > 0, F.length(F.bin(name))).otherwise(0) for name in KINDS]
     table = (
         described.where(~F.col("held_out"))
         .join(known, "id")
-        .groupBy(*KINDS)
+        .groupBy(*(one.alias(name) for one, name in zip(bits, KINDS, strict=True)))
         .agg(F.count_if("is_toxic").alias("toxic"), F.count_if(~F.col("is_toxic")).alias("clean"))
         .collect()
-    )  # at most (_MOST + 1) ** len(KINDS) rows
+    )  # counts by their power of two, so a bounded number of rows
     weights = fit(
-        ([row[name] for name in KINDS], row["toxic"], row["clean"])
+        ([_evidence(1 << row[name] >> 1) for name in KINDS], row["toxic"], row["clean"])
         for row in sorted(table, key=lambda row: [row[name] for name in KINDS])
     )
     odds = F.lit(weights[0])
     for name, weight in zip(KINDS, weights[1:], strict=True):
-        odds = odds + F.lit(weight) * F.col(name)
+        odds = odds + F.lit(weight) * F.log2(F.col(name) + 1.0)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
     return described.select(
         F.col("id").alias(id_column),

@@ -179,6 +179,18 @@ def test_toxicity_orders_and_bounds(spark):
     assert (by_id[-1], by_id[-2], by_id[-3]) == (0, 0, 1)
 
 
+def test_more_threats_score_higher(spark):
+    counts = [1, 3, 4, 12, 13, 60]
+    docs = spark.createDataFrame(
+        [(n, "I will kill you. " * n) for n in counts], "doc_id long, text string"
+    )
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    rows = toxicity.score_toxicity(docs, labels, F.lit(False)).orderBy("doc_id").collect()
+    scores = [row["score"] for row in rows]
+    assert [row["threat"] for row in rows] == counts
+    assert scores == sorted(set(scores))
+
+
 def test_quality_counts_equal_a_plain_count():
     hasher = quality.WordHasher()
     texts = ["a b\nc #1 | <d>\na b\n\n \na b", "é ü " * 9, "one two three four five six seven eight " * 3]
