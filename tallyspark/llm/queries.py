@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import (
+    divergence,
     extraction,
     language,
     mixing,
+    oracles,
     packing,
     personal,
     quality,
@@ -97,6 +99,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_personal_data": op2_personal_data,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_extraction": op8_extraction,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op13_divergence": op13_divergence,
 }
 SQL: dict[str, str] = {
     "op5_mixing": r"""
@@ -162,4 +169,5 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN fits OR coalesce(turn = 1, false) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM fillers
 """,
+    "op13_divergence": oracles.DIVERGENCE,
 }
