@@ -20,6 +20,7 @@ from tallyspark.llm import (
     warc,
 )
 from tallyspark.llm.minhash import near_duplicates
+from tallyspark.llm.search import search
 from tallyspark.llm.vectors import near_duplicate_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +100,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -114,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op8_extraction": op8_extraction,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_search": op11_search,
     "op13_divergence": op13_divergence,
 }
 SQL: dict[str, str] = {
@@ -169,5 +175,6 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN fits OR coalesce(turn = 1, false) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM fillers
 """,
+    "op11_search": oracles.SEARCH,
     "op13_divergence": oracles.DIVERGENCE,
 }

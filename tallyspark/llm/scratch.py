@@ -42,9 +42,14 @@ class Table:
         system.delete(path, True)
 
 
-def saved(frame: DataFrame, label: str) -> Table:
-    """Write ``frame`` once and read it back; later plans start from the written rows."""
+def saved(frame: DataFrame, label: str, by: str | None = None) -> Table:
+    """Write ``frame`` once and read it back; later plans start from the written rows.
+
+    With ``by``, rows are written by their value of that column, and readers that ask for one
+    value read nothing else.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    writer = frame.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return Table(spark.read.schema(frame.schema).parquet(path), path)
