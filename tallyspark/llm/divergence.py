@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.arrow_runs import binaries, numbers, runs, text_parts
 from tallyspark.llm.byte_terms import LETTERS, lowering_table, term_bounds
+from tallyspark.llm.radix import radix_order, starts_of_runs
 from tallyspark.llm.scratch import saved
 
 MIN_DOCS = 3
@@ -37,29 +38,6 @@ _COUNTED = pa.schema(
 )
 
 
-def radix_order(keys: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by unsigned ``keys``, the first one most significant.
-
-    One stable pass per 16 bits, from the least significant; numpy sorts 16-bit values by
-    counting. Digits that all rows share are passed over.
-    """
-    order = np.arange(len(keys[0]))
-    for key in reversed(keys):
-        for shift in range(0, key.dtype.itemsize * 8, 16):
-            digit = (key >> key.dtype.type(shift)).astype(np.uint16)
-            if (digit != digit[0]).any():
-                order = order[np.argsort(digit[order], kind="stable")]
-    return order
-
-
-def _starts_of_runs(keys: list[np.ndarray]) -> np.ndarray:
-    changed = np.zeros(len(keys[0]), dtype=bool)
-    changed[:1] = True
-    for key in keys:
-        changed[1:] |= key[1:] != key[:-1]
-    return np.nonzero(changed)[0]
-
-
 def run_counts(
     keys: list[np.ndarray], n: np.ndarray, docs: np.ndarray
 ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -68,7 +46,7 @@ def run_counts(
         return keys, n, docs
     order = radix_order(keys)
     keys = [key[order] for key in keys]
-    starts = _starts_of_runs(keys)
+    starts = starts_of_runs(keys)
     return (
         [key[starts] for key in keys],
         np.add.reduceat(n[order], starts),

@@ -16,6 +16,7 @@ from tallyspark.llm import (
     packing,
     personal,
     quality,
+    repeats,
     toxicity,
     warc,
 )
@@ -104,6 +105,10 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -120,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
     "op11_search": op11_search,
+    "op12_repeats": op12_repeats,
     "op13_divergence": op13_divergence,
 }
 SQL: dict[str, str] = {

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tallyspark.llm import divergence
+from tallyspark.llm.radix import radix_order
 from tallyspark.llm.byte_terms import LETTERS, lowering_table, term_bounds
 
 SCHEMA = "doc_id long, text string, lang string, source string, term string, n long, rank string"
@@ -103,7 +104,7 @@ def test_packed_terms_sort_as_bytes(seed):
     joined = np.frombuffer(b" ".join(terms) + b" " * 16, np.uint8)
     starts, lengths = term_bounds(joined)
     keys = divergence.packed(joined, starts, lengths, 2)
-    assert [terms[at] for at in divergence.radix_order(keys)] == sorted(terms)
+    assert [terms[at] for at in radix_order(keys)] == sorted(terms)
 
 
 def test_table_lowers_ascii_letters_only():
