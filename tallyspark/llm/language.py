@@ -10,7 +10,7 @@ margin that is narrow even then is a rejection.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,6 @@ from tallyspark.llm.arrow_runs import text_parts
 UNKNOWN = "und"
 DICTIONARY_BYTES = 64 << 10  # per language
 SAMPLE_ROWS = 400  # labelled rows per language that a dictionary is made of, at most
-SAMPLE_CHARS = 164  # of each such row, from a place that a hash chooses
 SHARDS = 8  # of a dictionary, each used alone for a second opinion
 LEVEL = 6
 BLOCK = 16 << 10
@@ -37,7 +36,9 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
 
     A hash of the text thins a language to about twice ``SAMPLE_ROWS`` different texts,
     whatever the table holds; copies of a text count once, whatever their keys. The first
-    ``SAMPLE_ROWS`` of them are read to the driver. Other columns are ignored.
+    ``SAMPLE_ROWS`` of them share ``DICTIONARY_BYTES``: of each a window at a place that a
+    hash chooses is read to the driver, whole texts where a language has few. Other columns
+    are ignored.
     """
     usable = labelled.where("language is not null and text is not null").select(
         "language", "text", F.xxhash64("text").alias("place")
@@ -50,20 +51,20 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     counts = {row["language"]: row["rows"] for row in known}
     if not counts:
         return {}
-    share = F.create_map(
-        *(
-            F.lit(value)
-            for row in known
-            for value in (row["language"], min(1.0, 2 * SAMPLE_ROWS / max(1, row["texts"])))
-        )
-    )
+
+    def per_language(of: Callable[[int], float]) -> Column:
+        pairs = ((row["language"], of(max(1, row["texts"]))) for row in known)
+        return F.create_map(*(F.lit(value) for pair in pairs for value in pair))[F.col("language")]
+
+    share = per_language(lambda texts: min(1.0, 2 * SAMPLE_ROWS / texts))
+    window = per_language(lambda texts: DICTIONARY_BYTES // min(texts, SAMPLE_ROWS))
     draw = F.pmod("place", F.lit(1 << 20)) / float(1 << 20)
-    starts = F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))
+    starts = F.greatest(F.length("text") - window + 1, F.lit(1))
     start = (F.pmod(F.xxhash64("place"), starts) + 1).cast("int")
     turn = F.row_number().over(Window.partitionBy("language").orderBy("draw", "place"))
     rows = (
-        usable.where(draw < share[F.col("language")])
-        .withColumn("text", F.substr("text", start, F.lit(SAMPLE_CHARS)))
+        usable.where(draw < share)
+        .withColumn("text", F.substr("text", start, window))
         .groupBy("language", "place")
         .agg(F.min("text").alias("text"))
         .withColumn("draw", draw)
@@ -82,10 +83,14 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
 
 
 def _joined(texts: list[str]) -> bytes:
-    """Lines of lower-case text, each cut to its share of ``DICTIONARY_BYTES``."""
-    room = DICTIONARY_BYTES // max(1, len(texts)) - 1
-    lines = (text.lower().encode()[:room].decode(errors="ignore") for text in texts)
-    return "\n".join(lines).encode()
+    """Lines of lower-case text within ``DICTIONARY_BYTES``; short ones leave room to longer ones."""
+    lines = [text.lower().encode() for text in texts]
+    left, room = DICTIONARY_BYTES, {}
+    for turn, place in enumerate(sorted(range(len(lines)), key=lambda at: len(lines[at]))):
+        room[place] = min(len(lines[place]), left // (len(lines) - turn) - 1)
+        left -= room[place] + 1
+    cut = (line[: room[at]].decode(errors="ignore") for at, line in enumerate(lines))
+    return "\n".join(cut).encode()
 
 
 def _compressor(content: bytes):

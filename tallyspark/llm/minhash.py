@@ -301,7 +301,6 @@ def _links(texts: DataFrame, representatives: DataFrame, words: int, percent: in
         ),
         "dedup-sizes",
     ).frame
-    # An id that stands for two sets (repeated ids with different texts) is compared by one.
     digests = representatives.groupBy(F.col("rep").alias("member")).agg(
         F.min(F.struct("h1", "h2")).alias("digest")
     )
@@ -385,6 +384,21 @@ def _links(texts: DataFrame, representatives: DataFrame, words: int, percent: in
     return linked.union(blocks)
 
 
+def _of_ids(of_texts: DataFrame) -> DataFrame:
+    """From links of (id, text) pairs to links of ids: an id connects all its texts."""
+    found = saved(of_texts, "dedup-texts").frame
+    pairs = found.select(F.col("id.id").alias("id"), F.col("component_id").alias("part")).distinct()
+    least = pairs.groupBy("id").agg(F.min("part").alias("least"))
+    classes = components(
+        pairs.join(least, "id").where("part <> least").select("part", "least"), "dedup-ids"
+    )
+    joined = found.join(classes.withColumnRenamed("node", "component_id"), "component_id", "left")
+    whole = F.coalesce("component", "component_id")["id"]
+    return joined.select(
+        F.col("id.id").alias("id"), "n_shingles", whole.alias("part"), (F.col("id.id") == whole).alias("kept")
+    )
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -401,9 +415,9 @@ def near_duplicates(
     least ``percent`` per cent are linked; ``component_id`` is the smallest id reachable.
     A text with fewer words is one shingle. Null, empty and blank texts have no shingle
     and link with nothing. A row without an id links with nothing: its ``component_id``
-    is null and it is kept. Rows that repeat an id should repeat its text; if they do not,
-    one of the sets stands for the id in comparisons. No rows, no result. Other columns are
-    ignored, whatever their names.
+    is null and it is kept. Rows that repeat an id are one document with all their texts: what
+    links with one of them links with the id. No rows, no result. Other columns are ignored,
+    whatever their names.
     """
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -414,6 +428,24 @@ def near_duplicates(
         ),
         "dedup-signatures",
     ).frame
+    known = signatures.where("n > 0 and id is not null")
+    digest = F.struct("h1", "h2", "n")
+    clashes = known.groupBy("id").agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+    if not clashes.where("a <> b").isEmpty():
+        of_texts = near_duplicates(
+            texts.where("id is not null").select(
+                F.struct("id", F.xxhash64("text").alias("mark")).alias("id"), "text"
+            ),
+            id_column="id",
+            words=words,
+            percent=percent,
+            bands=bands,
+            rows=rows,
+        )
+        without_id = signatures.where("id is null")
+        return _of_ids(of_texts).union(
+            without_id.select("id", "n", F.lit(None).cast(kind), F.lit(True))
+        ).toDF(id_column, "n_shingles", "component_id", "kept")
     representatives = saved(
         signatures.where("n > 0 and id is not null")
         .groupBy("h1", "h2", "n")

@@ -31,15 +31,30 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("bigint")
 
 
-def _draw(key: Column) -> Column:
-    """A number in (0, 1) that depends on the key alone, so reruns agree."""
-    digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 13)
+def _draw(key: Column, text: Column, number: Column) -> Column:
+    """A number in (0, 1) that depends on the row's values alone, so reruns agree."""
+    mark = F.md5(F.coalesce(text, F.lit("")))
+    parts = F.concat_ws("/", F.coalesce(key.cast("string"), F.lit("")), mark, number.cast("string"))
+    digits = F.substring(F.md5(parts), 1, 13)
     return (F.conv(digits, 16, 10).cast("bigint") + 0.5) / float(1 << 52)
 
 
-def _rank(key: Column, rest: Column) -> Column:
+def _drawn(documents: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """``documents`` with ``__draw``, a draw of its own for every row.
+
+    Rows that agree in id, text and source are numbered; they are alike, so it does not
+    matter which has which number. Only a table with such rows is dealt out for it.
+    """
+    equal = [F.col(id_column), F.xxhash64(text_column), F.length(text_column), F.col(source_column)]
+    repeated = documents.groupBy(*equal).count().where("count > 1")
+    number = F.lit(1)
+    if not repeated.isEmpty():
+        number = F.row_number().over(Window.partitionBy(*equal).orderBy(F.lit(0)))
+    return documents.withColumn("__draw", _draw(F.col(id_column), F.col(text_column), number))
+
+
+def _rank(draw: Column, rest: Column) -> Column:
     """Random odds over inclusion odds; smaller is taken first. Null if none is to be taken."""
-    draw = _draw(key)
     odds = (draw / (1.0 - draw)) / (rest / (1.0 - rest))
     return F.when((rest > 0) & (rest < 1), odds).when(rest >= 1, F.lit(0.0))
 
@@ -104,11 +119,11 @@ def _ends(sized: DataFrame, targets: DataFrame) -> DataFrame:
     ranked = (
         sized.alias("a")
         .join(targets.where("rest > 0").alias("b"), F.expr("a.source <=> b.source"))
-        .select("a.id", "a.source", "a.size", "b.wanted", "b.rest")
-        .withColumn("rank", _rank(F.col("id"), F.col("rest")))
+        .select("a.id", "a.source", "a.size", "a.draw", "b.wanted", "b.rest")
+        .withColumn("rank", _rank(F.col("draw"), F.col("rest")))
         .withColumn("place", scale * CELLS)
         .withColumn("base", F.lit(0).cast("bigint"))
-        .drop("rest")
+        .drop("rest", "draw")
     )
     found = []
     for _ in range(2):
@@ -156,7 +171,7 @@ def _rules(sized: DataFrame, targets: DataFrame) -> DataFrame:
         ),
         "mix-ends",
     ).frame
-    rank, off = _rank(F.col("a.id"), F.col("b.rest")), F.abs(F.col("missing") - F.col("size"))
+    rank, off = _rank(F.col("a.draw"), F.col("b.rest")), F.abs(F.col("missing") - F.col("size"))
     fillers = (
         sized.alias("a")
         .join(ends.where("rest > 0").alias("b"), F.expr("a.source <=> b.source"))
@@ -184,29 +199,33 @@ def mix(
 
     ``size`` is the number of words; ``copies`` (0 to ``most``) says how often the mix takes
     the document and ``taken`` is copies times size. A null source is a source. Null and
-    empty texts have size 0 and take 0 words. Rows that repeat an id have the same rank.
+    empty texts have size 0 and take 0 words. Every row has a draw of its own, also without an
+    id or with one that others have; rows that are alike in id, text and source are told apart
+    by a number, for which alone they are dealt out.
     Documents are not shuffled: they meet one row per source, which Spark broadcasts as
     long as that table, a written one, is small. No rows, no result. Other columns pass
     through.
     """
+    drawn = _drawn(documents, id_column, text_column, source_column)
     sized = saved(
-        documents.select(
+        drawn.select(
             F.col(id_column).alias("id"),
             F.col(source_column).alias("source"),
             n_words(F.col(text_column)).alias("size"),
+            F.col("__draw").alias("draw"),
         ),
         "mix-sizes",
     ).frame
     targets = saved(source_targets(sized, weights, most), "mix-targets").frame
     rules = saved(_rules(sized, targets), "mix-rules").frame
     rule, key = F.col("__rule"), F.col(id_column)
-    rank, filler = _rank(key, rule["rest"]), rule["filler"]
+    rank, filler = _rank(F.col("__draw"), rule["rest"]), rule["filler"]
     fills = (rank == filler["rank"]) & key.eqNullSafe(filler["id"])
     more = (rule["rest"] > 0) & (_among(rank, key, rule["last"]) | F.coalesce(fills, F.lit(False)))
     copies = rule["whole"] + F.when(more, 1).otherwise(0)
     size = n_words(F.col(text_column))
     return (
-        documents.join(rules, F.col(source_column).eqNullSafe(rule["source"]))
+        drawn.join(rules, F.col(source_column).eqNullSafe(rule["source"]))
         .withColumn(
             "__mix",
             F.struct(
@@ -217,7 +236,7 @@ def mix(
                 (copies * size).cast("bigint").alias("taken"),
             ),
         )
-        .drop("__rule")
+        .drop("__rule", "__draw")
     )
 
 

@@ -91,13 +91,14 @@ def _has_digit(text: Column) -> Column:
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 # The first alternative of a pattern keeps the search linear: a match can only begin where
-# a run of its characters begins, or right behind the match before.
+# a run of its characters begins, or right behind the match before. Groups are repeated
+# possessively, as other repeats of a group take stack for every turn.
 KINDS = (
     Kind(
         "email",
         r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         _holds("@"),
-        r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$",
+        r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+$",
         rf"(?i)\.(?:{_TLDS})$",
     ),
     Kind(

@@ -133,7 +133,8 @@ SQL: dict[str, str] = {
 WITH sized AS (
   SELECT doc_id, source,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE)
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, '')) || '/' ||
+        row_number() OVER (PARTITION BY doc_id, text, source)), 1, 13))::BIGINT + 0.5::DOUBLE)
       / 4503599627370496.0::DOUBLE AS draw
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

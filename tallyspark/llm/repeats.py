@@ -91,11 +91,6 @@ def stretches(joined: np.ndarray, ends: np.ndarray, depth: int, digit: int):
     return windows[starts], windows[np.append(starts[1:], len(windows)) - 1], hashes[anchors[starts]]
 
 
-def _ordered(doc: np.ndarray) -> np.ndarray:
-    """Signed ids as unsigned numbers of the same order."""
-    return doc.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-
-
 def _segments(part: pa.RecordBatch, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Bytes of the texts with the ends, row and offset of each; long texts in several goes."""
     rows, offsets, held = [], [], []
@@ -113,8 +108,7 @@ def _segments(part: pa.RecordBatch, depth: int) -> Iterator[tuple[np.ndarray, ..
 
 
 def _stretches_of(part: pa.RecordBatch, depth: int, digit: int):
-    """Columns of all stretches: digit, whole, doc, mark, start, length."""
-    doc, mark = numbers(part.column(0)), numbers(part.column(1))
+    """Columns of all stretches: digit, whole, row of the text, start, length."""
     for joined, ends, row, offset in _segments(part, depth):
         first, last, digits = stretches(joined, ends, depth, digit)
         view, stop = memoryview(joined), last + depth
@@ -128,8 +122,7 @@ def _stretches_of(part: pa.RecordBatch, depth: int, digit: int):
         yield (
             digits,
             whole,
-            doc[row[text]],
-            mark[row[text]],
+            row[text],
             (first - begin[text] + offset[text]).astype(np.int64),
             (stop - first).astype(np.uint8),
         )
@@ -141,28 +134,30 @@ def _deal(depth: int, digit: int, buckets: int, common: np.ndarray):
     def bucket_of(values: np.ndarray) -> np.ndarray:
         return ((mixed(values) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
-    def fragments(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        digits, whole, doc, mark, start, length = (np.concatenate(c) for c in zip(*parts))
-        order = radix_order([digits, whole, _ordered(doc)])
-        digits, whole, doc, mark, start, length = (
-            column[order] for column in (digits, whole, doc, mark, start, length)
+    def fragments(parts: list[tuple], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        digits, whole, row, start, length = (np.concatenate(c) for c in zip(*parts))
+        order = radix_order([whole])
+        digits, whole, row, start, length = (
+            column[order] for column in (digits, whole, row, start, length)
         )
+        known = np.concatenate(texts)  # a row of doc and mark per text
+        doc = known[row, 0]
         runs_at = starts_of_runs([digits, whole])
         sizes = np.diff(np.append(runs_at, len(doc)))
-        repeat = doc > np.repeat(doc[runs_at], sizes)
+        repeat = doc > np.repeat(np.minimum.reduceat(doc, runs_at), sizes)
         wide = np.isin(digits, common)
         bucket = bucket_of(np.where(wide, whole, digits))
-        bucket[repeat] = bucket_of(mark[repeat].view(np.uint64))
+        bucket[repeat] = bucket_of(known[row[repeat], 1].view(np.uint64))
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = starts_of_runs([bucket[by_bucket]])
         for low, high in zip(cuts, np.append(cuts[1:], len(by_bucket)), strict=True):
             here = by_bucket[low:high]
-            known, row = np.unique(np.stack([doc[here], mark[here]], axis=1), axis=0, return_inverse=True)
+            used, place = np.unique(row[here], return_inverse=True)
             columns = (
-                known.astype(np.int64),
+                known[used],
                 digits[here],
                 whole[here],
-                row.reshape(-1).astype(np.uint32),
+                place.astype(np.uint32),
                 start[here].astype(np.uint32),
                 length[here],
                 repeat[here].astype(np.uint8) + 2 * wide[here].astype(np.uint8),
@@ -175,17 +170,20 @@ def _deal(depth: int, digit: int, buckets: int, common: np.ndarray):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        count = 0
+        texts: list[np.ndarray] = []
+        count = before = 0
         for batch in batches:
             for part in text_parts(batch, 2):
-                for found in _stretches_of(part, depth, digit):
-                    held.append(found)
-                    count += len(found[0])
-                    if count >= _FORWARDED:
-                        yield from fragments(held)
-                        held, count = [], 0
+                texts.append(np.stack([numbers(part.column(0)), numbers(part.column(1))], axis=1))
+                for digits, whole, row, start, length in _stretches_of(part, depth, digit):
+                    held.append((digits, whole, row + before, start, length))
+                    count += len(digits)
+                before += part.num_rows
+                if count >= _FORWARDED:
+                    yield from fragments(held, texts)
+                    held, texts, count, before = [], [], 0, 0
         if count:
-            yield from fragments(held)
+            yield from fragments(held, texts)
 
     return run
 
@@ -234,7 +232,7 @@ def _first_digit():
             if not len(open_rows):
                 continue
             order = open_rows[
-                radix_order([digits[open_rows], whole[open_rows], _ordered(known[row[open_rows], 0])])
+                radix_order([digits[open_rows], whole[open_rows]])
             ]
             digits, whole, row, start, length, wide = (
                 column[order] for column in (digits, whole, row, start, length, (flags & 2) > 0)
@@ -242,7 +240,7 @@ def _first_digit():
             doc = known[row, 0]
             of_digit, of_whole = starts_of_runs([digits]), starts_of_runs([digits, whole])
             sizes, same = (np.diff(np.append(starts, len(doc))) for starts in (of_digit, of_whole))
-            repeat = doc > np.repeat(doc[of_whole], same)
+            repeat = doc > np.repeat(np.minimum.reduceat(doc, of_whole), same)
             if repeat.any():
                 yield marks(known, row[repeat], start[repeat], length[repeat], None, None)
             is_start = np.zeros(len(doc), dtype=np.int64)
@@ -391,11 +389,11 @@ def _common_digits(texts: DataFrame, rows: int, depth: int, digit: int) -> np.nd
     def digits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch, 2):
-                for found in _stretches_of(part, depth, digit):
-                    pairs = np.unique(np.stack([found[0], found[3].view(np.uint64)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(pairs[:, 0].view(np.int64) if len(pairs) else [], pa.int64())], names=["digit"]
-                    )
+                for found, _, row, *_ in _stretches_of(part, depth, digit):
+                    order = np.lexsort((row, found))
+                    found, row = found[order], row[order]
+                    once = found[starts_of_runs([found, row])]
+                    yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64))], names=["digit"])
 
     draw = F.pmod(F.xxhash64("doc", "mark", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     common = (

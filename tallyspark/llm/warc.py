@@ -109,7 +109,7 @@ def plain_text(body: bytes, content_type: str) -> str:
     named = _CHARSET.search(content_type)
     try:
         text = body.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # not a character set, or one that cannot replace
         text = body.decode("utf-8", "replace")
     if content_type.partition(";")[0].strip().lower() == "text/plain":
         return text
