@@ -6,8 +6,8 @@ as Parquet in the folder all executors share and reads it back as the next one's
 
 Null and odd values: a document without a telling text (null, empty, no letter, or too short
 to favour one language) has no language and goes with the first stage; rows without an id are
-kept as documents of their own; rows that repeat an id are one document to the second
-stage; extra columns pass through up to the last stage. Empty tables give empty results.
+documents like any others, and different texts of one id are different documents; extra
+columns pass through up to the last stage. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,11 +34,24 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    decided = near_duplicates(docs)
-    kept = decided.where("kept and doc_id is not null").select("doc_id").distinct()
-    unique = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return unique.union(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id, none last.
+
+    Rows are told apart by id and text, so different texts of one id are different documents,
+    and copies without an id go like any others. Of rows that agree in both one stays.
+    """
+    key = F.struct(
+        F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64("text").alias("mark")
+    )
+    decided = near_duplicates(docs.select(key.alias("__key"), "text"), id_column="__key")
+    kept = decided.where("kept").select("__key").distinct()
+    row = F.struct(*docs.columns)
+    return (
+        docs.withColumn("__key", key)
+        .join(kept, "__key", "left_semi")
+        .groupBy("__key")
+        .agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row"))
+        .select("row.*")
+    )
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
