@@ -4,12 +4,14 @@ Each request sets some of six equality filters and an optional time range. Equal
 are one *predicate*. The equality values are its *key*; the time range is cut into *cells*,
 aligned pieces of fixed widths, so that every moment lies in one cell per width and a range
 of any length takes few of them. A sale finds the keys it has by a hash join (one row per
-set of filters in use) and then its cells (one row per width in use); both tables are
-distinct, so the rows joined do not grow with the number of requests. What is counted per
-cell is then added up per predicate.
+set of filters in use) and then its *leaf*, the narrowest asked-for cell, or part of one, that
+holds it. Sales are counted once, per leaf and value bucket; counts of leaves are added up to
+the wider cells around them, and those per predicate. So no sale is copied per width, and
+what is joined does not grow with the number of requests.
 
 The exact median narrows as for a single request, but with buckets that are the same for
-all: predicates that share cells and buckets share the counts as well.
+all, so predicates that share cells and buckets share the counts as well, and in finer
+steps (doublings, sixteenths of them, linear), so a cell has few buckets in every pass.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from tallyspark.contract import (
     TARGET_COLUMN,
 )
 from tallyspark.errors import FilterError
-from tallyspark.functions.buckets import add_path, magnitude_bucket, path_columns
+from tallyspark.functions.buckets import add_path, doubling_bucket, path_columns
 from tallyspark.functions.lineage import cut
 from tallyspark.functions.text import is_finite
 from tallyspark.operators.statistics import (
@@ -36,7 +38,6 @@ from tallyspark.operators.statistics import (
     MEDIAN,
     RANKS,
     finite_values,
-    first_band,
     next_band,
 )
 
@@ -60,6 +61,8 @@ _END_OF_TIME = 3 * WIDTHS[-1]  # 137,000 years
 _CELL_BYTES = 200  # a cell: a 32-character key, numbers, row overhead
 _KEY_BYTES = 500  # a key without its texts
 _CELL = ("__key", "__width_of", "__cell")
+_STEPS = 32  # linear steps of a bucket; a cell is asked for few buckets in every pass
+_FEW_ROWS = 128  # a predicate's band of fewer rows is ranked value by value
 _CELLS = "array<struct<width:bigint,at:bigint>>"
 _PREDICATE = "__predicate"
 
@@ -150,28 +153,58 @@ def cells_of(predicates: DataFrame) -> DataFrame:
     )
 
 
+def _widths(cells: DataFrame) -> list[int]:
+    """The widths in use, 0 (always) left out: at most ``len(WIDTHS)`` numbers."""
+    found = cells.select("__width_of").distinct().collect()
+    return sorted(row["__width_of"] for row in found if row["__width_of"])
+
+
+def cells_around(cells: DataFrame) -> tuple[list[int], DataFrame]:
+    """The widths in use, narrow ones first, and the cells that are, or hold, one of ``cells``."""
+    widths = _widths(cells)
+    wider = F.filter(
+        F.array(*(F.lit(one).cast("bigint") for one in widths)) if widths else F.lit(None).cast("array<bigint>"),
+        lambda one: one >= F.col("__width_of"),
+    )
+    found = (
+        cells.where("__width_of > 0")
+        .select("__key", "__cell", F.explode(wider).alias("__width_of"))
+        .withColumn("__cell", _start_of_cell(F.col("__cell"), F.col("__width_of")))
+        .distinct()
+    )
+    return widths, found
+
+
+def _start_of_cell(time: Column, width: Column | int) -> Column:
+    return time - F.pmod(time, F.lit(width) if isinstance(width, int) else width)
+
+
 def sales_in_cells(
     values: DataFrame,
     cells: DataFrame,
     wanted: DataFrame,
     shapes: Sequence[int],
     *,
+    around: tuple[Sequence[int], DataFrame] | None = None,
     depth: int = 0,
     small: bool = False,
 ) -> DataFrame:
-    """``__value`` with the wanted cells it lies in.
+    """``__value`` with its leaf: the narrowest part of the wanted cells that it lies in.
 
     ``cells`` has rows of ``cells_of``; ``wanted`` has distinct cells and, if ``depth`` is
-    given, the path of the value buckets that are asked for in each. A sale gives at most
-    one row per shape, width and kind of look (steps or exact), however many requests.
+    given, the path of the value buckets that are asked for in each; ``around`` is
+    ``cells_around`` of the wanted cells, or of more. A leaf is a wanted cell or one around
+    it. A sale gives at most one row per shape (and kind of look, steps or exact), however
+    many requests and widths.
     """
+    widths, holding = cells_around(wanted) if around is None else around
 
     def hinted(frame: DataFrame) -> DataFrame:
         return F.broadcast(frame) if small else frame
 
     used = [name for name, bit in _BIT.items() if any(bit & shape for shape in shapes)]
     keys = cells.groupBy("__key", "__shape", *used).agg(
-        F.collect_set("__width_of").alias("__widths")  # at most one more than WIDTHS
+        F.bool_or(F.col("__width_of") == 0).alias("__always")
     )
     sale = values.withColumn(
         "__sale_shape", F.explode(F.array(*map(F.lit, shapes))) if shapes else F.lit(0)
@@ -191,59 +224,128 @@ def sales_in_cells(
         (F.col(f"__sale_{name}").eqNullSafe(F.col(name)) for name in used),
         F.col("__sale_shape") == F.col("__shape"),
     )
-    width = F.col("__width_of")
-    placed = (
-        sale.join(hinted(keys), same)
-        .select("__value", "__time", "__key", F.explode("__widths").alias("__width_of"))
-        .withColumn(
-            "__cell",
-            F.when(width == 0, F.lit(0)).otherwise(
-                F.col("__time") - F.pmod("__time", F.when(width > 0, width))
-            ),
+    placed = sale.join(hinted(keys), same).select("__value", "__time", "__key", "__always")
+    if depth:
+        look = ["__key", *path_columns(depth)]
+        asked = wanted.select(*look, "__exact").distinct()
+        placed = add_path(placed, "__value", depth, _STEPS).join(hinted(asked), look)
+    leaf = F.when(F.col("__always"), F.lit(0).cast("bigint"))
+    for width in reversed(widths):
+        at, hit = f"__at_{width}", f"__hit_{width}"
+        found = holding.where(F.col("__width_of") == width).select(
+            "__key", F.col("__cell").alias(at), F.lit(True).alias(hit)
+        )
+        placed = placed.withColumn(at, _start_of_cell(F.col("__time"), width)).join(
+            hinted(found), ["__key", at], "left"
         )
+        leaf = F.when(F.col(hit), F.lit(width)).otherwise(leaf)
+    width = F.col("__width_of")
+    start = _start_of_cell(F.col("__time"), F.when(width > 0, width))
+    return (
+        placed.withColumn("__width_of", leaf)
+        .where(width.isNotNull())
+        .withColumn("__cell", F.when(width == 0, F.lit(0)).otherwise(start))
+        .drop("__always", *(f"__{name}_{one}" for one in widths for name in ("at", "hit")))
     )
-    placed = add_path(placed, "__value", depth) if depth else placed
-    return placed.join(hinted(wanted), [*_CELL, *path_columns(depth)])
 
 
-def _first(values: DataFrame, cells: DataFrame, shapes: Sequence[int], small: bool) -> DataFrame:
-    """Six statistics and the first band per predicate."""
-    found = sales_in_cells(values, cells, cells.select(*_CELL).distinct(), shapes, small=small)
-    counted = found.groupBy(*_CELL, magnitude_bucket(F.col("__value")).alias("__bucket")).agg(
-        F.count("*").alias("n"),
-        F.min("__value").alias("low"),
-        F.max("__value").alias("high"),
-        F.sum("__value").alias("sum"),
-        F.var_pop("__value").alias("var"),
+def _rolled_up(leaves: DataFrame, widths: Sequence[int]) -> DataFrame:
+    """Rows of leaves as rows of every wider cell around them, of the widths in use."""
+    width, cell = F.col("__width_of"), F.col("__cell")
+    every = F.array(*(F.lit(one).cast("bigint") for one in (0, *widths)))
+    wider = F.filter(every, lambda one: (one == 0) | (one >= width) & (width > 0))
+    at = F.when(F.col("__wider") == 0, F.lit(0)).otherwise(
+        _start_of_cell(cell, F.when(F.col("__wider") > 0, F.col("__wider")))
     )
-    # A predicate has few cells, so the list of one of its buckets is short.
-    merged = (
-        cells.select(_PREDICATE, *_CELL)
-        .join(counted, list(_CELL))
-        .groupBy(_PREDICATE, "__bucket")
-        .agg(
-            F.sum("n").alias("__n"),
-            F.min("low").alias("__min"),
-            F.max("high").alias("__max"),
-            F.sum("sum").alias("__sum"),
-            F.collect_list(F.struct("n", "sum", "var")).alias("__parts"),
-        )
+    return (
+        leaves.withColumn("__wider", F.explode(wider))
+        .withColumn("__cell", at)
+        .withColumn("__width_of", F.col("__wider"))
+        .drop("__wider")
     )
-    mean = F.col("__sum") / F.col("__n")
+
+
+def _counts() -> list[Column]:
+    return [F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
+
+
+def _merged_moments(found: DataFrame, *by: str) -> DataFrame:
+    """Count, bounds and moments of parts as those of their union; few parts make one."""
+    parts = F.collect_list(F.struct("n", "sum", "var")).alias("__parts")
+    merged = found.groupBy(*by).agg(*_counts(), F.sum("sum").alias("sum"), parts)
+    mean = F.col("sum") / F.col("n")
     squares = F.aggregate(
         "__parts",
         F.lit(0.0),
         lambda total, part: total
         + part["n"] * (part["var"] + F.pow(part["sum"] / part["n"] - mean, F.lit(2.0))),
     )
-    return first_band(
-        merged.withColumn("__var", squares / F.col("__n")).drop("__parts"), [_PREDICATE]
+    return merged.withColumn("var", squares / F.col("n")).drop("__parts")
+
+
+def _first(
+    values: DataFrame,
+    cells: DataFrame,
+    around: tuple[Sequence[int], DataFrame],
+    shapes: Sequence[int],
+    small: bool,
+) -> DataFrame:
+    """Six statistics and the first band per predicate."""
+    wanted = cells.select(*_CELL).distinct()
+    found = sales_in_cells(values, cells, wanted, shapes, around=around, small=small)
+    leaves = cut(
+        found.groupBy(*_CELL, doubling_bucket(F.col("__value")).alias("__bucket")).agg(
+            F.count("*").alias("n"),
+            F.min("__value").alias("low"),
+            F.max("__value").alias("high"),
+            F.sum("__value").alias("sum"),
+            F.var_pop("__value").alias("var"),
+        )
+    )
+    members = cells.select(_PREDICATE, *_CELL)
+
+    def in_cells(rows: DataFrame) -> DataFrame:
+        return _rolled_up(rows, around[0]).join(wanted, list(_CELL), "left_semi")
+
+    moments = _merged_moments(in_cells(_merged_moments(leaves, *_CELL)), *_CELL)
+    totals = cut(_merged_moments(members.join(moments, list(_CELL)), _PREDICATE))
+    counted = in_cells(leaves).groupBy(*_CELL, "__bucket").agg(*_counts())
+    ranks = totals.select(
+        _PREDICATE,
+        F.lit(0).cast("bigint").alias("__below"),
+        F.expr("(n + 1) div 2").alias(RANKS[0]),
+        F.expr("n div 2 + 1").alias(RANKS[1]),
     )
+    merged = (
+        members.join(counted, list(_CELL))
+        .groupBy(_PREDICATE, "__bucket")
+        .agg(*_counts())
+        .join(ranks, _PREDICATE)
+    )
+    return _band(merged).join(
+        totals.select(
+            _PREDICATE,
+            F.col("sum").alias("suma"),
+            F.col("n").alias("conteo"),
+            (F.col("sum") / F.col("n")).alias("promedio"),
+            F.col("low").alias("minimo"),
+            F.col("high").alias("maximo"),
+            F.sqrt("var").alias("desviacion_estandar"),
+        ),
+        _PREDICATE,
+    )
+
+
+def _band(merged: DataFrame) -> DataFrame:
+    """Per predicate, the bucket that holds its middle ranks."""
+    named = {"n": "__n", "low": "__min", "high": "__max"}
+    return next_band(merged.withColumnsRenamed(named), [_PREDICATE], _FEW_ROWS)
 
 
 def _next(
     values: DataFrame,
     cells: DataFrame,
+    around: tuple[Sequence[int], DataFrame],
     still_open: DataFrame,
     depth: int,
     shapes: Sequence[int],
@@ -251,34 +353,48 @@ def _next(
 ) -> DataFrame:
     """Look into the open bands, which are buckets of the given depth."""
     path = path_columns(depth)
-    asked = cells.join(add_path(still_open, "__low", depth), _PREDICATE)
     look = [*_CELL, *path, "__exact"]
+    known = ("__below", *RANKS)
+    asked = cut(
+        cells.select(_PREDICATE, *_CELL)
+        .join(add_path(still_open, "__low", depth, _STEPS), _PREDICATE)
+        .select(_PREDICATE, *look, *known)
+    )
+    wanted = asked.select(*look).distinct()
+    least, most = still_open.agg(F.min("__low"), F.max("__high")).first()
+    near = values.where(F.col("__value").between(least, most))
     found = sales_in_cells(
-        values, asked, asked.select(*look).distinct(), shapes, depth=depth, small=small
+        near, cells, wanted, shapes, around=around, depth=depth, small=small
     )
-    finer = add_path(found.drop(*path), "__value", depth + 1)
+    finer = add_path(found.drop(*path), "__value", depth + 1, _STEPS)
     bucket = F.when(F.col("__exact"), F.col("__value")).otherwise(
         F.col(path_columns(depth + 1)[-1])
     )
+    leaves = finer.groupBy(*look, bucket.alias("__bucket")).agg(
+        F.count("*").alias("n"), F.min("__value").alias("low"), F.max("__value").alias("high")
+    )
     counted = (
-        finer.groupBy(*look, bucket.alias("__bucket"))
-        .agg(
-            F.count("*").alias("n"), F.min("__value").alias("low"), F.max("__value").alias("high")
-        )
+        _rolled_up(leaves, around[0])
+        .join(wanted, look, "left_semi")
+        .groupBy(*look, "__bucket")
+        .agg(*_counts())
     )
-    known = ("__below", *RANKS)
     merged = (
-        asked.select(_PREDICATE, *look, *known)
-        .join(counted, look)
+        asked.join(counted, look)
         .groupBy(_PREDICATE, "__bucket")
-        .agg(
-            F.sum("n").alias("__n"),
-            F.min("low").alias("__min"),
-            F.max("high").alias("__max"),
-            *(F.min(name).alias(name) for name in known),
-        )
+        .agg(*_counts(), *(F.min(name).alias(name) for name in known))
+    )
+    return _band(merged)
+
+
+def _numbered(predicates: DataFrame) -> DataFrame:
+    """Predicates with numbers in place of the digests, which are grouped and joined by."""
+    keys = cut(
+        predicates.select("__key").distinct().withColumn("__k", F.monotonically_increasing_id())
     )
-    return next_band(merged, [_PREDICATE])
+    return cut(
+        predicates.withColumn("__p", F.monotonically_increasing_id()).join(keys, "__key")
+    ).withColumnsRenamed({"__key": "__key_text", "__k": "__key"})
 
 
 def batch_statistics(
@@ -309,8 +425,10 @@ def batch_statistics(
     if facts["n"] != facts["ids"]:
         raise FilterError("repeated_request", "request_id must be present and unique")
 
-    predicates = typed.drop(REQUEST_ID, "__has_start", "__has_end").dropDuplicates([_PREDICATE])
-    cells = cut(cells_of(predicates))
+    distinct = typed.drop(REQUEST_ID, "__has_start", "__has_end").dropDuplicates([_PREDICATE])
+    predicates = _numbered(distinct)
+    numbered = predicates.drop(_PREDICATE, "__key_text").withColumnRenamed("__p", _PREDICATE)
+    cells = cut(cells_of(numbered))
     sizes = cells.agg(
         F.count("*").alias("cells"),
         F.coalesce(F.sum(F.octet_length(F.concat_ws("", *texts))), F.lit(0)).alias("text_bytes"),
@@ -318,6 +436,8 @@ def batch_statistics(
     # A predicate has one cell at least, so this bounds keys and cells alike.
     most = sizes["cells"] * (_CELL_BYTES + _KEY_BYTES) + sizes["text_bytes"]
     small = most <= broadcast_bytes
+    widths, holding = cells_around(cells)
+    around = widths, cut(holding)
 
     shapes = sorted(facts["shapes"])
     used = [name for name, bit in _BIT.items() if any(bit & shape for shape in shapes)]
@@ -334,12 +454,12 @@ def batch_statistics(
     kept = [*(EQUALITY[name] for name in used), *(["fecha"] if facts["timed"] else [])]
     values = finite_values(wanted, column, kept).withColumn("__time", time)
 
-    first = cut(_first(values, cells, shapes, small))
+    first = cut(_first(values, cells, around, shapes, small))
     reached, medians, depth = first, [], 0
     while not (still_open := reached.where(F.col(MEDIAN).isNull())).isEmpty():
         depth += 1
         bands = still_open.select(_PREDICATE, *BAND, *RANKS)
-        reached = cut(_next(values, cells, bands, depth, shapes, small))
+        reached = cut(_next(values, cells, around, bands, depth, shapes, small))
         medians.append(reached.where(F.col(MEDIAN).isNotNull()).select(_PREDICATE, MEDIAN))
     if medians:
         later = reduce(DataFrame.unionByName, medians).withColumnRenamed(MEDIAN, "__later")
@@ -355,6 +475,9 @@ def batch_statistics(
     overflow = reduce(
         or_, (~F.coalesce(is_finite(F.col(c)), F.lit(True)) for c in ("suma", *measured))
     )
+    found = predicates.select(_PREDICATE, "__p").join(
+        found.withColumnRenamed(_PREDICATE, "__p"), "__p"
+    )
     return typed.select(REQUEST_ID, _PREDICATE).join(found, _PREDICATE, "left").select(
         REQUEST_ID,
         *(

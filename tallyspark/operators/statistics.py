@@ -53,7 +53,11 @@ def _per_bucket(values: DataFrame, keys: Sequence[str], bucket: Column, *more: C
 
 
 def _locate(
-    counts: DataFrame, keys: Sequence[str], ranks: tuple[Column, Column], *more: Column
+    counts: DataFrame,
+    keys: Sequence[str],
+    ranks: tuple[Column, Column],
+    *more: Column,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Per key: the band that holds both middle ranks, or the median if it is settled.
 
@@ -80,7 +84,7 @@ def _locate(
     return found.select(
         *(c for c in found.columns if c != "__next"),
         median.alias(MEDIAN),
-        few_values_left(low, high, F.col("__rows")).alias("__exact"),
+        few_values_left(low, high, F.col("__rows"), most_rows).alias("__exact"),
     )
 
 
@@ -96,8 +100,13 @@ def first_pass(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     return first_band(buckets, keys)
 
 
-def first_band(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Six statistics plus the first band from counts and moments per magnitude bucket."""
+def first_band(
+    buckets: DataFrame, keys: Sequence[str], most_rows: int | None = None
+) -> DataFrame:
+    """Six statistics plus the first band from counts and moments per logarithmic bucket.
+
+    A band of more than ``most_rows`` rows, if given, is not ranked value by value.
+    """
     everything = Window.partitionBy(*keys)
     ordered = everything.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = buckets.select(
@@ -121,6 +130,7 @@ def first_band(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min("__min").alias("minimo"),
         F.max("__max").alias("maximo"),
         F.sqrt(F.sum(spread) / F.max(total)).alias("desviacion_estandar"),
+        most_rows=most_rows,
     )
 
 
@@ -143,7 +153,9 @@ def next_pass(
     return next_band(buckets, keys)
 
 
-def next_band(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+def next_band(
+    buckets: DataFrame, keys: Sequence[str], most_rows: int | None = None
+) -> DataFrame:
     """The bucket of the middle ranks, from counts per bucket of the open bands."""
     ordered = (
         Window.partitionBy(*keys)
@@ -151,7 +163,7 @@ def next_band(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     counts = buckets.withColumn("__upto", F.col("__below") + F.sum("__n").over(ordered))
-    return _locate(counts, keys, (F.col(RANKS[0]), F.col(RANKS[1])))
+    return _locate(counts, keys, (F.col(RANKS[0]), F.col(RANKS[1])), most_rows=most_rows)
 
 
 def _compute(rows: DataFrame, column: str) -> tuple:

@@ -266,7 +266,8 @@ def test_joined_rows_do_not_grow_with_the_requests(spark, many_sales):
     few, many = (
         _placed(many_sales, requests_frame(spark, dict(_ranges(n)))).count() for n in (100, 1600)
     )
-    assert many < 2 * few and many <= many_sales.count() * (len(WIDTHS) + 1)
+    # One shape of requests: a sale is counted in one leaf, whatever the widths in use.
+    assert few <= many <= many_sales.count()
     same = {str(n): FilterSpec(canal="POS") for n in range(1600)}
     assert _placed(many_sales, requests_frame(spark, same)).count() == 1500
 
