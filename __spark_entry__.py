@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from harness import oracles, workspace  # noqa: E402
+from harness.damaged import CHECKS_SQL, checks_of_damaged  # noqa: E402
 from harness.dirty_sales import dirty_sales  # noqa: E402
 from harness.request_tables import raw_requests, time_requests, typed_requests  # noqa: E402
 
@@ -36,8 +38,8 @@ from tallyspark.sources.sales_csv import read_sales_csv  # noqa: E402
 try:
     import corpus_pipeline
     from tallyspark.llm import queries as llm_queries
-except ModuleNotFoundError as problem:  # the optional package has been removed
-    if problem.name not in ("corpus_pipeline", "tallyspark.llm", "tallyspark.llm.queries"):
+except ModuleNotFoundError as problem:  # the optional package, or a module it needs, is not there
+    if (problem.name or "").startswith("tallyspark.") and not problem.name.startswith("tallyspark.llm"):
         raise
     corpus_pipeline = llm_queries = None
 
@@ -176,6 +178,23 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_checks(spark, root, latest_manifest(spark, root))
 
 
+def _checks_of_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks say of the published generation and of copies damaged in one way each."""
+    folder = workspace.new_dir(spark, sf_dir, f"damaged-{uuid4().hex}")
+    return checks_of_damaged(spark, workspace.published(spark, sf_dir), folder)
+
+
+def _month_of_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One month of the published table, of which only the pages of that month are read."""
+    moment = F.col("fecha")
+    return _clock(
+        _published(spark, sf_dir).where(
+            (moment >= F.to_timestamp(F.lit("1995-03-01T00:00:00Z")))
+            & (moment < F.to_timestamp(F.lit("1995-04-01T00:00:00Z")))
+        )
+    )
+
+
 def _filtered(name: str) -> Query:
     pairs, _ = oracles.FILTERS[name]
 
@@ -271,6 +290,8 @@ _QUERIES: dict[str, Query] = {
     "published_quality": _published_quality,
     "summary_cached": _summary,
     "dataset_checks": _checks,
+    "checks_of_damaged": _checks_of_damaged,
+    "month_of_sales": _month_of_sales,
     **{name: _filtered(name) for name in oracles.FILTERS},
     "batch_stats": _batch,
     "batch_time_ranges": _batch_time,
@@ -294,7 +315,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    own = {**oracles.oracle_sql(), "checks_of_damaged": CHECKS_SQL}
     if llm_queries is None:
-        return oracles.oracle_sql()
+        return own
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {**oracles.oracle_sql(), **llm_queries.SQL, **whole}
+    return {**own, **llm_queries.SQL, **whole}

@@ -198,6 +198,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT 'row_counts', TRUE, 'table ' || good || ', valid ' || good || ', discarded '
               || (n - good) || ', total ' || n FROM counts""",
+        "month_of_sales": f"""WITH {MARKED} SELECT * FROM ventas
+            WHERE fecha >= TIMESTAMP '1995-03-01' AND fecha < TIMESTAMP '1995-04-01'""",
         "fingerprint": f"""SELECT CAST(count(*) AS BIGINT) AS fp_rows,
             CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fp_high,
             CAST(sum(CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fp_low

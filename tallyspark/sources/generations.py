@@ -14,6 +14,9 @@ publication leaves the previous one in place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
@@ -21,6 +24,9 @@ from pyspark.sql import types as T
 from tallyspark.contract import ANALYTIC_SCHEMA, STATISTICS_SCHEMA
 
 
+_TIMESTAMPS = "spark.sql.parquet.outputTimestampType"
+
+
 def _fields(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
@@ -86,19 +92,34 @@ def remove_generation(spark: SparkSession, root: str, generation_id: str) -> Non
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def write_sales(valid: DataFrame, path: str) -> None:
     """Parquet sink. Column statistics are always written.
 
-    Bloom filters on the two identifiers let a lookup of one customer or product
-    skip row groups, which minimum and maximum cannot do for random values.
+    Moments are stored as microseconds: Spark's default form (INT96) has no statistics. Each
+    task sorts its own rows by time, without a shuffle, so the column index lets a time
+    range skip pages and row groups of every file, whatever the order of the source. Bloom
+    filters on the two identifiers let a lookup of one customer or product skip row groups,
+    which minimum and maximum cannot do for random values.
     """
-    (
-        valid.write.option("compression", "zstd")
-        .option("parquet.bloom.filter.enabled#codigo_cliente", "true")
-        .option("parquet.bloom.filter.enabled#sku", "true")
-        .option("parquet.bloom.filter.adaptive.enabled", "true")
-        .parquet(path)
-    )
+    sorted_rows = valid.sortWithinPartitions("fecha") if "fecha" in valid.columns else valid
+    with _setting(valid.sparkSession, _TIMESTAMPS, "TIMESTAMP_MICROS"):
+        (
+            sorted_rows.write.option("compression", "zstd")
+            .option("parquet.bloom.filter.enabled#codigo_cliente", "true")
+            .option("parquet.bloom.filter.enabled#sku", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .parquet(path)
+        )
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
