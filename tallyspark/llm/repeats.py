@@ -38,8 +38,9 @@ from tallyspark.llm.shingles import mixed
 DEPTH = 50
 DIGIT = 26  # bytes of the first digit; of each window the anchor has DEPTH - DIGIT + 1 places
 _SEGMENT = 8 << 20  # of a longer text at a time
-_FORWARDED = 1 << 21  # stretches a task gathers before it deals them out
-_BUCKET_BYTES = 32 << 20  # of text per bucket
+_JOINED = 1 << 20  # of shorter texts at a time
+_FORWARDED = 3 << 18  # stretches a task gathers before it deals them out
+_BUCKET_BYTES = 8 << 20  # of text per bucket
 _SAMPLED, _COMMON = 4096, 8  # documents of the sample, and how many of them make a digit common
 _MANY = 4096  # different stretches of one digit that are dealt by windows
 _ODD = 0x9E3779B97F4A7C15
@@ -93,18 +94,26 @@ def stretches(joined: np.ndarray, ends: np.ndarray, depth: int, digit: int):
 
 def _segments(part: pa.RecordBatch, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Bytes of the texts with the ends, row and offset of each; long texts in several goes."""
-    rows, offsets, held = [], [], []
+    rows, offsets, held, size = [], [], [], 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        ends = np.cumsum([len(text) for text in held])
+        return np.frombuffer(b"".join(held), np.uint8), ends, np.array(rows), np.array(offsets)
+
     for row, text in enumerate(binaries(part.column(2))):
         text = text or b""
         if len(text) <= _SEGMENT:
             rows.append(row), offsets.append(0), held.append(text)
+            size += len(text)
+            if size >= _JOINED:
+                yield joined()
+                rows, offsets, held, size = [], [], [], 0
             continue
         for low in range(0, len(text), _SEGMENT):
             cut = text[low : low + _SEGMENT + depth - 1]
             yield np.frombuffer(cut, np.uint8), np.array([len(cut)]), np.array([row]), np.array([low])
     if held:
-        ends = np.cumsum([len(text) for text in held])
-        yield np.frombuffer(b"".join(held), np.uint8), ends, np.array(rows), np.array(offsets)
+        yield joined()
 
 
 def _stretches_of(part: pa.RecordBatch, depth: int, digit: int):
