@@ -454,6 +454,7 @@ def remove_repeats(
         .sortWithinPartitions("bucket")
         .mapInArrow(_first_digit(), _MARK),
         "repeats-marks",
+        free=True,
     ).frame
     open_stretches = _listed(marks.where("digit is not null"), "start", "stop", "digit", "wide")
     later = saved(
@@ -463,6 +464,7 @@ def remove_repeats(
         .sortWithinPartitions("bucket")
         .mapInArrow(_later_digits(depth), "doc long, mark long, start long, stop long"),
         "repeats-later",
+        free=True,
     ).frame
     columns = ["doc", "mark", "start", "stop"]
     ranges = _listed(marks.where("digit is null").select(*columns).union(later.select(*columns)), "start", "stop")

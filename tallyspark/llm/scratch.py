@@ -13,6 +13,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -42,14 +43,22 @@ class Table:
         system.delete(path, True)
 
 
-def saved(frame: DataFrame, label: str, by: str | None = None) -> Table:
+def saved(frame: DataFrame, label: str, by: str | None = None, free: bool = False) -> Table:
     """Write ``frame`` once and read it back; later plans start from the written rows.
 
     With ``by``, rows are written by their value of that column, and readers that ask for one
-    value read nothing else.
+    value read nothing else. With ``free``, Spark deletes the job's shuffle files when the rows
+    are written, as nothing reads them again.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid4().hex}"
     writer = frame.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    if free:
+        spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(_FREE_SHUFFLES) if before is None else spark.conf.set(_FREE_SHUFFLES, before)
     return Table(spark.read.schema(frame.schema).parquet(path), path)
