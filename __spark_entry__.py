@@ -19,7 +19,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from harness import oracles, workspace  # noqa: E402
 from harness.damaged import CHECKS_SQL, checks_of_damaged  # noqa: E402
 from harness.dirty_sales import dirty_sales  # noqa: E402
-from harness.request_tables import raw_requests, time_requests, typed_requests  # noqa: E402
+from harness.request_tables import (  # noqa: E402
+    WEEKS_SQL,
+    raw_requests,
+    time_requests,
+    typed_requests,
+    week_requests,
+)
 
 from tallyspark.functions.fingerprint import fingerprint  # noqa: E402
 from tallyspark.functions.moments import utc_wall_clock  # noqa: E402
@@ -224,6 +230,11 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clock(accepted_requests(validate_requests(raw_requests(spark, sf_dir))))
 
 
+def _weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Week dates and digits of another script, as the rules for one request take them."""
+    return _clock(validate_requests(week_requests(spark, sf_dir)))
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns: keys, amounts, text, instants, and nulls in place of zero taxes."""
     rows = _clock(_table(spark, sf_dir, "lineitem"))
@@ -297,6 +308,7 @@ _QUERIES: dict[str, Query] = {
     "batch_time_ranges": _batch_time,
     "request_validation": _validation,
     "accepted_requests": _accepted,
+    "request_week_dates": _weeks,
     "fingerprint": _fingerprint,
     "redact_conversations": _redact_conversations,
     "redact_documents": _redact_documents,
@@ -315,7 +327,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {**oracles.oracle_sql(), "checks_of_damaged": CHECKS_SQL}
+    own = {**oracles.oracle_sql(), "checks_of_damaged": CHECKS_SQL, "request_week_dates": WEEKS_SQL}
     if llm_queries is None:
         return own
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

@@ -265,3 +265,61 @@ WITH e AS (
         THEN 'reversed_range' END AS error_code
   FROM judged
 )"""
+
+
+_ARABIC = "".join(chr(0x0660 + digit) for digit in range(10))
+
+
+def week_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two untyped pairs per order: an ISO week date in six forms, an age in Arabic digits."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    year = F.extract(F.lit("YEAROFWEEK"), day).cast("string")
+    week = F.concat(F.lit("W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
+    week_day = (F.weekday(day) + 1).cast("string")
+    shape = key % 6
+    moment = (
+        F.when(shape == 0, F.concat_ws("-", year, week, week_day))
+        .when(shape == 1, F.concat(year, week, week_day))
+        .when(shape == 2, F.concat_ws("-", year, week))
+        .when(shape == 3, F.concat(year, week, F.lit("T10:30")))
+        .when(shape == 4, F.concat(F.concat_ws("-", year, week, week_day), F.lit(" 0915z")))
+        .otherwise(F.concat(year, F.lit("-W54")))
+    )
+    bound = F.when(F.expr("o_orderkey div 6 % 2 = 0"), "FECHA_DESDE").otherwise("FECHA_HASTA")
+    age = F.translate((key % 130).cast("string"), "0123456789", _ARABIC)
+    pairs = F.explode(
+        F.array(
+            F.struct(bound.alias("consulta"), moment.alias("valor")),
+            F.struct(F.lit("EDAD").alias("consulta"), age.alias("valor")),
+        )
+    )
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(key.alias("request_id"), pairs.alias("pair")).select("request_id", "pair.*")
+
+
+WEEKS_SQL = f"""
+WITH o AS (
+  SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders
+), w AS (
+  SELECT k, d, CAST(date_trunc('week', d) AS DATE) AS monday, strftime(d, '%G') AS y,
+    'W' || strftime(d, '%V') AS w, CAST(isodow(d) AS VARCHAR) AS u
+  FROM o
+)
+SELECT k AS request_id, CASE WHEN k // 6 % 2 = 0 THEN 'FECHA_DESDE' ELSE 'FECHA_HASTA' END AS consulta,
+  CASE k % 6 WHEN 0 THEN y || '-' || w || '-' || u WHEN 1 THEN y || w || u WHEN 2 THEN y || '-' || w
+    WHEN 3 THEN y || w || 'T10:30' WHEN 4 THEN y || '-' || w || '-' || u || ' 0915z'
+    ELSE y || '-W54' END AS valor,
+  CAST(NULL AS VARCHAR) AS valor_norm,
+  CASE k % 6 WHEN 0 THEN CAST(d AS TIMESTAMP) + INTERVAL 4 HOUR
+    WHEN 1 THEN CAST(d AS TIMESTAMP) + INTERVAL 4 HOUR
+    WHEN 2 THEN CAST(monday AS TIMESTAMP) + INTERVAL 4 HOUR
+    WHEN 3 THEN CAST(monday AS TIMESTAMP) + INTERVAL 870 MINUTE
+    WHEN 4 THEN CAST(d AS TIMESTAMP) + INTERVAL 555 MINUTE END AS instante,
+  CASE WHEN k % 6 < 5 THEN FALSE END AS exclusiva,
+  CASE WHEN k % 6 = 5 THEN 'not_iso_date' END AS error_code
+FROM w
+UNION ALL
+SELECT k, 'EDAD', translate(CAST(k % 130 AS VARCHAR), '0123456789', '{_ARABIC}'),
+  CASE WHEN k % 130 <= 120 THEN CAST(k % 130 AS VARCHAR) END, NULL, NULL,
+  CASE WHEN k % 130 > 120 THEN 'out_of_range' END
+FROM o"""

@@ -19,6 +19,7 @@ SALE_MOMENT = (
 )
 _MICROS_PER_MINUTE = 60_000_000
 _SECONDS_PER_DAY = 86_400
+_MICROS_PER_DAY = _SECONDS_PER_DAY * 1_000_000
 
 
 def add_sale_moment(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -104,41 +105,107 @@ def age_on(day: Column, birth: Column) -> Column:
 
 _DAY = r"^\d{4}-\d{2}-\d{2}"
 _COMPACT_DAY = r"^\d{8}"
-_CLOCK = r"^\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?\z"
-_OFFSET = r"^[+-]\d{2}(?::\d{2}(?::\d{2})?|\d{2}(?:\d{2})?)?\z"
+_WEEK = r"^\d{4}-?W\d{2}"
+_WEEK_AND_DAY = r"^\d{4}-W\d{2}-[1-7](?![0-9])"  # before digits the hyphen belongs to the time
+_DIGITS_AFTER_WEEK = r"^\d{4}W\d{2}(\d*)"
+# A fraction, always of a second, may follow hours, minutes or seconds; without colons it
+# may also follow the seconds without its mark, if it has two digits.
+_MARKED = r"[.,]\d+"
+_EXTENDED_TIME = rf":\d{{2}}(?:{_MARKED}|:\d{{2}}(?:[.,:]\d+)?)?"
+_COMPACT_TIME = rf"\d{{2}}(?:{_MARKED}|\d{{2}}(?:{_MARKED}|\d{{2,}})?)?"
+_TIME = rf"\d{{2}}(?:{_MARKED}|{_EXTENDED_TIME}|{_COMPACT_TIME})?\z"
+_CLOCK = "^" + _TIME
+# Before an offset the ISO parser passes over one ASCII character behind a whole part.
+_CLOCK_AND_ONE = r"^\d{2}(?::\d{2}(?::\d{2})?|\d{2}(?:\d{2})?)?[\x00-Y\[-\x7f]\z"
+_OFFSET = "^[+-]" + _TIME
 _FIRST_MICROS = -62_135_596_800_000_000  # 0001-01-01T00:00:00Z
 _LAST_MICROS = 253_402_300_799_999_999  # 9999-12-31T23:59:59.999999Z
 
 
+def _whole(digits: Column) -> Column:
+    """``HHMMSS`` of a time without colons."""
+    return F.rpad(F.regexp_extract(digits, r"^\d{0,6}", 0), 6, "0")
+
+
+def _fraction(digits: Column) -> Column:
+    """Six digits of the fraction, with or without a mark in front."""
+    return F.rpad(F.regexp_extract(digits, r"^(?:\d{0,6}[.,]|\d{6})(\d{0,6})", 1), 6, "0")
+
+
 def is_whole_day(text: Column) -> Column:
     """``YYYY-MM-DD`` and nothing else."""
     return text.rlike(_DAY + r"\z")
 
 
+def _with_day(rows: DataFrame) -> DataFrame:
+    """Add ``__day`` (``YYYY-MM-DD`` or null) and ``__day_length`` for the start of ``__source``.
+
+    Behind a compact week, one digit or an even number of them starts with the weekday, as
+    a time has an even number of digits and one character stands before it.
+    """
+    source, digits, week_day = F.col("__source"), F.col("__week_digits"), F.col("__week_day")
+    year, week = F.col("__week_year"), F.col("__week")
+    extended, in_week = source.rlike(_DAY), source.rlike(_WEEK)
+    compact_week = in_week & (F.substring(source, 5, 1) == "W")
+    has_day = F.when(compact_week, (digits == 1) | ((digits > 0) & (digits % 2 == 0))).otherwise(
+        source.rlike(_WEEK_AND_DAY)
+    )
+    bare = F.when(compact_week, F.lit(7)).otherwise(F.lit(8))
+    named = F.when(compact_week, F.lit(8)).otherwise(F.lit(10))
+    fourth = F.make_date(year, F.lit(1), F.lit(4))  # always in the first week
+    monday = F.date_add(fourth, (week - 1) * 7 - F.weekday(fourth))
+    same_year = F.year(F.date_add("__monday", 3)) == year  # a week belongs to its Thursday's year
+    return (
+        rows.withColumn("__week_digits", F.length(F.regexp_extract("__source", _DIGITS_AFTER_WEEK, 1)))
+        .withColumns(
+            {
+                "__day_length": F.when(in_week, F.when(has_day, named).otherwise(bare))
+                .when(extended, F.lit(10))
+                .otherwise(F.lit(8)),
+                "__week_year": F.when(in_week, F.left("__source", F.lit(4)).try_cast("int")),
+                "__week": F.when(
+                    in_week, F.replace(F.substring(source, 6, 3), F.lit("W"), F.lit(""))
+                ),
+                "__week_day": F.when(
+                    has_day, F.substring("__source", F.when(compact_week, 8).otherwise(10), F.lit(1))
+                )
+                .otherwise(F.lit("1"))
+                .try_cast("int"),
+            }
+        )
+        .withColumn("__week", F.substring("__week", 1, 2).try_cast("int"))
+        .withColumn("__monday", monday)
+        .withColumn(
+            "__day",
+            F.when(
+                in_week,
+                F.when(
+                    same_year & week_day.between(1, 7), F.date_add("__monday", week_day - 1)
+                ).cast("string"),
+            )
+            .when(extended, F.left("__source", F.lit(10)))
+            .when(
+                source.rlike(_COMPACT_DAY),
+                F.regexp_replace(F.left("__source", F.lit(8)), r"^(....)(..)(..)", "$1-$2-$3"),
+            ),
+        )
+    )
+
+
 def add_boundary(rows: DataFrame, text: str, upper: Column, name: str) -> DataFrame:
     """Add the instant of a stripped ISO 8601 filter boundary; without an offset it is UTC-4.
 
-    Extended and compact calendar dates, any character before the time, any
-    number of fraction digits (six count). Where ``upper`` holds, a whole day
-    gives the following midnight. Week dates are not read.
+    Extended and compact calendar and week dates, any character before the time,
+    any number of fraction digits (six count). Where ``upper`` holds, a whole day
+    (``YYYY-MM-DD`` only) gives the following midnight.
     """
     source, rest, body = F.col("__source"), F.col("__rest"), F.col("__body")
+    day_length = F.col("__day_length")
     clock, offset, digits = F.col("__clock"), F.col("__offset"), F.col("__digits")
     hms, sizes, size, wall = F.col("__hms"), F.col("__sizes"), F.col("__size"), F.col("__wall")
-    extended = source.rlike(_DAY)
     cut = (
-        rows.withColumn("__source", F.regexp_replace(text, r"[zZ]\z", "+00:00"))
-        .withColumns(
-            {
-                "__day": F.when(extended, F.left(source, F.lit(10))).when(
-                    source.rlike(_COMPACT_DAY),
-                    F.regexp_replace(F.left(source, F.lit(8)), r"^(....)(..)(..)", "$1-$2-$3"),
-                ),
-                "__rest": F.substring(
-                    source, F.when(extended, F.lit(11)).otherwise(F.lit(9)), F.length(source)
-                ),
-            }
-        )
+        _with_day(rows.withColumn("__source", F.regexp_replace(text, r"[zZ]\z", "+00:00")))
+        .withColumn("__rest", F.substring(source, day_length + 1, F.length(source)))
         .withColumn("__body", F.substring(rest, F.lit(2), F.length(rest)))
         .withColumns(
             {
@@ -146,16 +213,28 @@ def add_boundary(rows: DataFrame, text: str, upper: Column, name: str) -> DataFr
                 "__offset": F.regexp_extract(body, r"[+-].*\z", 0),
             }
         )
-        .withColumn("__digits", F.replace(clock, F.lit(":"), F.lit("")))
+        .withColumn(
+            "__clock",
+            F.when(
+                (offset != "") & clock.rlike(_CLOCK_AND_ONE),
+                F.substring(clock, F.lit(1), F.length(clock) - 1),
+            ).otherwise(clock),
+        )
         .withColumns(
             {
-                "__hms": F.rpad(F.substring(digits, 1, 6), 6, "0"),
-                "__fraction": F.rpad(F.substring(digits, 8, 6), 6, "0"),
-                "__sizes": F.rpad(
-                    F.replace(F.substring(offset, 2, 8), F.lit(":"), F.lit("")), 6, "0"
+                "__digits": F.replace(clock, F.lit(":"), F.lit("")),
+                "__shift": F.replace(
+                    F.substring(offset, F.lit(2), F.length(offset)), F.lit(":"), F.lit("")
                 ),
             }
         )
+        .withColumns(
+            {
+                "__hms": _whole(digits),
+                "__fraction": _fraction(digits),
+                "__sizes": _whole(F.col("__shift")),
+            }
+        )
         .withColumns(
             {
                 "__wall": F.unix_micros(
@@ -168,26 +247,28 @@ def add_boundary(rows: DataFrame, text: str, upper: Column, name: str) -> DataFr
                         F.lit("Z"),
                     ).try_cast("timestamp")
                 ),
-                "__size": F.substring(sizes, 1, 2).try_cast("int") * 3600
-                + F.substring(sizes, 3, 2).try_cast("int") * 60
-                + F.substring(sizes, 5, 2).try_cast("int"),
+                "__size": (
+                    F.substring(sizes, 1, 2).try_cast("bigint") * 3600
+                    + F.substring(sizes, 3, 2).try_cast("bigint") * 60
+                    + F.substring(sizes, 5, 2).try_cast("bigint")
+                )
+                * 1_000_000
+                + _fraction(F.col("__shift")).try_cast("bigint"),
             }
         )
     )
-    shift = F.when(offset == "", F.lit(BUSINESS_UTC_OFFSET_MINUTES * 60)).otherwise(
+    shift = F.when(offset == "", F.lit(BUSINESS_UTC_OFFSET_MINUTES * _MICROS_PER_MINUTE)).otherwise(
         F.when(F.left(offset, F.lit(1)) == "-", -size).otherwise(size)
     )
-    next_day = F.when(upper & is_whole_day(F.col(text)), F.lit(_SECONDS_PER_DAY)).otherwise(
-        F.lit(0)
-    )
+    next_day = F.when(upper & is_whole_day(F.col(text)), F.lit(_MICROS_PER_DAY)).otherwise(F.lit(0))
     layout = (rest == "") | (
-        clock.rlike(_CLOCK) & ((offset == "") | (offset.rlike(_OFFSET) & (size < _SECONDS_PER_DAY)))
+        clock.rlike(_CLOCK) & ((offset == "") | (offset.rlike(_OFFSET) & (size < _MICROS_PER_DAY)))
     )
     # A day must exist by itself before the next one is taken.
-    good = layout & (wall >= _FIRST_MICROS)
+    good = layout & wall.between(_FIRST_MICROS, _LAST_MICROS)
     micros = F.col("__micros")
     judged = cut.withColumn(
-        "__micros", F.when(good, wall + (next_day - shift).cast("bigint") * 1_000_000)
+        "__micros", F.when(good, wall + next_day - shift)
     )
     instant = F.when(micros.between(_FIRST_MICROS, _LAST_MICROS), F.timestamp_micros(micros))
     return judged.withColumn(name, instant).select(*rows.columns, name)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,12 @@ WHITE_SPACE = "".join(
 
 ASCII_SPACE = "\t\n\v\f\r "
 
+# Every decimal digit (category Nd) beyond ASCII, and its value in the same order.
+_DIGITS = [
+    char for char in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(char) == "Nd"
+]
+_DIGIT_VALUES = "".join(str(unicodedata.decimal(char)) for char in _DIGITS)
+
 INTEGER = r"^[+-]?\d+\z"
 DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}\z"
@@ -45,6 +54,14 @@ def strip(text: Column) -> Column:
     )
 
 
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of any script as ``0`` to ``9``; other characters stay."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, text).otherwise(
+        F.translate(text, "".join(_DIGITS), _DIGIT_VALUES)
+    )
+
+
 def null_if_token(text: Column, tokens: tuple[str, ...]) -> Column:
     return F.when(~text.isin(*tokens), text)
 

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from tallyspark.contract import CHANNELS, FILTER_NAMES, GENDERS, REQUEST_SCHEMA
 from tallyspark.functions.moments import add_boundary, is_whole_day
-from tallyspark.functions.text import INTEGER, WHITE_SPACE
+from tallyspark.functions.text import INTEGER, WHITE_SPACE, ascii_digits, strip
 from tallyspark.operators.batch import REQUEST_ID
 from tallyspark.operators.filters import INTEGER_RANGES, MAX_DIGITS
 
 _PYTHON_SPACE = WHITE_SPACE + "\x1c\x1d\x1e\x1f"
 _DATES = ("FECHA_DESDE", "FECHA_HASTA")
 SALTS = 16
+_DOTLESS_I = "\u0131"  # the one letter that only upper case makes an ASCII one
+_HEX_HEAD = r"^\+?(?:0x_?)?"
+_HEX_NUMBER = _HEX_HEAD + r"[0-9a-f]+(?:_[0-9a-f]+)*\z"
 
 
 def _one_of(allowed: tuple[str, ...], text: Column, fold) -> Column:
@@ -28,12 +31,30 @@ def _one_of(allowed: tuple[str, ...], text: Column, fold) -> Column:
     return chain.otherwise(F.lit(None).cast("string"))
 
 
-def _uuid(text: Column) -> Column:
-    bare = F.replace(F.replace(text, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
-    digits = F.lower(F.replace(F.btrim(bare, F.lit("{}")), F.lit("-"), F.lit("")))
+def _case_folded(text: Column) -> Column:
+    """Upper case, which also brings a long s or a ligature to its plain letters."""
+    return F.when(~F.contains(text, F.lit(_DOTLESS_I)), F.upper(text))
+
+
+def _add_uuid(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the canonical UUID of a stripped text: 32 characters without the decoration.
+
+    They are read as one hexadecimal number, so a plus sign, ``0x``, single underscores
+    and digits of any script may stand among them.
+    """
+    source = F.col(text)
+    bare = F.replace(F.replace(source, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
+    body, number = F.col("__body"), F.col("__number")
+    digits = F.lpad(F.replace(F.regexp_replace(number, _HEX_HEAD, ""), F.lit("_"), F.lit("")), 32, "0")
     parts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-    joined = F.concat_ws("-", *(F.substring(digits, start, size) for start, size in parts))
-    return F.when(digits.rlike(r"^[0-9a-f]{32}\z"), joined)
+    joined = F.concat_ws("-", *(F.substring("__digits", start, size) for start, size in parts))
+    return (
+        rows.withColumn("__body", F.replace(F.btrim(bare, F.lit("{}")), F.lit("-"), F.lit("")))
+        .withColumn("__number", F.lower(ascii_digits(strip(body))))
+        .withColumn("__digits", digits)
+        .withColumn(name, F.when((F.length(body) == 32) & number.rlike(_HEX_NUMBER), joined))
+        .drop("__body", "__number", "__digits")
+    )
 
 
 def validate_requests(pairs: DataFrame) -> DataFrame:
@@ -54,22 +75,27 @@ def validate_requests(pairs: DataFrame) -> DataFrame:
         F.btrim("valor", F.lit(_PYTHON_SPACE)).alias("__text"),
         F.coalesce(kind, F.lit("string")).alias("__kind"),
     )
+    # ASCII zeros in front do not count; digits of other scripts do, zeros included.
     digits = F.ltrim(F.regexp_replace(text, r"^[+-]", ""), F.lit("0"))
-    parsed = base.withColumns(
-        {
-            "__whole": F.when(
-                text.rlike(INTEGER) & (F.length(digits) <= MAX_DIGITS),
-                F.concat(
-                    F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")),
-                    F.when(digits == "", F.lit("0")).otherwise(digits),
-                ).try_cast("decimal(20,0)"),
-            ),
-            "__gender": _one_of(GENDERS, F.lower(text), str.lower),
-            "__channel": _one_of(CHANNELS, F.upper(text), str.upper),
-            "__person": _uuid(text),
-            "__date": F.when(is_date & is_text, text),
-        }
+    parsed = (
+        base.withColumn("__digits", F.when(F.length(digits) <= MAX_DIGITS, ascii_digits(digits)))
+        .withColumns(
+            {
+                "__whole": F.when(
+                    F.concat(F.lit("0"), "__digits").rlike(INTEGER) & (text != "") & ~text.isin("+", "-"),
+                    F.concat(
+                        F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")),
+                        F.lit("0"),
+                        "__digits",
+                    ).try_cast("decimal(20,0)"),
+                ),
+                "__gender": _one_of(GENDERS, _case_folded(text), str.upper),
+                "__channel": _one_of(CHANNELS, F.upper(text), str.upper),
+                "__date": F.when(is_date & is_text, text),
+            }
+        )
     )
+    parsed = _add_uuid(parsed, "__text", "__person")
     parsed = add_boundary(parsed, "__date", name == "FECHA_HASTA", "instante")
 
     whole = F.col("__whole")

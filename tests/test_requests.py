@@ -15,6 +15,12 @@ from tallyspark.operators.requests import accepted_requests, validate_requests
 _PERSON = "3D8594A2-3D1E-3FFC-85ED-6A94F3BAAAA9"
 _VALUES = [
     *(("EDAD", v) for v in ("30", " +30 ", "-1", "121", "0", "30.0", "", "3e1", "-0", "1" * 20, None)),
+    *(("EDAD", v) for v in ("٣٠", "-٠", "०७", "𝟗𝟗", "0٣", "+٣ ", "٣ ٠", "²", "+", "-", "+-1", "٠" * 20, "٠" * 18 + "1")),
+    *(("GENERO", v) for v in ("No eſpecificado", "no especiﬁcado", "femenıno", "FEMENİNO")),
+    *(("CANAL", v) for v in ("poſ", "ＰＯＳ")),
+    *(("ID_PERSONA", v) for v in ("٣" * 32, "{+" + "a" * 31 + "}", "0x" + "B" * 30, "0X_" + "a" * 29,
+                                  "a_" * 15 + "bb", "a__" + "b" * 29, "_" + "a" * 31, "{ " + "a" * 31 + "}",
+                                  "0x" * 16, "g" * 32, "𝟗" * 32, "{}" + "a" * 32, "+" * 32)),
     *(("LOCAL", v) for v in ("101", "+" + "0" * 90 + "101", str(2**63 - 1), str(2**63), "0", "uno")),
     *(("CODIGO_PRODUCTO", v) for v in ("1", "-5", "9" * 19, "1_0")),
     *(("GENERO", v) for v in (" femenino", "MASCULINO", "Otro", "no especificado", "x", "")),
@@ -31,7 +37,19 @@ _VALUES = [
             "2026-01-15Z", "2026-01-15-05:00", "2026-01-15T09:30:00+24:00", "2026-01-15T24:00",
             "2026-01-15T0930:00", "2026-01-15T", "2026-01-15T09:30:60", "2026-02-30", "2026-1-5",
             "13/07/2026", "9999-12-31", "9999-12-30", "9999-12-31T20:00:00", "9999-12-31T19:59:59",
-            "0001-01-01", "0001-01-01T00:00:00+05:00", "0000-01-01", "ayer", "",
+            "0001-01-01", "0001-01-01T00:00:00+05:00", "0000-01-01", "ayer", "", "٢٠٢٦-01-15",
+            "2026-W03", "2026W03", "2026-W03-2", "2026W037", "2026-W03-8", "2026W030", "2026-W00",
+            "2026-W53", "2020-W53-7", "2026-w03", "9999-W52-5", "9999-W52-6", "0001-W01", "0000-W52",
+            "2026-W03T10", "2026-W03-10:30", "2026-W03-2T10", "2026-W03-2-10:30", "2026-W03-2Z",
+            "2026-W03-2310:30", "2026W03210", "2026W0310", "2026W032101", "2026W03101112",
+            "2026W031011121", "2026-W03210", "2026-W03-05:00", "2026W03-05:00", "2026W03z",
+            "20260115T0930151234", "2026-01-15T0930151", "2026-01-15T09:30:151", "2026-01-15T093015.",
+            "2026-01-15T09:30:15+05:00:00.5", "2026-01-15T09:30:15-0500001", "2026-01-15T09:30.5",
+            "2026-01-15T09:30:15+23:59:59.9999999", "2026-01-15T09:30:15+05:00:00,", "2026-01-15T09.5", "20260115T0930,25+05.5",
+            "20260115T09301", "2026-01-15T09:30:15:25", "2026-01-15 09:430Z", "20260115T093+05",
+            "2026-01-15T09:30:+05", "2026-01-15T09:30ñZ", "2026-01-15T09:30ZZ", "20260115T103015,-0430",
+            "2026-01-15T09:30:15-0500", "20260115T093015+050000123",
+            "2026-W03-", "2026-W03T", "2026-W03-9:30", "2026-W03-1٣10", "2026W" + "1" * 9000,
         )
     ),
     ("DESCONOCIDO", "1"),
@@ -76,6 +94,27 @@ _DATES = st.from_regex(
 )
 
 
+_WEEKS = st.from_regex(
+    r"\A(19|20)\d\d(-W[0-5]\d(-[0-8])?|W[0-5]\d[0-8]?)"
+    r"([T _5-]([01]\d|2[0-4])(:?[0-5]\d(:?[0-6]\d([.,]\d{1,8})?)?)?([zZ]|[+-]([01]\d|2[0-4])(:?\d\d)?)?)?\Z"
+)
+_NUMBERS = st.from_regex(r"\A[ +-]?[0٠٣०७𝟗1²x]{1,22}\Z")
+_PEOPLE = st.from_regex(r"\A(urn:uuid:|\{)?[+0a]?[xX_0]?[0-9A-F٣_]{30}(-?[0-9a-f]){0,2}\}?\Z")
+_ANY_PAIR = st.one_of(
+    st.tuples(st.sampled_from(["FECHA_DESDE", "FECHA_HASTA"]), _WEEKS),
+    st.tuples(st.sampled_from(["EDAD", "LOCAL", "CODIGO_PRODUCTO"]), _NUMBERS),
+    st.tuples(st.just("ID_PERSONA"), _PEOPLE),
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(_ANY_PAIR, min_size=60))
+def test_random_weeks_and_digits_agree_with_the_python_rules(spark, pairs):
+    found = _by_spark(spark, pairs)
+    expected = [_by_python(name, value) for name, value in pairs]
+    assert [p for p in zip(pairs, found, expected, strict=True) if p[1] != p[2]] == []
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["FECHA_DESDE", "FECHA_HASTA"]), _DATES), min_size=40))
 def test_random_dates_agree_with_the_python_rules(spark, pairs):
