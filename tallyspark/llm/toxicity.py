@@ -1,10 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reporting, other. Five small
-transducers read the symbols of a clause: one emits insults; one threats, which need a
-target soon after; one marks whether a target is near, one whether a negation reaches the
-word, one whether the clause reports somebody else's words. Their product is built once as
-a table, so a clause is read in one walk. Each match has a kind (threat, targeted, plain,
+Words become symbols: insult, threat, target, negation, reporting and the like. Six small
+transducers read the symbols of a clause: one emits insults; one threats that need a target
+soon after ("kill you"); one threats whose target stands in front, with a word of will or
+wish ("you should die", "they will be beaten"); one marks whether a target is near, one
+whether a negation reaches the word, one whether the clause reports somebody else's words.
+Their product is built once as a table, so a clause is read in one walk. A clause with a
+match is read once more from its end, by the product of the machines that look there: for a
+target behind an insult and for attribution in its last two words ("you idiot, he said").
+Verb forms come from stems by a rule. Each match has a kind (threat, targeted, plain,
 negated, reported), a clause has the weight of its strongest match, and a document is
 described by how many clauses have which kind; each further clause of a kind adds less.
 
@@ -16,9 +20,9 @@ the table of clause counts by label, with the built-in weights as prior.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import product
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +44,22 @@ dummkopf trottel vollidiot arschloch abschaum missgeburt blödmann
 connard connasse salaud imbécile crétin débile ordure
 idiota imbécil estúpido estúpida basura pendejo gilipollas escoria
 """.split()
+THREAT_STEMS = "kill murder stab strangle destroy burn hang rape punish slaughter choke".split()
 THREATS = """
-kill killing murder hurt beat stab shoot strangle destroy burn hang rape die punish
-töten umbringen verprügeln tuer frapper crever matar golpear quemar
+hurt hurts hurting beat beats beating shoot shoots shooting
+töten umbringen verprügeln tuer frapper matar golpear quemar
 """.split()
+DOOMS = """
+die burn hang hurt suffer perish rot bleed mourir crever brûler morir arder
+""".split()
+PARTICIPLES = "beaten shot hung hurt burnt dead tué tuée pendu muerto muerta".split()
+MODALS = """
+will would should must shall gonna going deserve deserves need needs might may
+vas va allez vont dois doit devez doivent debes debe deberías merece
+""".split()
+WISHES = "hope wish want espère espero ojalá".split()
+SUBJECTS = "you u he she they ur tu vous ils elles te ustedes".split()
+WILLING_SUBJECTS = "you'll he'll she'll they'll you’ll he’ll she’ll they’ll".split()
 TARGETS = """
 you your yours yourself u ur they them their he him she her these those all
 du dich dir ihr euch sie tu te toi vous ils elles tú ti usted ustedes ellos ellas
@@ -59,10 +75,12 @@ llamó escribió
 """.split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+DOOM, PARTICIPLE, MODAL, WISH, SUBJECT, WILLING_SUBJECT = range(6, 12)
+_SYMBOLS = 12
+_TARGETS = (TARGET, SUBJECT, WILLING_SUBJECT)
 KINDS = ("threat", "targeted", "plain", "negated", "reported")  # strongest first
 PRIOR = (3.0, 3.5, 3.0, 0.6, 0.9)  # log odds a clause of the kind adds
 PRIOR_BASE = -2.8
-_MOST = 3  # clauses of a kind in the short form of the counts
 _PRIOR_ROWS = 1.0  # precision of the prior
 _NEAR, _REACH = 4, 3  # words a target and a negation reach
 
@@ -75,7 +93,7 @@ class Transducer:
     """States 0..n-1 from 0; ``step(state, symbol)`` gives the next state and an output."""
 
     states: int
-    step: object
+    step: Callable[[int, int], tuple[int, bool]]
 
 
 def _insult(state: int, symbol: int) -> tuple[int, bool]:
@@ -84,13 +102,32 @@ def _insult(state: int, symbol: int) -> tuple[int, bool]:
 
 def _threat(state: int, symbol: int) -> tuple[int, bool]:
     """A threat word arms the machine for a few words; a target then completes the threat."""
-    if symbol == THREAT:
+    if symbol in (THREAT, DOOM):
         return _NEAR, False
-    return (0, True) if symbol == TARGET and state else (max(0, state - 1), False)
+    return (0, True) if symbol in _TARGETS and state else (max(0, state - 1), False)
+
+
+def _doom(state: int, symbol: int) -> tuple[int, bool]:
+    """Subject, then will; or wish, then target; then, within a few words, what befalls it.
+
+    The state is phase * _NEAR + words left: phase 0 has a subject, 1 a wish, 2 both.
+    """
+    phase, left = divmod(state - 1, _NEAR) if state else (0, 0)
+    if symbol in (DOOM, PARTICIPLE) and state and phase == 2:
+        return 0, True
+    if symbol == WILLING_SUBJECT or (
+        state and ((phase == 0 and symbol == MODAL) or (phase == 1 and symbol in _TARGETS))
+    ):
+        return 3 * _NEAR, False
+    if symbol == SUBJECT and not (state and phase == 2):
+        return _NEAR, False
+    if symbol == WISH:
+        return 2 * _NEAR, False
+    return (state - 1 if left else 0), False
 
 
 def _near_target(state: int, symbol: int) -> tuple[int, bool]:
-    state = _NEAR if symbol == TARGET else max(0, state - 1)
+    state = _NEAR if symbol in _TARGETS else max(0, state - 1)
     return state, state > 0
 
 
@@ -104,50 +141,101 @@ def _reported(state: int, symbol: int) -> tuple[int, bool]:
     return state, bool(state)
 
 
-MACHINES = (
-    Transducer(1, _insult),
-    Transducer(_NEAR + 1, _threat),
-    Transducer(_NEAR + 1, _near_target),
-    Transducer(_REACH + 2, _negated),
-    Transducer(2, _reported),
-)
+def _attributed(state: int, symbol: int) -> tuple[int, bool]:
+    """Read from the end: a reporting verb among the first two words. State 3 is yes."""
+    if state < 2 and symbol == REPORT:
+        return 3, True
+    return (state, state == 3) if state >= 2 else (state + 1, False)
 
 
-def _match(insult: bool, threat: bool, near: bool, negated: bool, reported: bool) -> int:
+def _match(
+    insult: bool, threat: bool, doom: bool, near: bool, negated: bool, reported: bool
+) -> int:
     """The kind of a match as its place in ``KINDS``, or -1."""
-    if not (insult or threat):
+    if not (insult or threat or doom):
         return -1
     if reported:
         return 4
     if negated:
         return 3
-    if threat:
+    if threat or doom:
         return 0
     return 1 if near else 2
 
 
-def compose(machines: Sequence[Transducer] = MACHINES) -> list[list[tuple[int, int]]]:
-    """The product of the machines: per state and symbol the next state and the match."""
-    states = list(product(*(range(machine.states) for machine in machines)))
-    number = {state: place for place, state in enumerate(states)}
-    table = []
-    for state in states:
+def _match_from_end(insult: bool, near: bool, negated: bool, attributed: bool) -> int:
+    """Attribution counts for the whole clause, so it is told without a match, too."""
+    if attributed:
+        return 4
+    return 1 if insult and near and not negated else -1
+
+
+MACHINES = (
+    Transducer(1, _insult),
+    Transducer(_NEAR + 1, _threat),
+    Transducer(3 * _NEAR + 1, _doom),
+    Transducer(_NEAR + 1, _near_target),
+    Transducer(_REACH + 2, _negated),
+    Transducer(2, _reported),
+)
+MACHINES_FROM_END = (
+    Transducer(1, _insult),
+    Transducer(_NEAR + 1, _near_target),
+    Transducer(_REACH + 2, _negated),
+    Transducer(4, _attributed),
+)
+
+
+@cache
+def compose(
+    machines: tuple[Transducer, ...], match: Callable[..., int]
+) -> list[list[tuple[int, int]]]:
+    """The product of the machines: per state and symbol the next state and the match.
+
+    Only states that some clause reaches are in it.
+    """
+    start = (0,) * len(machines)
+    number, table, open_states = {start: 0}, [], [start]
+    for state in open_states:  # grows while it is read
         row = []
-        for symbol in range(6):
+        for symbol in range(_SYMBOLS):
             moves = [m.step(own, symbol) for m, own in zip(machines, state, strict=True)]
-            row.append((number[tuple(new for new, _ in moves)], _match(*(o for _, o in moves))))
+            after = tuple(new for new, _ in moves)
+            if after not in number:
+                number[after] = len(number)
+                open_states.append(after)
+            row.append((number[after], match(*(output for _, output in moves))))
         table.append(row)
     return table
 
 
+def inflected(stem: str) -> tuple[list[str], str]:
+    """Third person and present participle of an English verb, and its past participle."""
+    if stem.endswith("e"):
+        return [stem, stem + "s", stem[:-1] + "ing"], stem + "d"
+    hissing = stem.endswith(("sh", "ch", "ss", "x"))
+    short = len(stem) <= 4 and stem[-1] not in "aeiouwxyl" and stem[-2] in "aeiou"
+    doubled = stem + stem[-1] if short and stem[-3] not in "aeiou" else stem
+    return [stem, stem + ("es" if hissing else "s"), doubled + "ing"], doubled + "ed"
+
+
 def lexicon(learned: Iterable[str] = ()) -> dict[str, int]:
+    forms = [inflected(stem) for stem in THREAT_STEMS]
     symbols = {}
     for words, symbol in (
         (learned, INSULT),
         (REPORTS, REPORT),
         (NEGATIONS, NEGATION),
         (TARGETS, TARGET),
+        (SUBJECTS, SUBJECT),
+        (WILLING_SUBJECTS, WILLING_SUBJECT),
+        (MODALS, MODAL),
+        (WISHES, WISH),
+        (PARTICIPLES, PARTICIPLE),
+        ([past for _, past in forms], PARTICIPLE),
+        ([word for present, _ in forms for word in present], THREAT),
         (THREATS, THREAT),
+        (DOOMS, DOOM),
         (INSULTS, INSULT),
     ):
         symbols.update((word, symbol) for word in words)
@@ -157,29 +245,29 @@ def lexicon(learned: Iterable[str] = ()) -> dict[str, int]:
 class Grammar:
     def __init__(self, symbols: dict[str, int]) -> None:
         self._symbols = symbols
-        self._table = compose()
-        self._triggers = frozenset(w for w, s in symbols.items() if s in (INSULT, THREAT))
+        self._table = compose(MACHINES, _match)
+        self._from_end = compose(MACHINES_FROM_END, _match_from_end)
+        told = (INSULT, THREAT, DOOM, PARTICIPLE)
+        self._triggers = frozenset(w for w, s in symbols.items() if s in told)
 
     def clause(self, words: list[str]) -> int:
         """The strongest match of a clause, as a place in ``KINDS``, or -1."""
         state, strongest = 0, len(KINDS)
-        # A target may follow an insult; the mirrored walk sees it before.
         symbols = [self._symbols.get(word, OTHER) for word in words]
-        for walk in (symbols, symbols[::-1]):
-            state = 0
-            for symbol in walk:
-                state, match = self._table[state][symbol]
-                if walk is not symbols and match != 1:
-                    continue
-                if 0 <= match < strongest:
-                    strongest = match
-            if strongest > 2:  # only a plain match can become a targeted one
-                break
-        return strongest if strongest < len(KINDS) else -1
-
-    def counts(self, text: str | None) -> list[int]:
-        """Clauses of each kind, ``_MOST`` standing for more."""
-        return [min(_MOST, count) for count in self.all_counts(text)]
+        for symbol in symbols:
+            state, match = self._table[state][symbol]
+            if 0 <= match < strongest:
+                strongest = match
+        if strongest > 2:  # the end cannot change what is negated or reported already
+            return strongest if strongest < len(KINDS) else -1
+        state = 0
+        for symbol in reversed(symbols):
+            state, match = self._from_end[state][symbol]
+            if match == 4:
+                return 4
+            if match == 1:
+                strongest = min(strongest, 1)
+        return strongest
 
     def all_counts(self, text: str | None) -> list[int]:
         """Clauses of each kind."""

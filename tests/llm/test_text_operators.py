@@ -154,7 +154,7 @@ def test_grammar_reads_clauses():
     kinds = dict(zip(toxicity.KINDS, range(5), strict=True))
 
     def kind(text):
-        counts = grammar.counts(text)
+        counts = grammar.all_counts(text)
         return next((name for name, at in kinds.items() if counts[at]), None)
 
     assert kind("you are a stupid idiot") == "targeted"
@@ -164,7 +164,28 @@ def test_grammar_reads_clauses():
     assert kind("she said he was an idiot") == "reported"
     assert kind("I will kill you") == "threat"
     assert kind("the kill switch") is kind("") is kind(None) is None
-    assert grammar.counts("idiot. moron! scum? trash; loser")[kinds["plain"]] == 3
+    assert grammar.all_counts("idiot. moron! scum? trash; loser")[kinds["plain"]] == 5
+    for threat in ("you will die", "you should die", "you will be killed", "they must be hanged",
+                   "you'll get stabbed", "I hope you die", "I want you dead", "tu vas mourir",
+                   "you deserve to be beaten", "stabbing you", "he kills you", "die, you"):
+        assert kind(threat) == "threat", threat
+    for harmless in ("he was killed", "the leaves will die", "she will be here", "you die",
+                     "sie will die Welt sehen", "they were beaten at chess", "dead ends"):
+        assert kind(harmless) is None, harmless
+    assert kind("you will not die") == "negated"
+    assert kind("you idiot, he said") == kind("I will kill you, said Tom") == "reported"
+    assert kind("he said you will die") == "reported"
+    assert kind("you said I am the idiot you know well") == "reported"
+    assert kind("you called me names, you filthy little idiot") == "reported"
+    assert kind("you idiot said nothing to me") == "targeted"
+
+
+def test_verb_forms():
+    assert toxicity.inflected("kill") == (["kill", "kills", "killing"], "killed")
+    assert toxicity.inflected("stab") == (["stab", "stabs", "stabbing"], "stabbed")
+    assert toxicity.inflected("rape") == (["rape", "rapes", "raping"], "raped")
+    assert toxicity.inflected("punish") == (["punish", "punishes", "punishing"], "punished")
+    assert toxicity.inflected("burn") == (["burn", "burns", "burning"], "burned")
 
 
 def test_toxicity_orders_and_bounds(spark):
