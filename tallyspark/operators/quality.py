@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyspark.contract import CHANNELS, MAX_AGE
+from tallyspark.functions.methods import new_method
 from tallyspark.functions.text import UUID, is_finite
 
 INVALID = "__invalid"
@@ -47,9 +48,12 @@ def rules() -> dict[str, Column]:
 
 
 def mark(sales: DataFrame) -> DataFrame:
-    """One boolean column per reason and ``__invalid`` for "any reason"."""
+    """One boolean column per reason and ``__invalid`` for "any reason".
+
+    The rules are compiled apart from the normalisation below them.
+    """
     named = rules()
-    marked = sales.select("*", *(test.alias(name) for name, test in named.items()))
+    marked = new_method(sales).select("*", *(test.alias(name) for name, test in named.items()))
     return marked.withColumn(INVALID, reduce(or_, (F.col(name) for name in named)))
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from uuid import uuid4
 
-from pyspark.sql import Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.contract import (
@@ -31,6 +31,7 @@ from tallyspark.functions.fingerprint import (
     fingerprint_text,
     row_text,
 )
+from tallyspark.functions.methods import new_method
 from tallyspark.operators.checks import dataset_checks
 from tallyspark.operators.normalize import analytic_projection, normalize
 from tallyspark.operators.quality import INVALID, observed
@@ -151,6 +152,26 @@ def ingest(
         raise
 
 
+def counted_rows(raw: DataFrame, counts: Observation) -> DataFrame:
+    """Typed rows of the extract with their verdicts; writing them fills ``counts``.
+
+    Reading with digest, normalisation and rules are three parts of generated code.
+    """
+    tagged = raw.withColumn(_TEXT, row_text(RAW_COLUMNS)).withColumns(
+        {
+            _DIGEST: F.md5(F.col(_TEXT).cast("binary")),
+            _SUSPECT: F.contains(F.col(_TEXT), F.lit(REPLACEMENT)),
+        }
+    )
+    return observed(
+        normalize(new_method(tagged), keep=(_DIGEST, MALFORMED, _SUSPECT)),
+        counts,
+        *fingerprint_counters(F.col(_DIGEST)),
+        F.count_if(F.col(MALFORMED)).alias("malformed"),
+        F.count_if(F.col(_SUSPECT)).alias("suspect"),
+    )
+
+
 def _publish(
     spark: SparkSession,
     source: str,
@@ -164,20 +185,8 @@ def _publish(
     """Write all parts of a generation, the manifest row last."""
     table = generation_path(root, generation, "sales")
     raw = read_sales_csv(spark, source, multi_line=options["multi_line"])
-    tagged = raw.withColumn(_TEXT, row_text(RAW_COLUMNS)).withColumns(
-        {
-            _DIGEST: F.md5(F.col(_TEXT).cast("binary")),
-            _SUSPECT: F.contains(F.col(_TEXT), F.lit(REPLACEMENT)),
-        }
-    )
     counts = Observation()
-    marked = observed(
-        normalize(tagged, keep=(_DIGEST, MALFORMED, _SUSPECT)),
-        counts,
-        *fingerprint_counters(F.col(_DIGEST)),
-        F.count_if(F.col(MALFORMED)).alias("malformed"),
-        F.count_if(F.col(_SUSPECT)).alias("suspect"),
-    )
+    marked = counted_rows(raw, counts)
     write_sales(analytic_projection(marked.where(~F.col(INVALID))), table)
     seen_now = counts.get
     if options["on_malformed"] == "fail" and seen_now["malformed"]:
