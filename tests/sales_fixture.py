@@ -1,4 +1,4 @@
-"""The twelve valid rows of FIXTURES.md and helpers to write them as CSV."""
+"""Twelve valid sales of a small bookshop chain and helpers to write them as CSV."""
 
 from __future__ import annotations
 
@@ -7,45 +7,50 @@ from pathlib import Path
 
 from tallyspark.contract import RAW_COLUMNS
 
-# Moment, channel, SKU, discount, amount, shop, customer, birth, gender.
+NAME, RUN = "NOMBRE RESERVADO", "7.654.321-6"  # personal values, which must never be stored
+
+# Moment, channel, SKU, discount, amount, shop, customer number, birth, gender. Birthdays on
+# the day of the sale, the day after and on 29 February; one refund; two customers return.
 _ROWS = """
-2026-01-15T09:00:00 POS 1001 0.0 1000.5 101 3d8594a2-3d1e-3ffc-85ed-6a94f3baaaa9 1996-01-15 1
-2026-02-28T10:15:00 WEB 1001 0.05 2000.0 102 3a780763-4d87-3a52-8134-a194ffac5009 1986-03-01 2
-2026-03-01T11:30:00 APP 1001 0.1 3000.5 103 3bcf0a76-6aab-399c-94d3-d45cbd6907e5 2000-02-01 3
-2026-03-31T12:45:00 CCT 1002 0.15 4000.0 104 0eb324a5-e9ab-3f9a-a152-fabcd2eee967 1975-12-31 0
-2026-04-10T14:00:00 APR 1002 0.2 5000.5 101 cf3bd77e-a9eb-3bb0-a7cf-52f27b9810c7 2006-04-10 1
-2026-06-30T15:15:00 WPR 1002 0.25 6000.0 102 afa7e3ae-a514-37e8-9e8e-05c79692f9f2 1990-07-02 2
-2026-07-01T16:30:00 POS 1003 0.3 7000.5 103 fcda0415-08e9-31ba-a5c0-493fe35eb641 1960-01-05 3
-2026-08-20T17:45:00 WEB 1003 0.35 8000.0 104 fce50ed1-9e82-3dc7-b695-3934cdbcca33 2010-08-20 0
-2026-09-09T09:05:00 APP 1003 0.4 9000.5 101 0a1ff418-381c-3a19-9ec0-bfd4fc535e7c 1940-09-10 1
-2026-10-11T10:20:00 CCT 1004 0.45 10000.0 102 956d28fa-9c51-3a26-b9f0-70f3d9c246fa 2020-10-10 2
-2026-11-29T11:35:00 APR 1004 0.5 11000.5 103 03abbfc9-023a-359d-a9b1-88ebc3f4fe56 1980-11-30 3
-2026-12-01T12:50:00 WPR 1004 0.75 12000.0 104 35457816-312a-3b0e-8974-3690120419d9 1999-12-01 0
+2023-01-03T08:12:30 WEB 310 0.1 18990.0 12 1 1988-05-17 2
+2023-01-03T21:40:00 POS 325 0 7490.0 14 2 1971-11-02 1
+2023-02-14T12:00:00 APP 310 0.2 15192.0 14 3 2001-02-14 2
+2023-02-28T23:30:00 WEB 347 0 3250.75 15 4 2000-02-29 1
+2023-04-09T10:05:10 CCT 325 0.05 7115.5 12 5 1964-04-10 0
+2023-05-22T17:17:17 POS 388 0 -3250.75 15 6 1999-12-31 4
+2023-07-01T00:00:00 APR 347 0.5 1625.25 12 1 1988-05-17 2
+2023-08-30T19:59:59 WPR 310 0 21100.0 17 7 1950-08-30 0
+2023-09-18T13:45:00 APP 388 0.15 44200.0 14 8 2010-10-01 1
+2023-10-31T16:20:00 POS 325 0 7490.0 12 2 1971-11-02 1
+2023-12-24T11:11:11 CCT 402 0.3 9933.25 17 9 1993-03-08 5
+2023-12-31T23:59:59 WEB 402 0 14190.5 15 3 2001-02-14 2
 """
 
 
 def valid_rows() -> list[dict[str, str]]:
     rows = []
-    for position, line in enumerate(_ROWS.split("\n")[1:-1]):
+    for position, line in enumerate(_ROWS.strip().split("\n")):
         moment, channel, sku, discount, amount, shop, customer, birth, gender = line.split(" ")
-        values = (
-            moment,
-            channel,
-            sku,
-            f"PRODUCTO PRUEBA {'ABCD'[int(sku) - 1001]}",
-            str(position % 3 + 1),
-            discount,
-            amount,
-            str(900001 + position),
-            shop,
-            customer,
-            "99.999.991-3",
-            f"CLIENTE_PRUEBA_{position + 1:02}",
-            "APELLIDO_SINTETICO",
-            birth,
-            gender,
+        rows.append(
+            {
+                "FECHA": moment,
+                "CANAL": channel,
+                "SKU": sku,
+                "PRODUCTO": f"LIBRO {sku}",
+                "UNIDADES": "1",
+                "PORCENTAJE DESCUENTO": discount,
+                "MONTO APLICADO": amount,
+                "BOLETA": str(5000 + 7 * position),
+                "LOCAL": shop,
+                "CODIGO CLIENTE": f"c0ffee00-b00c-4a1e-9d0{customer}-00000000000{customer}",
+                "RUN CLIENTE": RUN,
+                "NOMBRES": NAME,
+                "APELLIDOS": NAME,
+                "FECHA NACIMIENTO": birth,
+                "GÉNERO": gender,
+            }
         )
-        rows.append(dict(zip(RAW_COLUMNS, values, strict=True)))
+        assert tuple(rows[-1]) == RAW_COLUMNS
     return rows
 
 
