@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from datetime import timedelta
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ from tallyspark.operators.requests import accepted_requests, validate_requests
 from tallyspark.operators.statistics import flagged_statistics, seven_statistics  # noqa: E402
 from tallyspark.plans import query  # noqa: E402
 from tallyspark.plans.ingest import ingest  # noqa: E402
-from tallyspark.sources.generations import latest_manifest  # noqa: E402
+from tallyspark.sources.generations import expire_generations, latest_manifest  # noqa: E402
 from tallyspark.sources.sales_csv import read_sales_csv  # noqa: E402
 
 try:
@@ -166,6 +167,20 @@ def _reingest_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clock(query.published_sales(spark, root))
 
 
+def _publish_and_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three publications, the first of which expires; a reader of the second loses nothing."""
+    root = workspace.new_dir(spark, sf_dir, f"expiry-{uuid4().hex}")
+    source = workspace.extract(spark, sf_dir)
+    first = ingest(spark, source, root, force=True)
+    ingest(spark, source, root, force=True)
+    second = _clock(query.published_sales(spark, root))
+    ingest(spark, source, root, force=True)
+    gone = expire_generations(spark, root, timedelta(0))
+    if gone != [first.generation_id]:
+        raise RuntimeError(f"other generations expired than the first: {gone}")
+    return second
+
+
 def _row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _published(spark, sf_dir).agg(F.count("*").alias("filas"))
 
@@ -297,6 +312,7 @@ _QUERIES: dict[str, Query] = {
     "csv_comma_discarded": _csv_comma,
     "publish_and_read": _publish_and_read,
     "reingest_unchanged": _reingest_unchanged,
+    "publish_and_expire": _publish_and_expire,
     "published_row_count": _row_count,
     "published_quality": _published_quality,
     "summary_cached": _summary,
@@ -327,7 +343,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {**oracles.oracle_sql(), "checks_of_damaged": CHECKS_SQL, "request_week_dates": WEEKS_SQL}
+    own = oracles.oracle_sql()
+    own |= {"checks_of_damaged": CHECKS_SQL, "request_week_dates": WEEKS_SQL}
+    own["publish_and_expire"] = own["publish_and_read"]
     if llm_queries is None:
         return own
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

@@ -41,9 +41,10 @@ from tallyspark.sources.generations import (
     QUALITY_SCHEMA,
     SUMMARY_SCHEMA,
     folder_listing,
+    forget_older,
     generation_path,
     latest_manifest,
-    manifest_path,
+    publish_generation,
     read_sales,
     remove_generation,
     write_rows,
@@ -146,10 +147,12 @@ def ingest(
 
     generation = str(uuid4())
     try:
-        return _publish(spark, source, root, generation, listing, seen, options, started)
+        result = _publish(spark, source, root, generation, listing, seen, options, started)
     except BaseException:
         remove_generation(spark, root, generation)
         raise
+    forget_older(spark, root)
+    return result
 
 
 def counted_rows(raw: DataFrame, counts: Observation) -> DataFrame:
@@ -182,7 +185,7 @@ def _publish(
     options: dict,
     started: float,
 ) -> IngestResult:
-    """Write all parts of a generation, the manifest row last."""
+    """Write all parts of a generation, then let readers find it."""
     table = generation_path(root, generation, "sales")
     raw = read_sales_csv(spark, source, multi_line=options["multi_line"])
     counts = Observation()
@@ -235,5 +238,6 @@ def _publish(
         options["on_malformed"],
         options["multi_line"],
     )
-    write_rows(spark, [row], MANIFEST_SCHEMA, manifest_path(root), mode="append")
+    write_rows(spark, [row], MANIFEST_SCHEMA, generation_path(root, generation, "manifest"))
+    publish_generation(spark, root, generation, processed_at)
     return IngestResult(DONE, generation, valid, discarded, source_fingerprint)
