@@ -1,17 +1,23 @@
-"""Main text of web pages: structure first, and a suffix index per host for the rest.
-
-Where a page marks its article, and that holds the bulk of the page, the article's blocks
-are its text: passages repeated across pages stay, since an article may quote. Other pages
-carry no such evidence. For them all pages of a host are read as token streams, and every suffix is
-represented by its first ``LONG`` tokens: two suffixes agree that far exactly if
-they fall into one group. Grouping is the distributed form of sorting the suffix array:
-a group with distinct pages is a substring of at least ``LONG`` tokens repeated across
-pages. Token runs that such substrings cover are boilerplate; the others are the text.
-Pages with near-equal main texts (``COPY`` per cent of their runs of ``LONG`` tokens) count
-as one page, so a print view does not turn an article into boilerplate.
+"""Main text of web pages: a suffix array of the token streams of each host, and their marks.
+
+The token streams of all pages of a host go into one suffix array (``suffix_index``). What
+two pages share for at least ``LONG`` tokens is a repeated substring; token runs that such
+substrings cover are boilerplate candidates, the other runs are unique. A page's text are its
+runs, checked exactly against what the page itself says of them:
+
+* Furniture (navigation, adverts, forms, ...) goes, unique or not.
+* Where no article is marked, or marked ones do not hold the bulk of the page, covered runs
+  go and unique runs stay. Articles may quote: what other pages have in their marked article
+  covers nothing here, nor does what fewer pages have than ``SHARE`` per cent of the host's
+  pages without such marks (two pages at least).
+* In a marked article a covered run stays, as articles share passages, unless the articles of
+  ``MOST`` per cent of the host's pages (``MANY`` pages at least) have it: then it is a notice.
+* Beside a marked article unique runs of ``LONG`` tokens stay, if the host has other pages to
+  compare with; covered and shorter runs go.
 
-Groups are counted with map-side combined minima and maxima, so neither a host with a
-third of all pages nor a passage on all of them is gathered in one place.
+Pages with near-equal main texts (``COPY`` per cent of their runs of ``LONG`` tokens) count
+as one page on hosts where covered runs go, so a print view does not turn an article into
+boilerplate.
 """
 
 from __future__ import annotations
@@ -21,18 +27,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm import suffix_index
 from tallyspark.llm.arrow_runs import text_parts
-from tallyspark.llm.html_blocks import CHROME, LOOSE, Block, blocks, main_part
+from tallyspark.llm.html_blocks import CHROME, LOOSE, blocks, main_part
 from tallyspark.llm.minhash import near_duplicates
 from tallyspark.llm.scratch import saved
+from tallyspark.llm.suffix_index import LONG
 
-LONG = 8  # tokens that make a repeated substring long
 COPY = 60  # per cent of such runs that near copies share
+SHARE = 25  # per cent of a host's open pages that make boilerplate
+MOST, MANY = 75, 8  # per cent of a host's pages, and pages, that make a notice in articles
 _SKETCH = {"bands": 40, "rows": 3}  # a pair that shares 60 per cent is missed by 6e-5
+_FURNITURE, _MAIN, _BESIDE, _OPEN = b"C", suffix_index.INNER, b"B", b"L"  # kinds of a line
 
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
 
@@ -43,138 +53,183 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def suffixes(made: list[Block]) -> tuple[list[int], np.ndarray]:
-    """Token counts of the blocks outside the main part, and a hash per token position.
+def lines_of(page: str | None) -> tuple[str, bytes]:
+    """The blocks of a page, a line each, and the kind of each line."""
+    made = blocks(page)
+    main = main_part(made)
+    other = _OPEN if main == LOOSE else _BESIDE
+    kinds = (
+        _FURNITURE if b.part == CHROME else _MAIN if b.part == main != LOOSE else other for b in made
+    )
+    return "\n".join(block.text for block in made), b"".join(kinds)
+
 
-    A position's hash stands for the ``LONG`` tokens from there; the last ones of a stream
-    are shorter than that and stand for none, unless the whole stream is shorter.
-    """
-    counts, tokens = [], []
-    for block in made:
-        words = block.text.split()
-        counts.append(len(words))
-        tokens += words
-    width = min(LONG, len(tokens))
-    hashes = [
-        xxhash.xxh64_intdigest(" ".join(tokens[at : at + width]).encode())
-        for at in range(len(tokens) - width + 1 if tokens else 0)
-    ]
-    return counts, np.array(hashes, dtype=np.uint64).view(np.int64)
-
-
-def kept_runs(made: list[Block], repeated: set[int]) -> list[str]:
-    """Blocks but furniture without the token runs that the repeated substrings cover.
+def _covered(starts: list[int] | None, total: int) -> np.ndarray:
+    covered = np.zeros(total, dtype=bool)
+    width = min(LONG, total)
+    for at in starts or ():
+        covered[at : at + width] = True
+    return covered
+
+
+def _runs(flags: np.ndarray) -> list[list[int]]:
+    """Bounds of the runs that are set."""
+    return np.nonzero(np.diff(flags, prepend=False, append=False))[0].reshape(-1, 2).tolist()
+
+
+def _without(words: list[str], covered: np.ndarray) -> str:
+    """A block without its covered runs.
 
     A run is cut if it has ``LONG`` tokens in the block or is all of it; a shorter one only
-    reaches over from the next block. A page of nothing but repeated runs is a copy of
-    another page, not boilerplate, and keeps them.
+    reaches over from the next block.
     """
-    counts, hashes = suffixes(made)
-    total = sum(counts)
-    width = min(LONG, total)
-    covered = np.zeros(total, dtype=bool)
-    for at, one in enumerate(hashes.tolist()):
-        if one in repeated:
-            covered[at : at + width] = True
-    ends = np.cumsum([0, *counts])
+    kept = np.ones(len(words), dtype=bool)
+    for low, high in _runs(covered):
+        if high - low >= min(LONG, len(words)):
+            kept[low:high] = False
+    return " ".join(words[at] for at in np.nonzero(kept)[0].tolist())
+
+
+def _unique(words: list[str], covered: np.ndarray) -> str:
+    """The uncovered runs of ``LONG`` tokens."""
+    long_runs = (words[low:high] for low, high in _runs(~covered) if high - low >= LONG)
+    return " ".join(" ".join(run) for run in long_runs)
+
+
+def kept_text(
+    text: str,
+    kinds: bytes,
+    repeated: list[int] | None,
+    anywhere: list[int] | None,
+    notices: list[int] | None,
+    pages: int | None,
+) -> str:
+    """The main text from a page's lines and where its repeated substrings begin.
+
+    ``repeated`` ones stand outside the articles of enough pages, ``anywhere`` on any two
+    pages, ``notices`` in most articles. ``pages`` is the host's number of pages, null without
+    lines that it decides on. A page of nothing but repeated runs is a copy of
+    another page, not boilerplate, and keeps them; so does an article that is mostly notices.
+    """
+    if pages is None:  # nothing repeated, nothing beside an article
+        kept = _MAIN + _OPEN
+        return "\n".join(line for line, kind in zip(text.split("\n"), kinds) if kind in kept)
+    lines = [line.split(" ") for line in text.split("\n")] if text else []
+    ends = np.cumsum([0, *map(len, lines)]).tolist()
+    starts = {_OPEN: repeated, _BESIDE: anywhere, _MAIN: notices}
+    covered = {kind[0]: _covered(own, ends[-1]) for kind, own in starts.items()}
+    main = np.repeat(np.frombuffer(kinds, np.uint8) == _MAIN[0], np.diff(ends))
+    if 100 * np.count_nonzero(covered[_MAIN[0]] & main) > (100 - COPY) * np.count_nonzero(main):
+        covered[_MAIN[0]][:] = False
     candidates, unique = [], []
-    for place, block in enumerate(made):
-        if block.part != CHROME:
-            candidates.append(block.text)
-            own = covered[ends[place] : ends[place + 1]]
-            edges = np.nonzero(np.diff(own, prepend=False, append=False))[0]
-            kept = np.ones(len(own), dtype=bool)
-            for low, high in edges.reshape(-1, 2).tolist():
-                if high - low >= min(LONG, len(own)):
-                    kept[low:high] = False
-            words = block.text.split()
-            if kept.any():
-                unique.append(" ".join(words[at] for at in np.nonzero(kept)[0].tolist()))
-    return unique or candidates
-
-
-def _outside(made: list[Block]) -> list[Block]:
-    part = main_part(made)
-    return made if part == LOOSE else [block for block in made if block.part != part]
-
-
-def _streams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, page, suffix``: the distinct suffixes of each page outside its main part."""
+    for place, words in enumerate(lines):
+        kind = kinds[place]
+        if kind == _FURNITURE[0]:
+            continue
+        own = covered[kind][ends[place] : ends[place + 1]]
+        if kind == _BESIDE[0]:
+            candidates.append("")
+            unique.append(_unique(words, own) if pages > 1 else "")
+        else:
+            candidates.append(" ".join(words))
+            unique.append(_without(words, own))
+    return "\n".join(filter(None, unique)) or "\n".join(filter(None, candidates))
+
+
+def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``row, id, url, page, host, loose, lines, text``: every page, parsed once.
+
+    ``row`` is a page's own number; ``loose`` are pages of which covered runs may go.
+    """
+    row = TaskContext.get().partitionId() << 40
     for batch in batches:
         for part in text_parts(batch, 2):
-            hosts, pages, found = [], [], []
-            columns = [part.column(place).to_pylist() for place in range(3)]
-            for page, url, html_ in zip(*columns, strict=True):
-                own = np.unique(suffixes(_outside(blocks(html_)))[1])
-                hosts += [host_of(url)] * len(own)
-                pages += [page] * len(own)
-                found.append(own)
+            found = [lines_of(page) for page in part.column(2).to_pylist()]
+            loose = []
+            for text, kinds in found:
+                beside = any(
+                    kind == _BESIDE[0] and line.count(" ") >= LONG - 1
+                    for line, kind in zip(text.split("\n"), kinds)
+                )
+                loose.append(_OPEN in kinds or beside)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(hosts, pa.string()),
-                    pa.array(pages, pa.int64()),
-                    pa.array(np.concatenate([np.empty(0, np.int64), *found])),
+                    pa.array(np.arange(row, row + part.num_rows)),
+                    part.column(0),
+                    part.column(1),
+                    part.column(3),
+                    pa.array([host_of(url) for url in part.column(1).to_pylist()], pa.string()),
+                    pa.array(loose, pa.bool_()),
+                    pa.array([kinds for _, kinds in found], pa.binary()),
+                    pa.array([text for text, _ in found], pa.string()),
                 ],
-                names=["host", "page", "suffix"],
+                names=["row", "id", "url", "page", "group", "loose", "lines", "text"],
             )
+            row += part.num_rows
 
 
 def _mains(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, page, main``: each page's main text, or what may be it."""
+    """``page, main``: each page's main text, or what may be it."""
     for batch in batches:
-        for part in text_parts(batch, 2):
-            texts = []
-            for page in part.column(2).to_pylist():
-                made = blocks(page)
-                main = main_part(made)
-                own = (b.text for b in made if (b.part != CHROME if main == LOOSE else b.part == main))
-                texts.append("\n".join(own))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([host_of(url) for url in part.column(1).to_pylist()], pa.string()),
-                    part.column(0),
-                    pa.array(texts, pa.string()),
-                ],
-                names=["host", "page", "main"],
-            )
+        texts = []
+        for kinds, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            own = (line for line, kind in zip(text.split("\n"), kinds) if kind in _OPEN + _MAIN)
+            texts.append("\n".join(own))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(texts, pa.string())], names=["page", "main"]
+        )
 
 
-def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text of pages with an article; null, the host and all suffixes for the others."""
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The main text of every page."""
     for batch in batches:
         for part in text_parts(batch, 2):
-            texts, hosts, own = [], [], []
-            urls, pages = part.column(1).to_pylist(), part.column(2).to_pylist()
-            for url, page in zip(urls, pages, strict=True):
-                made = blocks(page)
-                main = main_part(made)
-                marked = main != LOOSE or all(b.part == CHROME for b in made)
-                texts.append(
-                    "\n".join(b.text for b in made if b.part == main) if marked else None
-                )
-                hosts.append(None if marked else host_of(url))
-                own.append(None if marked else np.unique(suffixes(made)[1]).tolist())
+            columns = [part.column(place).to_pylist() for place in range(2, 8)]
+            texts = [kept_text(*page) for page in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(place) for place in range(3)),
-                    pa.array(texts, pa.string()),
-                    pa.array(hosts, pa.string()),
-                    pa.array(own, pa.list_(pa.int64())),
-                ],
-                names=["id", "url", "html", "text", "host", "suffixes"],
+                [part.column(0), part.column(1), pa.array(texts, pa.string())],
+                names=["id", "url", "text"],
             )
 
 
-def _unmarked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        repeated = batch.column(3).to_pylist()
-        for page, own in zip(batch.column(2).to_pylist(), repeated, strict=True):
-            texts.append("\n".join(kept_runs(blocks(page), set(own or []))))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-            names=["id", "url", "text"],
+def _once(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``row, group, same``: what counts as one page; ``group, size, open``: such pages of a host.
+
+    ``open`` counts the pages that mark no article.
+    """
+    is_open = F.locate(_OPEN.decode(), F.col("lines").cast("string")) > 0
+    pages = parsed.select("row", "group", "page", is_open.alias("open"))
+    hosts = saved(pages.where("open").select("group").distinct(), "pages-hosts").frame
+    if hosts.isEmpty():
+        named = pages.withColumnRenamed("page", "same")
+    else:
+        mains = saved(
+            parsed.join(hosts, "group", "left_semi")
+            .select("page", "lines", "text")
+            .mapInArrow(_mains, "page long, main string"),
+            "pages-main",
+        ).frame
+        merged = (
+            near_duplicates(
+                mains, id_column="page", text_column="main", words=LONG, percent=COPY, **_SKETCH
+            )
+            .groupBy("page")
+            .agg(F.min("component_id").alias("copies"))
         )
+        named = saved(
+            pages.join(merged, "page", "left").select(
+                "row", "group", F.coalesce("copies", "page").alias("same"), "open"
+            ),
+            "pages-once",
+        ).frame
+    sizes = (
+        named.groupBy("group", "same")
+        .agg(F.max("open").alias("open"))
+        .groupBy("group")
+        .agg(F.count("*").alias("size"), F.count_if("open").alias("open"))
+    )
+    # Written, so that few hosts are broadcast and a hot one is not gathered in a task.
+    return named.select("row", "group", "same"), saved(sizes, "pages-sizes").frame
 
 
 def extract(
@@ -195,62 +250,56 @@ def extract(
         F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")
     )
     kind = rows.schema["id"].dataType.simpleString()
-    parsed = rows.mapInArrow(
-        _marked,
-        f"id {kind}, url string, html string, text string, host string, suffixes array<long>",
-    )
-    unmarked = saved(
-        parsed.where("text is null").withColumn("page", F.xxhash64("id", "url", "html")),
-        "pages-unmarked",
+    page = F.when(F.col("id").isNull(), F.xxhash64("url", "html")).otherwise(F.xxhash64("id"))
+    parsed = saved(
+        rows.withColumn("page", page).mapInArrow(
+            _parsed,
+            f"row long, id {kind}, url string, page long, group string, loose boolean, "
+            "lines binary, text string",
+        ),
+        "pages-parsed",
     ).frame
-    marked = parsed.where("text is not null").select("id", "url", "text")
-
-    if unmarked.isEmpty():
-        return _named(marked, id_column, url_column)
-    hosts = unmarked.select("host").distinct()
-    numbered = rows.select(
-        F.coalesce(F.col("id").cast("long"), F.xxhash64("id", "url", "html")).alias("page"),
-        "url",
-        "html",
-    )
-    mains = saved(
-        numbered.mapInArrow(_mains, "host string, page long, main string")
-        .join(hosts, "host", "left_semi")
-        .select("page", "main"),
-        "pages-main",
+    once, sizes = _once(parsed)
+    numbered = once.join(sizes, "group")
+    enough = (F.col("texts") >= MANY) & (100 * F.col("texts") >= MOST * F.col("size"))
+    chosen = saved(
+        suffix_index.recurring_digits(parsed)
+        .join(numbered, "row")
+        .where(F.col("loose") | enough)
+        .groupBy("row", "same", "size", "open")
+        .agg(F.collect_list("digit").alias("digits")),  # at most a page's own
+        "pages-chosen",
     ).frame
-    merged = (
-        near_duplicates(
-            mains, id_column="page", text_column="main", words=LONG, percent=COPY, **_SKETCH
+    found = suffix_index.repeats(parsed.join(chosen.select("row", "same", "digits"), "row"))
+    repeated = (F.col("outside") > 1) & (100 * F.col("outside") >= SHARE * F.col("open"))
+    most = (F.col("inside") >= MANY) & (100 * F.col("inside") >= MOST * F.col("size"))
+    decided = (
+        found.join(chosen.select("row", "size", "open"), "row")
+        .select(
+            "row",
+            F.when(repeated, F.col("at")).alias("repeated"),
+            F.col("at").alias("anywhere"),
+            F.when(most, F.col("at")).alias("notices"),
+            F.col("size").alias("pages"),
+        )
+        .unionByName(
+            numbered.join(parsed.where("loose").select("row"), "row").select(
+                "row", F.col("size").alias("pages")
+            ),
+            allowMissingColumns=True,
+        )
+        .groupBy("row")
+        .agg(
+            *(F.collect_list(name).alias(name) for name in ("repeated", "anywhere", "notices")),
+            F.max("pages").alias("pages"),
         )
-        .groupBy("page")
-        .agg(F.min("component_id").alias("copies"))
-    )
-    streams = numbered.mapInArrow(_streams, "host string, page long, suffix long")
-    repeated = (
-        streams.join(hosts, "host", "left_semi")
-        .join(merged, "page")
-        .groupBy("host", "suffix")
-        .agg(F.min("copies").alias("first"), F.max("copies").alias("last"))
-        .where("first < last")
-        .select("host", "suffix")
-    )
-    of_page = (
-        unmarked.select("page", "host", F.explode("suffixes").alias("suffix"))
-        .distinct()
-        .join(repeated, ["host", "suffix"])
-        .groupBy("page")
-        .agg(F.collect_list("suffix").alias("repeated"))  # at most a page's own suffixes
     )
-    loose = (
-        unmarked.join(of_page, "page", "left")
-        .select("id", "url", "html", "repeated")
-        .mapInArrow(_unmarked, f"id {kind}, url string, text string")
+    texts = (
+        parsed.select("row", "id", "url", "text", "lines")
+        .join(saved(decided, "pages-decided").frame, "row", "left")
+        .select("id", "url", "text", "lines", "repeated", "anywhere", "notices", "pages")
+        .mapInArrow(_texts, f"id {kind}, url string, text string")
     )
-    return _named(marked.union(loose), id_column, url_column)
-
-
-def _named(texts: DataFrame, id_column: str, url_column: str) -> DataFrame:
     return texts.select(
         F.col("id").alias(id_column),
         F.col("url").alias(url_column),
