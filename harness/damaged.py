@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.contract import ANALYTIC_COLUMNS
-from tallyspark.operators.checks import dataset_checks
+from tallyspark.operators.checks import CHECKS_SCHEMA, dataset_checks
 from tallyspark.sources.generations import (
     QUALITY_SCHEMA,
     SUMMARY_SCHEMA,
     generation_path,
     latest_manifest,
     read_sales,
+    remove_folder,
     write_sales,
 )
 
@@ -71,13 +72,21 @@ def damaged(spark: SparkSession, root: str, name: str, to: str) -> tuple[str, Ro
 
 
 def checks_of_damaged(spark: SparkSession, root: str, folder: str) -> DataFrame:
-    """``damage, check, ok`` for every damage."""
+    """``damage, check, ok`` for every damage.
+
+    A copy is as large as the generation, so each is deleted before the next one is written;
+    of its checks the driver keeps one row each.
+    """
     found = []
     for name in DAMAGES:
-        to, manifest = damaged(spark, root, name, f"{folder}/{name}")
-        checks = dataset_checks(spark, to, manifest)
-        found.append(checks.select(F.lit(name).alias("damage"), "check", "ok"))
-    return reduce(DataFrame.union, found)
+        try:
+            to, manifest = damaged(spark, root, name, f"{folder}/{name}")
+            checks = dataset_checks(spark, to, manifest).select("check", "ok").collect()
+        finally:
+            remove_folder(spark, f"{folder}/{name}")
+        found += [(name, *row) for row in checks]
+    schema = [T.StructField("damage", T.StringType()), CHECKS_SCHEMA["check"], CHECKS_SCHEMA["ok"]]
+    return spark.createDataFrame(found, T.StructType(schema))
 
 
 CHECKS_SQL = """

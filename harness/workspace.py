@@ -16,6 +16,8 @@ from tallyspark.contract import GENDER_HEADER, GENDER_HEADER_ALIAS
 from tallyspark.plans.ingest import ingest
 
 _made: dict[tuple[str, str], str] = {}
+# A compressed file is read by one task, so files are many and small.
+_COMPRESSED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 50_000}
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make) -> str:
@@ -44,23 +46,24 @@ def new_dir(spark: SparkSession, sf_dir: str, what: str) -> str:
     return f"{work_dir(spark)}/{scale}/{what}"
 
 
-def write_extract(raw: DataFrame, path: str, separator: str) -> None:
+def write_extract(raw: DataFrame, path: str, separator: str, more: dict | None = None) -> None:
     (
         raw.write.option("header", True)
         .option("sep", separator)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .options(**more or {})
         .csv(path)
     )
 
 
 def extract(spark: SparkSession, sf_dir: str) -> str:
-    """The semicolon form, with the unaccented gender header."""
+    """The semicolon form, with the unaccented gender header, compressed."""
 
     def make() -> str:
         path = new_dir(spark, sf_dir, "extract")
         raw = dirty_sales(spark, sf_dir).withColumnRenamed(GENDER_HEADER, GENDER_HEADER_ALIAS)
-        write_extract(raw, path, ";")
+        write_extract(raw, path, ";", _COMPRESSED)
         return path
 
     return _once(spark, sf_dir, "extract", make)

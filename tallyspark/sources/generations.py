@@ -126,12 +126,17 @@ def forget_older(spark: SparkSession, root: str) -> None:
         system.delete(mark, False)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it, if it is there."""
+    folder, system = _open(spark, path)
+    system.delete(folder, True)
+
+
 def remove_generation(spark: SparkSession, root: str, generation_id: str) -> None:
     """Delete a generation that readers cannot find; a published one stays."""
     if generation_id in {generation for _, generation in newest_generations(spark, root)}:
         return
-    folder, system = _open(spark, f"{root}/gen={generation_id}")
-    system.delete(folder, True)
+    remove_folder(spark, f"{root}/gen={generation_id}")
 
 
 def expire_generations(spark: SparkSession, root: str, age: timedelta) -> list[str]:
