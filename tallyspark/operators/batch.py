@@ -9,6 +9,11 @@ holds it. Sales are counted once, per leaf and value bucket; counts of leaves ar
 the wider cells around them, and those per predicate. So no sale is copied per width, and
 what is joined does not grow with the number of requests.
 
+Keys and cells too large for a broadcast are met by shuffled sales. Then one shape of requests
+is answered after the other, and a large one in slices of its keys: only the columns of that
+shape are shuffled, once for all passes, and the shuffle and table files of a slice are
+deleted before the next one.
+
 The exact median narrows as for a single request, but with buckets that are the same for
 all, so predicates that share cells and buckets share the counts as well, and in finer
 steps (doublings, sixteenths of them, linear), so a cell has few buckets in every pass.
@@ -16,11 +21,12 @@ steps (doublings, sixteenths of them, linear), so a cell has few buckets in ever
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyspark.contract import (
@@ -31,7 +37,7 @@ from tallyspark.contract import (
 )
 from tallyspark.errors import FilterError
 from tallyspark.functions.buckets import add_path, doubling_bucket, path_columns
-from tallyspark.functions.lineage import cut
+from tallyspark.functions.lineage import Tables, new_folder, written
 from tallyspark.functions.text import is_finite
 from tallyspark.operators.statistics import (
     BAND,
@@ -43,6 +49,8 @@ from tallyspark.operators.statistics import (
 
 REQUEST_ID = "request_id"
 BROADCAST_BYTES = 32 << 20  # of keys and cells; larger ones use shuffle joins
+SLICE_BYTES = 1 << 30  # of sales that are shuffled for a join at once
+_MOST_SLICES = 8  # each reads the sales, so there are few however large they are
 
 EQUALITY = {  # request column -> sales column
     "genero": "genero_texto",
@@ -65,6 +73,52 @@ _STEPS = 32  # linear steps of a bucket; a cell is asked for few buckets in ever
 _FEW_ROWS = 128  # a predicate's band of fewer rows is ranked value by value
 _CELLS = "array<struct<width:bigint,at:bigint>>"
 _PREDICATE = "__predicate"
+_TYPES = {field.name: field.dataType.simpleString() for field in REQUEST_SCHEMA.fields}
+_TEXTS = [name for name, kind in _TYPES.items() if kind == "string"]
+
+
+@dataclass(frozen=True)
+class _Part:
+    """Requests that are answered together: of some shapes, or a slice of the keys of one.
+
+    ``small``: keys and cells are broadcast. ``many_keys`` and ``many_cells`` say that they
+    are too large for it, which Spark could not tell from the size of compressed files.
+    """
+
+    shapes: tuple[int, ...]
+    timed: bool
+    small: bool = False
+    many_keys: bool = False
+    many_cells: bool = False
+    once: bool = False  # sales are placed once for all passes
+    slice: int = 0
+    slices: int = 1
+
+    def of_requests(self, rows: DataFrame) -> DataFrame:
+        own = rows.where(F.col("__shape").isin(*self.shapes))
+        return self._slice(own, {name: name for name in EQUALITY})
+
+    def of_sales(self, values: DataFrame) -> DataFrame:
+        return self._slice(values, EQUALITY)
+
+    def _slice(self, rows: DataFrame, named: dict[str, str]) -> DataFrame:
+        if self.slices == 1:
+            return rows
+        texts = (
+            F.col(named[name]).try_cast(_TYPES[name]).cast("string") for name in _used(self.shapes)
+        )
+        return rows.where(F.pmod(F.xxhash64(*texts), F.lit(self.slices)) == self.slice)
+
+
+def _used(shapes: Sequence[int]) -> list[str]:
+    return [name for name, bit in _BIT.items() if any(bit & shape for shape in shapes)]
+
+
+def _sized(frame: DataFrame, many: bool, small: bool = False) -> DataFrame:
+    """One side of a join, which is broadcast if small, and never if there are many rows."""
+    if small:
+        return F.broadcast(frame)
+    return frame.hint("merge") if many else frame
 
 
 def _shape() -> Column:
@@ -188,6 +242,8 @@ def sales_in_cells(
     around: tuple[Sequence[int], DataFrame] | None = None,
     depth: int = 0,
     small: bool = False,
+    many_keys: bool = False,
+    many_cells: bool = False,
 ) -> DataFrame:
     """``__value`` with its leaf: the narrowest part of the wanted cells that it lies in.
 
@@ -198,37 +254,40 @@ def sales_in_cells(
     many requests and widths.
     """
     widths, holding = cells_around(wanted) if around is None else around
-
-    def hinted(frame: DataFrame) -> DataFrame:
-        return F.broadcast(frame) if small else frame
-
-    used = [name for name, bit in _BIT.items() if any(bit & shape for shape in shapes)]
+    used = _used(shapes)
     keys = cells.groupBy("__key", "__shape", *used).agg(
         F.bool_or(F.col("__width_of") == 0).alias("__always")
     )
-    sale = values.withColumn(
-        "__sale_shape", F.explode(F.array(*map(F.lit, shapes))) if shapes else F.lit(0)
-    ).select(
-        "__value",
-        "__time",
-        "__sale_shape",
-        *(
-            F.when(F.col("__sale_shape").bitwiseAND(_BIT[name]) != 0, F.col(EQUALITY[name])).alias(
-                f"__sale_{name}"
-            )
-            for name in used
-        ),
-    )
-    same = reduce(
-        and_,
-        (F.col(f"__sale_{name}").eqNullSafe(F.col(name)) for name in used),
-        F.col("__sale_shape") == F.col("__shape"),
+    if used and len(shapes) == 1:
+        # All its requests set all the columns, so a sale without one of them meets none.
+        sale = values.select(
+            "__value", "__time", *(F.col(EQUALITY[name]).alias(f"__sale_{name}") for name in used)
+        )
+        same = reduce(and_, (F.col(f"__sale_{name}") == F.col(name) for name in used))
+    else:
+        sale = values.withColumn(
+            "__sale_shape", F.explode(F.array(*map(F.lit, shapes))) if shapes else F.lit(0)
+        ).select(
+            "__value",
+            "__time",
+            "__sale_shape",
+            *(
+                F.when(
+                    F.col("__sale_shape").bitwiseAND(_BIT[name]) != 0, F.col(EQUALITY[name])
+                ).alias(f"__sale_{name}")
+                for name in used
+            ),
+        )
+        same = reduce(
+            and_,
+            (F.col(f"__sale_{name}").eqNullSafe(F.col(name)) for name in used),
+            F.col("__sale_shape") == F.col("__shape"),
+        )
+    placed = sale.join(_sized(keys, many_keys, small), same).select(
+        "__value", "__time", "__key", "__always"
     )
-    placed = sale.join(hinted(keys), same).select("__value", "__time", "__key", "__always")
     if depth:
-        look = ["__key", *path_columns(depth)]
-        asked = wanted.select(*look, "__exact").distinct()
-        placed = add_path(placed, "__value", depth, _STEPS).join(hinted(asked), look)
+        placed = _asked_for(placed, wanted, depth, many_cells, small)
     leaf = F.when(F.col("__always"), F.lit(0).cast("bigint"))
     for width in reversed(widths):
         at, hit = f"__at_{width}", f"__hit_{width}"
@@ -236,7 +295,7 @@ def sales_in_cells(
             "__key", F.col("__cell").alias(at), F.lit(True).alias(hit)
         )
         placed = placed.withColumn(at, _start_of_cell(F.col("__time"), width)).join(
-            hinted(found), ["__key", at], "left"
+            _sized(found, many_cells, small), ["__key", at], "left"
         )
         leaf = F.when(F.col(hit), F.lit(width)).otherwise(leaf)
     width = F.col("__width_of")
@@ -249,6 +308,15 @@ def sales_in_cells(
     )
 
 
+def _asked_for(
+    rows: DataFrame, wanted: DataFrame, depth: int, many: bool, small: bool = False
+) -> DataFrame:
+    """Rows whose value is in a bucket that is asked for with their key."""
+    look = ["__key", *path_columns(depth)]
+    asked = wanted.select(*look, "__exact").distinct()
+    return add_path(rows, "__value", depth, _STEPS).join(_sized(asked, many, small), look)
+
+
 def _rolled_up(leaves: DataFrame, widths: Sequence[int]) -> DataFrame:
     """Rows of leaves as rows of every wider cell around them, of the widths in use."""
     width, cell = F.col("__width_of"), F.col("__cell")
@@ -284,16 +352,11 @@ def _merged_moments(found: DataFrame, *by: str) -> DataFrame:
 
 
 def _first(
-    values: DataFrame,
-    cells: DataFrame,
-    around: tuple[Sequence[int], DataFrame],
-    shapes: Sequence[int],
-    small: bool,
+    found: DataFrame, cells: DataFrame, widths: Sequence[int], many: bool, tables: Tables
 ) -> DataFrame:
-    """Six statistics and the first band per predicate."""
+    """Six statistics and the first band per predicate, from sales in leaves."""
     wanted = cells.select(*_CELL).distinct()
-    found = sales_in_cells(values, cells, wanted, shapes, around=around, small=small)
-    leaves = cut(
+    leaves = tables.cut(
         found.groupBy(*_CELL, doubling_bucket(F.col("__value")).alias("__bucket")).agg(
             F.count("*").alias("n"),
             F.min("__value").alias("low"),
@@ -302,13 +365,13 @@ def _first(
             F.var_pop("__value").alias("var"),
         )
     )
-    members = cells.select(_PREDICATE, *_CELL)
+    members = _sized(cells.select(_PREDICATE, *_CELL), many)
 
     def in_cells(rows: DataFrame) -> DataFrame:
-        return _rolled_up(rows, around[0]).join(wanted, list(_CELL), "left_semi")
+        return _rolled_up(rows, widths).join(_sized(wanted, many), list(_CELL), "left_semi")
 
     moments = _merged_moments(in_cells(_merged_moments(leaves, *_CELL)), *_CELL)
-    totals = cut(_merged_moments(members.join(moments, list(_CELL)), _PREDICATE))
+    totals = tables.cut(_merged_moments(members.join(moments, list(_CELL)), _PREDICATE))
     counted = in_cells(leaves).groupBy(*_CELL, "__bucket").agg(*_counts())
     ranks = totals.select(
         _PREDICATE,
@@ -320,20 +383,18 @@ def _first(
         members.join(counted, list(_CELL))
         .groupBy(_PREDICATE, "__bucket")
         .agg(*_counts())
-        .join(ranks, _PREDICATE)
+        .join(_sized(ranks, many), _PREDICATE)
     )
-    return _band(merged).join(
-        totals.select(
-            _PREDICATE,
-            F.col("sum").alias("suma"),
-            F.col("n").alias("conteo"),
-            (F.col("sum") / F.col("n")).alias("promedio"),
-            F.col("low").alias("minimo"),
-            F.col("high").alias("maximo"),
-            F.sqrt("var").alias("desviacion_estandar"),
-        ),
+    six = totals.select(
         _PREDICATE,
+        F.col("sum").alias("suma"),
+        F.col("n").alias("conteo"),
+        (F.col("sum") / F.col("n")).alias("promedio"),
+        F.col("low").alias("minimo"),
+        F.col("high").alias("maximo"),
+        F.sqrt("var").alias("desviacion_estandar"),
     )
+    return _band(merged).join(_sized(six, many), _PREDICATE)
 
 
 def _band(merged: DataFrame) -> DataFrame:
@@ -342,30 +403,23 @@ def _band(merged: DataFrame) -> DataFrame:
     return next_band(merged.withColumnsRenamed(named), [_PREDICATE], _FEW_ROWS)
 
 
+def _asked(cells: DataFrame, still_open: DataFrame, depth: int, many: bool) -> DataFrame:
+    """Per predicate, the cells and the bucket of the given depth that are to be looked into."""
+    return (
+        _sized(cells.select(_PREDICATE, *_CELL), many)
+        .join(add_path(still_open, "__low", depth, _STEPS), _PREDICATE)
+        .select(_PREDICATE, *_CELL, *path_columns(depth), "__exact", "__below", *RANKS)
+    )
+
+
 def _next(
-    values: DataFrame,
-    cells: DataFrame,
-    around: tuple[Sequence[int], DataFrame],
-    still_open: DataFrame,
-    depth: int,
-    shapes: Sequence[int],
-    small: bool,
+    found: DataFrame, asked: DataFrame, widths: Sequence[int], depth: int, many: bool
 ) -> DataFrame:
-    """Look into the open bands, which are buckets of the given depth."""
+    """Look into the open bands, which are buckets of the given depth, of sales in leaves."""
     path = path_columns(depth)
     look = [*_CELL, *path, "__exact"]
     known = ("__below", *RANKS)
-    asked = cut(
-        cells.select(_PREDICATE, *_CELL)
-        .join(add_path(still_open, "__low", depth, _STEPS), _PREDICATE)
-        .select(_PREDICATE, *look, *known)
-    )
     wanted = asked.select(*look).distinct()
-    least, most = still_open.agg(F.min("__low"), F.max("__high")).first()
-    near = values.where(F.col("__value").between(least, most))
-    found = sales_in_cells(
-        near, cells, wanted, shapes, around=around, depth=depth, small=small
-    )
     finer = add_path(found.drop(*path), "__value", depth + 1, _STEPS)
     bucket = F.when(F.col("__exact"), F.col("__value")).otherwise(
         F.col(path_columns(depth + 1)[-1])
@@ -374,25 +428,103 @@ def _next(
         F.count("*").alias("n"), F.min("__value").alias("low"), F.max("__value").alias("high")
     )
     counted = (
-        _rolled_up(leaves, around[0])
-        .join(wanted, look, "left_semi")
+        _rolled_up(leaves, widths)
+        .join(_sized(wanted, many), look, "left_semi")
         .groupBy(*look, "__bucket")
         .agg(*_counts())
     )
     merged = (
-        asked.join(counted, look)
+        _sized(asked, many)
+        .join(counted, look)
         .groupBy(_PREDICATE, "__bucket")
         .agg(*_counts(), *(F.min(name).alias(name) for name in known))
     )
     return _band(merged)
 
 
-def _numbered(predicates: DataFrame) -> DataFrame:
+def _answered(
+    values: DataFrame, requested: DataFrame, part: _Part, tables: Tables
+) -> DataFrame:
+    """The seven statistics per predicate of a part, from all sales and all cells."""
+    cells = requested if part.small else tables.cut(part.of_requests(requested))
+    sales = part.of_sales(values)
+    if not part.timed:
+        sales = sales.withColumn("__time", F.lit(None).cast("bigint"))
+    widths, holding = cells_around(cells)
+    around = widths, tables.cut(holding)
+    shapes, many = list(part.shapes), part.many_cells
+    sizes = {"small": part.small, "many_keys": part.many_keys, "many_cells": many}
+
+    wanted = cells.select(*_CELL).distinct()
+    placed = sales_in_cells(sales, cells, wanted, shapes, around=around, **sizes)
+    if part.once:
+        placed = tables.cut(placed.drop("__time"))
+    first = tables.cut(_first(placed, cells, widths, many, tables))
+    reached, medians, depth = first, [], 0
+    while not (still_open := reached.where(F.col(MEDIAN).isNull())).isEmpty():
+        depth += 1
+        bands = still_open.select(_PREDICATE, *BAND, *RANKS)
+        asked = tables.cut(_asked(cells, bands, depth, many))
+        inside = F.col("__value").between(*bands.agg(F.min("__low"), F.max("__high")).first())
+        if part.once:
+            found = _asked_for(placed.where(inside), asked, depth, many)
+        else:
+            found = sales_in_cells(
+                sales.where(inside), cells, asked, shapes, around=around, depth=depth, **sizes
+            )
+        reached = tables.cut(_next(found, asked, widths, depth, many))
+        medians.append(reached.where(F.col(MEDIAN).isNotNull()).select(_PREDICATE, MEDIAN))
+    if not medians:
+        return first.select(_PREDICATE, *STATISTIC_COLUMNS)
+    later = reduce(DataFrame.unionByName, medians).withColumnRenamed(MEDIAN, "__later")
+    median = F.coalesce(MEDIAN, "__later").alias(MEDIAN)
+    return first.join(_sized(later, many), _PREDICATE, "left").select(
+        _PREDICATE, *(median if name == MEDIAN else name for name in STATISTIC_COLUMNS)
+    )
+
+
+def _parts(sizes: Sequence[Row], values: DataFrame, broadcast_bytes: int) -> Iterator[_Part]:
+    """All shapes at once if their keys and cells can be broadcast, else the large ones alone."""
+
+    def bytes_of(size: Row) -> int:
+        # A predicate has one cell at least, so this bounds keys and cells alike.
+        return size["cells"] * (_CELL_BYTES + _KEY_BYTES) + size["text_bytes"]
+
+    few, total = [], 0
+    rest = sorted(sizes, key=lambda size: (bytes_of(size), size["__shape"]))
+    while rest and total + bytes_of(rest[0]) <= broadcast_bytes:
+        total += bytes_of(rest[0])
+        few.append(rest.pop(0))
+    if few or not rest:
+        shapes = tuple(sorted(size["__shape"] for size in few))
+        yield _Part(shapes, timed=any(size["timed"] for size in few), small=not rest)
+    if not rest:
+        return
+    texts = [name for name in _used([size["__shape"] for size in rest]) if name in _TEXTS]
+    lengths = (F.sum(F.octet_length(EQUALITY[name])).alias(name) for name in texts)
+    facts = values.agg(F.count("*").alias("n"), *lengths).first()
+    for size in rest:
+        used = _used([size["__shape"]])
+        moved = facts["n"] * 8 * (3 + len(used)) + sum(facts[n] or 0 for n in used if n in texts)
+        slices = max(1, min(_MOST_SLICES, -(-moved // SLICE_BYTES))) if used else 1
+        for number in range(slices):
+            yield _Part(
+                (size["__shape"],),
+                timed=size["timed"],
+                many_keys=size["keys"] * _KEY_BYTES + size["text_bytes"] > broadcast_bytes,
+                many_cells=size["cells"] * _CELL_BYTES > broadcast_bytes,
+                once=True,
+                slice=number,
+                slices=slices,
+            )
+
+
+def _numbered(predicates: DataFrame, tables: Tables) -> DataFrame:
     """Predicates with numbers in place of the digests, which are grouped and joined by."""
-    keys = cut(
+    keys = tables.cut(
         predicates.select("__key").distinct().withColumn("__k", F.monotonically_increasing_id())
     )
-    return cut(
+    return tables.cut(
         predicates.withColumn("__p", F.monotonically_increasing_id()).join(keys, "__key")
     ).withColumnsRenamed({"__key": "__key_text", "__k": "__key"})
 
@@ -408,10 +540,18 @@ def batch_statistics(
     ``requests`` has a unique ``request_id`` and the columns of ``REQUEST_SCHEMA``
     (null = filter not set). A request without matches gives the empty statistics.
     ``no_finita`` marks a request whose statistics overflow. The passes run when this is
-    called, each only if a median is still open; their results are checkpointed.
+    called, each only if a median is still open; the result is read from files.
     """
-    typed = cut(predicates_of(requests))
-    texts = [f.name for f in REQUEST_SCHEMA.fields if f.dataType.simpleString() == "string"]
+    spark = requests.sparkSession
+    with Tables(spark, "batch") as tables:
+        answers = _per_request(sales, requests, column, broadcast_bytes, tables)
+        return written(answers, new_folder(spark, "answers"))
+
+
+def _per_request(
+    sales: DataFrame, requests: DataFrame, column: str, broadcast_bytes: int, tables: Tables
+) -> DataFrame:
+    typed = tables.cut(predicates_of(requests))
     facts = typed.agg(
         F.count("*").alias("n"),
         F.count_distinct(REQUEST_ID).alias("ids"),
@@ -426,21 +566,17 @@ def batch_statistics(
         raise FilterError("repeated_request", "request_id must be present and unique")
 
     distinct = typed.drop(REQUEST_ID, "__has_start", "__has_end").dropDuplicates([_PREDICATE])
-    predicates = _numbered(distinct)
+    predicates = _numbered(distinct, tables)
     numbered = predicates.drop(_PREDICATE, "__key_text").withColumnRenamed("__p", _PREDICATE)
-    cells = cut(cells_of(numbered))
-    sizes = cells.agg(
+    cells = tables.cut(cells_of(numbered))
+    text_bytes = F.coalesce(F.sum(F.octet_length(F.concat_ws("", *_TEXTS))), F.lit(0))
+    by_shape = cells.groupBy("__shape").agg(
         F.count("*").alias("cells"),
-        F.coalesce(F.sum(F.octet_length(F.concat_ws("", *texts))), F.lit(0)).alias("text_bytes"),
-    ).first()
-    # A predicate has one cell at least, so this bounds keys and cells alike.
-    most = sizes["cells"] * (_CELL_BYTES + _KEY_BYTES) + sizes["text_bytes"]
-    small = most <= broadcast_bytes
-    widths, holding = cells_around(cells)
-    around = widths, cut(holding)
-
-    shapes = sorted(facts["shapes"])
-    used = [name for name, bit in _BIT.items() if any(bit & shape for shape in shapes)]
+        F.count_distinct("__key").alias("keys"),
+        text_bytes.alias("text_bytes"),
+        F.bool_or(F.col("__width_of") > 0).alias("timed"),
+    )
+    used = _used(facts["shapes"])
     # What no request can match need not be read.
     wanted = sales
     offset = BUSINESS_UTC_OFFSET_MINUTES * 60_000_000
@@ -454,22 +590,11 @@ def batch_statistics(
     kept = [*(EQUALITY[name] for name in used), *(["fecha"] if facts["timed"] else [])]
     values = finite_values(wanted, column, kept).withColumn("__time", time)
 
-    first = cut(_first(values, cells, around, shapes, small))
-    reached, medians, depth = first, [], 0
-    while not (still_open := reached.where(F.col(MEDIAN).isNull())).isEmpty():
-        depth += 1
-        bands = still_open.select(_PREDICATE, *BAND, *RANKS)
-        reached = cut(_next(values, cells, around, bands, depth, shapes, small))
-        medians.append(reached.where(F.col(MEDIAN).isNotNull()).select(_PREDICATE, MEDIAN))
-    if medians:
-        later = reduce(DataFrame.unionByName, medians).withColumnRenamed(MEDIAN, "__later")
-        median = F.coalesce(MEDIAN, "__later").alias(MEDIAN)
-        found = first.join(later, _PREDICATE, "left")
-    else:
-        median, found = F.col(MEDIAN), first
-    found = found.select(
-        _PREDICATE, *(median if name == MEDIAN else name for name in STATISTIC_COLUMNS)
-    )
+    answers = []
+    for part in _parts(by_shape.collect(), values, broadcast_bytes):
+        with Tables(sales.sparkSession, "part") as own:
+            answers.append(tables.cut(_answered(values, cells, part, own)))
+    found = reduce(DataFrame.unionByName, answers)
 
     measured = [c for c in STATISTIC_COLUMNS if c not in ("suma", "conteo")]
     overflow = reduce(

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 from statistics import median, pstdev
 from uuid import UUID
 
@@ -391,3 +392,56 @@ def test_one_shop_with_a_third_of_all_rows_is_split(spark):
     expected = sales.where("local = 1").agg(F.count("*"), F.median("monto_aplicado")).first()
     assert (rows["1"]["conteo"], rows["1"]["mediana"]) == tuple(expected) == (200_000, 499.995)
     assert sum(row["conteo"] for row in rows.values()) == sales.where("local < 200").count()
+
+
+def _disk_files(spark):
+    """Shuffle files that Spark holds, and files in the shared folder."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held, shuffles = blocks.getAllFiles().iterator(), set()
+    while held.hasNext():
+        if (name := held.next().getName()).startswith("shuffle_"):
+            shuffles.add(name)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    return shuffles, {path for path in shared.rglob("*") if path.is_file()}
+
+
+def test_a_large_batch_is_answered_in_slices_and_leaves_its_result_only(
+    spark, many_sales, monkeypatch
+):
+    """Shapes with many keys, with and without times, null keys among the sales."""
+    monkeypatch.setattr(batch, "SLICE_BYTES", 100_000)
+    sales = many_sales.withColumn("local", F.when(F.col("sku") % 11 != 0, F.col("sku") % 40))
+    start = datetime(2024, 6, 1, tzinfo=UTC)
+    tests = {f"s{n}": (FilterSpec(local=n), f"local = {n}") for n in range(42)}
+    tests |= {
+        f"t{n}": (
+            FilterSpec(local=n, canal="POS", fecha_desde=start),
+            f"local = {n} and canal = 'POS' and fecha >= timestamp '2024-06-01 00:00:00Z'",
+        )
+        for n in range(40)
+    }
+    tests |= {"all": (FilterSpec(), "true"), "pos": (FilterSpec(canal="POS"), "canal = 'POS'")}
+    parts, original = [], batch._answered
+
+    def seen(values, requested, part, tables):
+        parts.append(part)
+        return original(values, requested, part, tables)
+
+    monkeypatch.setattr(batch, "_answered", seen)
+    requests = requests_frame(spark, {name: spec for name, (spec, _) in tests.items()}).localCheckpoint()
+    before = _disk_files(spark)
+    found = batch_statistics(sales, requests, broadcast_bytes=5_000)
+    after = _disk_files(spark)
+    assert not after[0] - before[0]  # no shuffle file waits for the garbage collector
+    assert {path.parent.name.split("-")[0] for path in after[1] - before[1]} == {"answers"}
+    assert [part.slices for part in parts] == [1, 1, 2, 2] and not parts[0].once
+    rows = {row["request_id"]: row for row in found.collect()}
+    assert set(rows) == set(tests)
+    sold = sales.select("monto_aplicado", *(F.expr(test).alias(n) for n, (_, test) in tests.items()))
+    sold = sold.collect()
+    for name in tests:
+        amounts = [row["monto_aplicado"] for row in sold if row[name]]
+        assert (rows[name]["conteo"], rows[name]["suma"]) == (len(amounts), sum(amounts)), name
+        assert rows[name]["mediana"] == (median(amounts) if amounts else None), name
+        if amounts:
+            assert rows[name]["desviacion_estandar"] == pytest.approx(pstdev(amounts))
