@@ -81,8 +81,9 @@ _TEXTS = [name for name, kind in _TYPES.items() if kind == "string"]
 class _Part:
     """Requests that are answered together: of some shapes, or a slice of the keys of one.
 
-    ``small``: keys and cells are broadcast. ``many_keys`` and ``many_cells`` say that they
-    are too large for it, which Spark could not tell from the size of compressed files.
+    ``small``: keys and cells are broadcast. ``many_keys`` and ``many_cells`` say that keys, or
+    cells per predicate, are too large for it, which Spark could not tell from the size of
+    compressed files.
     """
 
     shapes: tuple[int, ...]
@@ -90,6 +91,7 @@ class _Part:
     small: bool = False
     many_keys: bool = False
     many_cells: bool = False
+    broadcast_bytes: int = BROADCAST_BYTES
     once: bool = False  # sales are placed once for all passes
     slice: int = 0
     slices: int = 1
@@ -287,7 +289,7 @@ def sales_in_cells(
         "__value", "__time", "__key", "__always"
     )
     if depth:
-        placed = _asked_for(placed, wanted, depth, many_cells, small)
+        placed = _asked_for(placed, wanted, depth, many_keys, small)
     leaf = F.when(F.col("__always"), F.lit(0).cast("bigint"))
     for width in reversed(widths):
         at, hit = f"__at_{width}", f"__hit_{width}"
@@ -352,7 +354,12 @@ def _merged_moments(found: DataFrame, *by: str) -> DataFrame:
 
 
 def _first(
-    found: DataFrame, cells: DataFrame, widths: Sequence[int], many: bool, tables: Tables
+    found: DataFrame,
+    cells: DataFrame,
+    widths: Sequence[int],
+    many: bool,
+    many_wanted: bool,
+    tables: Tables,
 ) -> DataFrame:
     """Six statistics and the first band per predicate, from sales in leaves."""
     wanted = cells.select(*_CELL).distinct()
@@ -368,7 +375,9 @@ def _first(
     members = _sized(cells.select(_PREDICATE, *_CELL), many)
 
     def in_cells(rows: DataFrame) -> DataFrame:
-        return _rolled_up(rows, widths).join(_sized(wanted, many), list(_CELL), "left_semi")
+        return _rolled_up(rows, widths).join(
+            _sized(wanted, many_wanted), list(_CELL), "left_semi"
+        )
 
     moments = _merged_moments(in_cells(_merged_moments(leaves, *_CELL)), *_CELL)
     totals = tables.cut(_merged_moments(members.join(moments, list(_CELL)), _PREDICATE))
@@ -413,7 +422,12 @@ def _asked(cells: DataFrame, still_open: DataFrame, depth: int, many: bool) -> D
 
 
 def _next(
-    found: DataFrame, asked: DataFrame, widths: Sequence[int], depth: int, many: bool
+    found: DataFrame,
+    asked: DataFrame,
+    widths: Sequence[int],
+    depth: int,
+    many: bool,
+    many_wanted: bool,
 ) -> DataFrame:
     """Look into the open bands, which are buckets of the given depth, of sales in leaves."""
     path = path_columns(depth)
@@ -429,7 +443,7 @@ def _next(
     )
     counted = (
         _rolled_up(leaves, widths)
-        .join(_sized(wanted, many), look, "left_semi")
+        .join(_sized(wanted, many_wanted), look, "left_semi")
         .groupBy(*look, "__bucket")
         .agg(*_counts())
     )
@@ -453,13 +467,16 @@ def _answered(
     widths, holding = cells_around(cells)
     around = widths, tables.cut(holding)
     shapes, many = list(part.shapes), part.many_cells
-    sizes = {"small": part.small, "many_keys": part.many_keys, "many_cells": many}
+    # Predicates share cells, so the distinct ones can be few.
+    many_held = many and around[1].count() * _CELL_BYTES > part.broadcast_bytes
+    many_wanted = part.many_keys or many_held
+    sizes = {"small": part.small, "many_keys": part.many_keys, "many_cells": many_held}
 
     wanted = cells.select(*_CELL).distinct()
     placed = sales_in_cells(sales, cells, wanted, shapes, around=around, **sizes)
     if part.once:
         placed = tables.cut(placed.drop("__time"))
-    first = tables.cut(_first(placed, cells, widths, many, tables))
+    first = tables.cut(_first(placed, cells, widths, many, many_wanted, tables))
     reached, medians, depth = first, [], 0
     while not (still_open := reached.where(F.col(MEDIAN).isNull())).isEmpty():
         depth += 1
@@ -467,12 +484,12 @@ def _answered(
         asked = tables.cut(_asked(cells, bands, depth, many))
         inside = F.col("__value").between(*bands.agg(F.min("__low"), F.max("__high")).first())
         if part.once:
-            found = _asked_for(placed.where(inside), asked, depth, many)
+            found = _asked_for(placed.where(inside), asked, depth, part.many_keys)
         else:
             found = sales_in_cells(
                 sales.where(inside), cells, asked, shapes, around=around, depth=depth, **sizes
             )
-        reached = tables.cut(_next(found, asked, widths, depth, many))
+        reached = tables.cut(_next(found, asked, widths, depth, many, many_wanted))
         medians.append(reached.where(F.col(MEDIAN).isNotNull()).select(_PREDICATE, MEDIAN))
     if not medians:
         return first.select(_PREDICATE, *STATISTIC_COLUMNS)
@@ -513,6 +530,7 @@ def _parts(sizes: Sequence[Row], values: DataFrame, broadcast_bytes: int) -> Ite
                 timed=size["timed"],
                 many_keys=size["keys"] * _KEY_BYTES + size["text_bytes"] > broadcast_bytes,
                 many_cells=size["cells"] * _CELL_BYTES > broadcast_bytes,
+                broadcast_bytes=broadcast_bytes,
                 once=True,
                 slice=number,
                 slices=slices,
